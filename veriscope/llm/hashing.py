@@ -8,7 +8,7 @@ piece of text serves all of its words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +79,11 @@ def _hash_runs(data: np.ndarray, lo: int, hi: int, starts: np.ndarray, ends: np.
     return mix((sums[ends] - sums[starts]) * _DOWN[starts])
 
 
-def words(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word of the rows that ``at`` bounds; no word crosses a row."""
+def words(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE, seams: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word of the rows that ``at`` bounds; no word crosses a row.
+
+    seams: says for some bytes where, besides, a word ends and the next begins (a flag for each byte but the first).
+    """
     lo, hi = int(at[0]), int(at[-1])
     cuts = [lo]
     while hi - cuts[-1] > 4 * PIECE:  # very long rows
@@ -96,6 +99,8 @@ def words(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE) -> tu
         inside = ~separator[data[a:b]]
         edge = np.zeros(b - a + 1, bool)
         edge[at[(at >= a) & (at <= b)] - a] = True
+        if seams is not None:
+            edge[1:-1] |= seams(data[a:b])
         first = inside.copy()
         first[1:] &= ~inside[:-1] | edge[1:-1]
         last = inside

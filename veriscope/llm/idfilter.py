@@ -29,7 +29,7 @@ def counts(batches_of_cells: Iterator[np.ndarray], bits: int) -> Iterator[pa.Rec
     block = full // _BLOCK
     edges = np.flatnonzero(np.diff(block, prepend=-1))
     blocks, ats, ns = [], [], []
-    for a, b in zip(edges, [*edges[1:], len(full)], strict=True):
+    for a, b in zip(edges, np.append(edges[1:], len(full)), strict=False):
         blocks.append(int(block[a]))
         ats.append((full[a:b] % _BLOCK).astype(np.uint16).tobytes())
         ns.append(held[full[a:b]].tobytes())
