@@ -51,24 +51,37 @@ def _band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+#: Words of 64 bits in a set's bitmap.
+_BITMAP = 16
+
+
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Exclusive or of one bit for each shingle: its Hamming distance never exceeds the symmetric difference."""
+    out = np.zeros(_BITMAP, np.uint64)
+    np.bitwise_xor.at(out, ((shingles >> np.uint64(6)) % np.uint64(_BITMAP)).astype(np.int64), np.uint64(1) << (shingles & np.uint64(63)))
+    return out.view(np.int64)
+
+
 def signatures(docs: DataFrame, shingle: int = 5, bands: int = 20, rows: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, bands): size and hash of each document's set and its band keys.
+    """(doc_id, n_shingles, h1, h2, bands, bitmap): size and hash of each document's set, its band keys and bitmap.
 
     h1 and h2 together hash the whole set; equal sets have equal hashes. An empty set has no bands.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, h1, h2, keys = [], [], [], []
+            n, h1, h2, keys, maps = [], [], [], [], []
             for own in shingle_sets(batch.column(1), shingle):
                 n.append(len(own))
                 h1.append(int(mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
                 h2.append(int(mix(own ^ np.uint64(0x3C3C3C3C3C3C3C3C)).sum(dtype=np.uint64).view(np.int64)))
                 keys.append(_band_keys(circulant_signature(own, bands * rows), rows) if len(own) else own.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), list_column(keys, pa.int64())], ["doc_id", "n_shingles", "h1", "h2", "bands"])
+                maps.append(_bitmap(own))
+            columns = [pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), list_column(keys, pa.int64()), list_column(maps, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "h1", "h2", "bands", "bitmap"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, bitmap array<long>")
 
 
 def shingle_table(docs: DataFrame, ids: DataFrame, shingle: int = 5) -> DataFrame:
@@ -101,14 +114,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = 5, band
 
     The band keys of a pair at the threshold agree at least once with probability above
     1 - 4e-7 (20 bands of 4 coordinates, 0.85). In buckets of over ``large`` members each set's
-    number of shingles that no other such set has bounds every pair's similarity, which prunes large
-    groups of loosely similar texts exactly, without their pairs.
+    number of shingles that no other such set has bounds every pair's similarity, and in all buckets the
+    sets' bitmaps do: both prune large groups of loosely similar texts exactly, without their pairs.
     """
     sig = keep(signatures(docs, shingle, bands, rows))
     real = sig.where("n_shingles > 0 and doc_id is not null")
     reps = keep(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
     one = real.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    spread = one.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    spread = one.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bitmap")
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = keep(spread.join(sizes, "bucket"))
     sets = keep(shingle_table(docs, members.select("id").distinct(), shingle).dropDuplicates(["id"]))
@@ -116,10 +129,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = 5, band
     big = members.where(F.col("size") > large).select("id").distinct()
     owners = sets.join(big, "id", "left_semi").select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("c"))
     own = owners.where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
-    members = members.join(own, "id", "left").select("bucket", "id", "n", F.when(F.col("size") > large, F.coalesce("u", F.lit(0))).otherwise(F.lit(0)).alias("u"))
+    members = members.join(own, "id", "left").select("bucket", "id", "n", "bitmap", F.when(F.col("size") > large, F.coalesce("u", F.lit(0))).otherwise(F.lit(0)).alias("u"))
 
     def possible(x, y):
-        return 100 * F.least(x("n") - x("u"), y("n") - y("u")) >= threshold * F.greatest(x("n") + y("u"), y("n") + x("u"))
+        need = F.ceil(threshold * (x("n") + y("n")) / F.lit(100 + threshold))
+        apart = sum((F.bit_count(x("bitmap")[k].bitwiseXOR(y("bitmap")[k])) for k in range(_BITMAP)), F.lit(0))
+        return (apart <= x("n") + y("n") - 2 * need) & (100 * F.least(x("n") - x("u"), y("n") - y("u")) >= threshold * F.greatest(x("n") + y("u"), y("n") + x("u")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
