@@ -53,6 +53,7 @@ def connect(
     verify: Callable[[DataFrame], DataFrame],
     alone: Column | None = None,
     low: Column | None = None,
+    given: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Components (id, component) and verified links (a, b) of ``members`` (bucket, id, features...).
 
@@ -61,6 +62,7 @@ def connect(
     verify: keeps of pairs (a, b) those that are links.
     alone, low: a member for which ``alone`` holds, given the least ``low`` of its bucket as column
     ``low``, has no link in that bucket.
+    given: verified links (a, b) found otherwise, which join in.
     """
     features = [c for c in members.columns if c not in ("bucket", "id")]
 
@@ -80,7 +82,8 @@ def connect(
 
     star = ours.where("id <> centre").where(possible(lambda n: F.col(n), lambda n: F.col(f"cf.{n}")))
     star = star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    links = keep(verify(star))
+    links = verify(star)
+    links = keep(links.unionByName(given).distinct() if given is not None else links)
     found = keep(components(links))
 
     label = F.coalesce("component", "id")
