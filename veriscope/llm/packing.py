@@ -20,7 +20,7 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK = np.zeros(256, bool)
 _MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
 #: Different words remembered by a Python worker.
-_REMEMBERED = 400_000
+_REMEMBERED = 1_000_000
 #: Segments of the plan up to which it is broadcast: about 10 MB.
 _BROADCAST = 100_000
 
@@ -43,45 +43,59 @@ class WordIds:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
+        self.seam, self.seam_id = next((t.content, k) for k, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special)
+        self.special = [t.content[:2].encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.names = np.zeros(0, np.uint64)
+        self.index = np.zeros(0, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
         self.end = 0
 
-    def _learn(self, names: list[int], texts: list[str]) -> None:
-        for name, got in zip(names, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            ids, k = got.ids, len(self.place)
-            while self.end + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if k == len(self.first):
-                self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-            self.flat[self.end : self.end + len(ids)] = ids
-            self.first[k], self.size[k] = self.end, len(ids)
-            self.end += len(ids)
-            self.place[name] = k
+    def _learn(self, names: np.ndarray, texts: list[str]) -> None:
+        """Encode new words, a special token between them, in one call; ``names`` ascend."""
+        coded = np.array(self.tokenizer.encode(self.seam.join(texts), add_special_tokens=False).ids, np.uint32)
+        cuts = np.flatnonzero(coded == self.seam_id)
+        size = np.diff(np.concatenate([[-1], cuts, [len(coded)]])) - 1
+        ids = np.delete(coded, cuts)
+        known = len(self.names)
+        while self.end + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while known + len(names) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        self.flat[self.end : self.end + len(ids)] = ids
+        self.first[known : known + len(names)] = self.end + np.cumsum(size) - size
+        self.size[known : known + len(names)] = size
+        self.end += len(ids)
+        at = np.searchsorted(self.names, names)
+        self.names = np.insert(self.names, at, names)
+        self.index = np.insert(self.index, at, np.arange(known, known + len(names)))
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         data, at = text_buffers(column)
         for i, j in pieces(data, at):
             raw = data[at[i] : at[j]].tobytes()
-            if b"<|" in raw:  # special tokens may be spelt out, upper and lower case apart
+            if any(t in raw for t in self.special):  # spelt-out special tokens: upper and lower case apart
                 for row in range(i, j):
                     text = data[at[row] : at[row + 1]].tobytes().decode()
                     yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
             hashes, starts, ends = words(data, at[i : j + 1], SPACE, _seams)
             names, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
-            if len(self.place) + len(names) > max(_REMEMBERED, len(names)):
+            if len(self.names) + len(names) > max(_REMEMBERED, len(names)):
                 self._forget()
-            listed = names.tolist()
-            new = [k for k, name in enumerate(listed) if name not in self.place]
-            lo = int(at[i])
-            self._learn([listed[k] for k in new], [raw[starts[sample[k]] - lo : ends[sample[k]] - lo].decode(errors="replace") for k in new])
-            place = np.fromiter((self.place[name] for name in listed), np.int64, len(listed))[which]
+            at_name = np.searchsorted(self.names, names)
+            new = np.ones(len(names), bool)
+            inside = at_name < len(self.names)
+            new[inside] = self.names[at_name[inside]] != names[inside]
+            if new.any():
+                lo = int(at[i])
+                self._learn(names[new], [raw[a - lo : b - lo].decode(errors="replace") for a, b in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist(), strict=True)])
+                at_name = np.searchsorted(self.names, names)
+            place = self.index[at_name][which] if len(names) else at_name
             size = self.size[place]
             before = np.concatenate([[0], np.cumsum(size)])
             flat = self.flat[np.repeat(self.first[place] - before[:-1], size) + np.arange(int(before[-1]))]
@@ -90,11 +104,17 @@ class WordIds:
                 yield flat[bounds[row] : bounds[row + 1]]
 
 
+@lru_cache(maxsize=1)
+def _coder(path: str) -> WordIds:
+    """One for each Python worker, which serves many tasks."""
+    return WordIds(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and ``end_id``, cut into pieces of at most ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(tokenizer)
+        coder = _coder(tokenizer)
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for k, own in enumerate(coder.encode(batch.column(1))):
