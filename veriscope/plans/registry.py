@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import comparing, judging, reading, screening
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in (reading, screening, judging, comparing) for name, (f, _) in part.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in (reading, screening, judging, comparing) for name, (_, sql) in part.QUERIES.items() if sql}
