@@ -41,7 +41,7 @@ def templates(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
     """Pieces as (template hash of each token, its slot or 0, bounds by row).
 
     A token is a run of letters and digits; a point or comma between digits belongs to the number. A
-    token with a digit or a number word is a number; a unit after a number is a unit; a capitalised
+    token that begins with a digit and a number word are numbers; a unit after a number is a unit; a capitalised
     token inside a sentence is a name. The slot of such a placeholder is the hash of what it replaced.
     """
     data, at = text_buffers(column)
@@ -60,8 +60,7 @@ def templates(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         if not len(hashes):
             yield hashes, hashes, bounds
             continue
-        digits = np.concatenate([[0], np.cumsum(digit)])
-        number = (digits[ends] > digits[starts]) | np.isin(hashes, _NUMBER_HASHES)
+        number = digit[starts] | np.isin(hashes, _NUMBER_HASHES)
         unit = np.zeros(len(hashes), bool)
         unit[1:] = number[:-1] & ~number[1:] & np.isin(hashes[1:], _UNIT_HASHES)
         stops = np.concatenate([[0], np.cumsum(_STOP[flat])])

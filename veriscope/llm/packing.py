@@ -196,7 +196,7 @@ def pack(parts: DataFrame, capacity: int = 2048, rows_a_group: int = 20_000) ->
     return placed.drop("salt", "own", "before", "rank", "first_rank", "many", "first_sequence")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, rows_a_group: int = 20_000) -> DataFrame:
     """Pack all of ``docs`` (doc_id, text, ...) into sequences of at most ``capacity`` tokens.
 
     Returns per piece (doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset). A
@@ -206,4 +206,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     Defined cases: a null, empty or blank text is the one id ``end_id``; a null doc_id and repeated
     rows are packed like any others; other columns are ignored; an empty table gives an empty table.
     """
-    return pack(keep(token_pieces(docs, tokenizer, capacity, end_id, with_ids)), capacity)
+    return pack(keep(token_pieces(docs, tokenizer, capacity, end_id, with_ids)), capacity, rows_a_group)
