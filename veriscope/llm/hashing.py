@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once; a longer text is cut at white space, so memory stays bounded.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 for _b in range(ord("A"), ord("Z") + 1):

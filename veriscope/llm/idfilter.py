@@ -11,6 +11,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 
 from .hashing import mix
+from .store import small_batches
 
 _BLOCK = 1 << 16
 
@@ -20,11 +21,11 @@ def cells(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def counts(batches_of_cells: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    """Saturating counts of cells in one partition, as sparse blocks (block, at, n)."""
-    held = np.zeros(1 << bits, np.uint8)
+    """Counts of cells in one partition, as sparse blocks (block, at, n)."""
+    held = np.zeros(1 << bits, np.uint16)
     for got in batches_of_cells:
         cell, n = np.unique(got, return_counts=True)
-        held[cell] = np.minimum(held[cell] + n, 255).astype(np.uint8)
+        held[cell] = np.minimum(held[cell] + n, 0xFFFF).astype(np.uint16)
     full = np.flatnonzero(held)
     block = full // _BLOCK
     edges = np.flatnonzero(np.diff(block, prepend=-1))
@@ -39,12 +40,18 @@ def counts(batches_of_cells: Iterator[np.ndarray], bits: int) -> Iterator[pa.Rec
 SPARSE = "block int, at binary, n binary"
 
 
+def step(count: np.ndarray) -> np.ndarray:
+    """Counts as one byte each: exact below 200, then four steps to a doubling."""
+    high = 200 + np.floor(4 * np.log2(np.maximum(count, 200) / 200))
+    return np.where(count < 200, count, np.minimum(high, 255)).astype(np.uint8)
+
+
 def _merge(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    block, total = 0, np.zeros(_BLOCK, np.uint32)
+    block, total = 0, np.zeros(_BLOCK, np.int64)
     for pdf in parts:
         for block, at, n in zip(pdf["block"], pdf["at"], pdf["n"], strict=True):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint8)
-    return pd.DataFrame({"block": [block], "n": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint16)
+    return pd.DataFrame({"block": [block], "n": [step(total).tobytes()]})
 
 
 def merged(sparse: DataFrame, bits: int) -> Broadcast:
@@ -54,8 +61,9 @@ def merged(sparse: DataFrame, bits: int) -> Broadcast:
         return _merge(iter([pdf]))
 
     table = np.zeros(1 << bits, np.uint8)
-    for row in sparse.groupBy("block").applyInPandas(one, "block int, n binary").toLocalIterator():
-        table[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["n"], np.uint8)[: 1 << bits]
+    with small_batches(sparse.sparkSession):
+        for row in sparse.groupBy("block").applyInPandas(one, "block int, n binary").collect():  # at most 2**bits bytes
+            table[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["n"], np.uint8)[: 1 << bits]
     return sparse.sparkSession.sparkContext.broadcast(table)
 
 

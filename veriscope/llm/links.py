@@ -54,6 +54,7 @@ def connect(
     alone: Column | None = None,
     low: Column | None = None,
     given: DataFrame | None = None,
+    short: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Components (id, component) and verified links (a, b) of ``members`` (bucket, id, features...).
 
@@ -62,7 +63,9 @@ def connect(
     verify: keeps of pairs (a, b) those that are links.
     alone, low: a member for which ``alone`` holds, given the least ``low`` of its bucket as column
     ``low``, has no link in that bucket.
-    given: verified links (a, b) found otherwise, which join in.
+    given: candidate pairs (a, b) found otherwise, to be verified together with those of the centres.
+    short: every link has a member for which it holds and that is not larger in the feature ``n``; with it
+    such members alone are compared with the others.
     """
     features = [c for c in members.columns if c not in ("bucket", "id")]
 
@@ -78,26 +81,32 @@ def connect(
     ours = members.join(centres.select("bucket", "c", *(["low"] if lows else [])), "bucket")
     if alone is not None:
         ours = ours.where(~alone)
-    ours = keep(ours.select("bucket", "id", *features, F.col("c.id").alias("centre"), F.struct(*[F.col(f"c.{c}") for c in features]).alias("cf")))
+    close = (F.col("id") != F.col("c.id")) & possible(lambda n: F.col(n), lambda n: F.col(f"c.{n}"))
+    ours = keep(ours.select("bucket", "id", *features, F.col("c.id").alias("centre"), close.alias("close")))
+    discard(centres)
 
-    star = ours.where("id <> centre").where(possible(lambda n: F.col(n), lambda n: F.col(f"cf.{n}")))
+    star = keep(ours.where("close").select("id", "centre"))
     star = star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    links = verify(star)
-    links = keep(links.unionByName(given).distinct() if given is not None else links)
+    links = keep(verify(star.unionByName(given).distinct() if given is not None else star))
     found = keep(components(links))
 
     label = F.coalesce("component", "id")
     labelled = ours.select("bucket", "id", *features, "centre").join(found, "id", "left").withColumn("label", label).drop("component")
     labelled = labelled.join(found.select(F.col("id").alias("centre"), F.col("component").alias("core")), "centre", "left")
     labelled = keep(labelled.withColumn("core", F.coalesce("core", "centre")))
+    discard(ours)
     strangers = labelled.where("label <> core")
     mixed = strangers.select("bucket").distinct()
-    left = named(strangers, "a_", ["id", "label", *features])
+    apart = (F.col("b_label") == F.col("b_core")) | (F.col("a_id") < F.col("b_id"))
+    if short is not None:
+        strangers, apart = labelled.where(short), (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") != F.col("b_id")))
+    left = named(strangers.join(mixed, "bucket", "left_semi") if short is not None else strangers, "a_", ["id", "label", *features])
     right = named(labelled.join(mixed, "bucket", "left_semi"), "b_", ["id", "label", "core", *features])
-    across = (F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("b_core")) | (F.col("a_id") < F.col("b_id")))
+    across = (F.col("a_label") != F.col("b_label")) & apart
     pairs = left.join(right, "bucket").where(across & possible(side("a_"), side("b_")))
     pairs = pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
     more = keep(verify(pairs.join(star, ["a", "b"], "left_anti")))
+    discard(labelled)
     everything = links.unionByName(more)
     if more.isEmpty():
         return found, links

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,13 +22,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what runs inside: long texts then fill little memory outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a scan of it.
 
     A lost executor costs only the re-read of its splits; nothing upstream runs twice.
     """
     path = f"{shared_folder(df.sparkSession)}/veriscope-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -37,3 +53,12 @@ def discard(*frames: DataFrame) -> None:
             if "/veriscope-" in name:
                 path = spark._jvm.org.apache.hadoop.fs.Path(name)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to any more.
+
+    It does so when the driver collects garbage, which may otherwise not happen before the job ends.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
