@@ -60,6 +60,11 @@ def _set_hash(token: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndar
     return mix((total[first + size] - total[first]) ^ size.astype(np.uint64)).view(np.int64)
 
 
+def _least_joined(threshold: int) -> int:
+    """Tokens of the smallest set that can reach ``threshold`` % with a different one: n of n + 1."""
+    return next((n for n in range(1, 100) if 100 * n >= threshold * (n + 1)), 100)
+
+
 def token_rarity(docs: DataFrame, min_tokens: int) -> Broadcast:
     """Line counts of hashed tokens over the whole corpus, in steps of one byte, in a table of fixed size."""
 
@@ -83,8 +88,9 @@ def index_lines(docs: DataFrame, rarity: Broadcast, threshold: int, min_tokens:
     tokens, of which a similar line must share one: those that at most _FEW lines have, and the others; those that no other line has are left out. few's values also hold the token's place in the
     line's order, below 2**16. bitmap is the exclusive or of
     one bit for each token: its Hamming distance never exceeds the symmetric difference. wide is a
-    longer one, for lines with ``many``.
+    longer one, for lines with ``many``. Sets too small to resemble any other have neither few nor many: their hash alone matches.
     """
+    least = _least_joined(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = rarity.value
@@ -108,7 +114,7 @@ def index_lines(docs: DataFrame, rarity: Broadcast, threshold: int, min_tokens:
                 rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
                 length = size - -(-threshold * size // 100) + 1
                 count, bucket = count[order], token[inside][order].astype(np.uint32).view(np.int32)
-                prefix = rank < np.repeat(length, size)
+                prefix = rank < np.repeat(np.where(size >= least, length, 0), size)
 
                 def listed(values: np.ndarray, chosen: np.ndarray) -> pa.ListArray:
                     ends = np.cumsum(np.bincount(which[chosen], minlength=len(own)))
@@ -157,7 +163,8 @@ def similar_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5) ->
     verified links of the line to other token sets, and first_* the first occurrence in the class.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines = keep(index_lines(docs, token_rarity(docs, min_tokens), threshold, min_tokens))
+    joined = max(min_tokens, _least_joined(threshold))
+    lines = keep(index_lines(docs, token_rarity(docs, joined), threshold, min_tokens))
     features = ("n", "rare", "bitmap", "wide", "few", "many")
     own = keep(lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("times"), *[F.any_value(c).alias(c) for c in features]))
     seen = own.select("line", "first", "times")
@@ -213,7 +220,7 @@ def similar_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5) ->
         if pairs.isEmpty():
             return pairs
         ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        sets = keep(line_tokens(docs, ids, min_tokens).dropDuplicates(["id"]))
+        sets = keep(line_tokens(docs, ids, joined).dropDuplicates(["id"]))
         tidy(docs.sparkSession)
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
         shared = F.size(F.array_intersect("ta", "tb"))
@@ -244,7 +251,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5) -> Da
     A line is a stretch of text between newlines; its tokens are its distinct words (A-Z
     lower-cased). Lines of at least ``min_tokens`` tokens whose sets have a Jaccard similarity of
     ``threshold`` % or more are linked; of each class that links join, the first line in order of
-    (doc_id, line number) stays and all later ones go. Shorter lines are too little evidence and stay.
+    (doc_id, line number) stays and all later ones go. Shorter lines stay; with 1 no line but blank ones is left out.
 
     Adds line_count, removed_count, line_classes (ids of the classes in which the row took part)
     and line_links (verified links of its lines to different lines). Input columns of these names

@@ -48,7 +48,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents"), min_tokens=1)
     return out.select("doc_id", "line_count", "removed_count", "line_classes", "line_links", F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 
