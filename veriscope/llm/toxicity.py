@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,24 +23,36 @@ DIGITS = dict(zip("013457@$", "oleastas", strict=True))
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "pond scum")
 
 _SUBSTITUTED = re.compile(r"(?<=[^\W\d_])[013457@$]|[013457@$](?=[^\W\d_])")
-
+#: Runs in which 1, ! and | are read as i or as l: those before a letter, and 1 and | after one (a final ! ends a sentence).
+_UNSURE = re.compile(r"(?<![013457@$!|])[013457@$!|]++(?=[^\W\d_])|(?<=[^\W\d_])[1|]++")
 
 _BYTES = bytes(ord(c.lower()) if (c := chr(k)).isalpha() and len(c.lower()) == 1 and ord(c.lower()) < 256 else 32 for k in range(256))
 _WIDE = {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord(k.upper()): v for k, v in HOMOGLYPHS.items() if len(k.upper()) == 1}
 _WIDE |= {c: base for c in range(256, 592) if (base := unicodedata.normalize("NFD", chr(c).lower())[0]).isascii()}
 
 
-def fold(text: str) -> str:
+def _latin(text: str) -> str:
+    return text if text.isascii() else unicodedata.normalize("NFC", text).translate(_WIDE)
+
+
+def fold(text: str, unsure: str | None = None) -> str:
     """``text`` in lower-case Latin letters and spaces, between two spaces.
 
     Homoglyphs of other scripts and digits that touch letters become the letters they stand for; all else a space.
+    unsure: the letter for 1, ! and | inside words; without it 1 is l and the others are spaces.
     """
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).translate(_WIDE)
+    text = _latin(text)
+    if unsure:
+        text = _UNSURE.sub(lambda m: re.sub("[1!|]", unsure, m.group()), text)
     text = _SUBSTITUTED.sub(lambda m: DIGITS[m.group()], text)
     return " " + text.encode("latin-1", "replace").translate(_BYTES).decode("latin-1") + " "
 
 
+def _blur(folded: str) -> str:
+    """i and l as one letter."""
+    return folded.replace("i", "l")
+
+
 def _terms(folded: str, prefixes: range) -> set[str]:
     """Candidate terms: whole words, and word beginnings, each marked by the spaces around it."""
     out = set()
@@ -59,9 +72,10 @@ class Lexicon:
     bias: float = -4.0
     slope: float = 1.0
     _machine: object = field(default=None, repr=False, compare=False)
+    _blurred: object = field(default=None, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_machine": None}
+        return self.__dict__ | {"_machine": None, "_blurred": None}
 
     @property
     def machine(self):
@@ -77,8 +91,28 @@ class Lexicon:
                 self._machine.make_automaton()
         return self._machine
 
-    def hits(self, folded: str) -> dict[int, float]:
-        """Weight of the heaviest term at each word that has one and does not stand in an exception phrase."""
+    @property
+    def blurred(self):
+        """The machine for text in which i and l are one letter."""
+        if self._blurred is None:
+            import ahocorasick
+
+            terms: dict[str, float | None] = {}
+            for term, weight in self.weights.items():
+                terms[_blur(term)] = max(weight, terms.get(_blur(term), weight))
+            terms |= {_blur(fold(phrase)): None for phrase in self.exceptions}
+            self._blurred = ahocorasick.Automaton()
+            for term, weight in terms.items():
+                self._blurred.add_word(term, (len(term), weight))
+            if len(self._blurred):
+                self._blurred.make_automaton()
+        return self._blurred
+
+    def hits(self, folded: str, text: str = "") -> dict[int, float]:
+        """Weight of the heaviest term at each word that has one and does not stand in an exception phrase.
+
+        With ``text``, of which ``folded`` is the folded form, signs that may be i or l are read as each.
+        """
         if not len(self.machine):
             return {}
         found: dict[int, float] = {}
@@ -89,6 +123,17 @@ class Lexicon:
                 spared.append((start, end))
             else:
                 found[start] = max(weight, found.get(start, 0.0))
+        signs = [m.start() + k + 1 for m in _UNSURE.finditer(_latin(text)) for k, c in enumerate(m.group()) if c in "1!|"] if any(c in text for c in "1!|") else []
+        if signs:
+            for end, (size, weight) in self.blurred.iter(_blur(fold(text, "l"))):
+                start = end - size + 1
+                at = bisect_left(signs, start)
+                if at == len(signs) or signs[at] > end:
+                    continue
+                if weight is None:
+                    spared.append((start, end))
+                else:
+                    found[start] = max(weight, found.get(start, 0.0))
         for a, b in spared:
             for k in [k for k in found if a <= k < b]:
                 del found[k]
@@ -98,7 +143,7 @@ class Lexicon:
         """Total weight of the hits over the logarithm of the length."""
         if not text:
             return 0.0
-        total = sum(self.hits(fold(text)).values())
+        total = sum(self.hits(fold(text), text).values())
         return total / (1 + np.log2(1 + len(text) / 400)) if total else 0.0
 
 
@@ -115,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 20_000, prefixes: rang
 
     def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "chars": pdf["text"].str.len(), "terms": [sorted(_terms(fold(t), prefixes)) for t in pdf["text"]]})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "chars": pdf["text"].str.len(), "terms": [sorted(_terms(fold(t), prefixes) | (_terms(fold(t, "i"), prefixes) if _UNSURE.search(_latin(t)) else set())) for t in pdf["text"]]})
 
     spelt = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).mapInPandas(spell, "toxic int, chars long, terms array<string>").cache()
     counted = spelt.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
