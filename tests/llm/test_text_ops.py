@@ -119,11 +119,10 @@ def line_classes(texts, threshold=80, least=5):
 
 
 @pytest.mark.parametrize("few", [200, 3])
-def test_line_dedup(spark, monkeypatch, few):
-    monkeypatch.setattr(linededup, "_FEW", few)
+def test_line_dedup(spark, few):
     texts = corpus(2) + ["p q r s t u v w x y\np q r s t u v w x z\nshort line"] * 3
     gone = line_classes(texts)
-    got = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, texts)).collect()}
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, texts), limits=linededup.Limits(few=few)).collect()}
     assert len(got) == len(texts)
     for k, t in enumerate(texts):
         wanted = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[k])

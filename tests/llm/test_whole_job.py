@@ -12,12 +12,11 @@ SHORT = ["All rights reserved.\nw1 w2 w3 w4 w5 tail\nand", "all RIGHTS reserved.
 
 
 @pytest.mark.parametrize("few", [200, 3])
-def test_short_lines_are_matched(spark, monkeypatch, few):
-    monkeypatch.setattr(linededup, "_FEW", few)
+def test_short_lines_are_matched(spark, few):
     texts = corpus(2) + SHORT * 2
     gone = line_classes(texts, least=1)
     assert sum(map(len, gone.values())) > sum(map(len, line_classes(texts).values())) + 20
-    got = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, texts), min_tokens=1).collect()}
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, texts), min_tokens=1, limits=linededup.Limits(few=few)).collect()}
     for k, t in enumerate(texts):
         assert got[k]["text"] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[k])), k
         assert got[k]["removed_count"] == len(gone[k])

@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .hashing import mix
 from .store import small_batches
@@ -46,23 +47,32 @@ def step(count: np.ndarray) -> np.ndarray:
     return np.where(count < 200, count, np.minimum(high, 255)).astype(np.uint8)
 
 
-def _merge(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    block, total = 0, np.zeros(_BLOCK, np.int64)
-    for pdf in parts:
-        for block, at, n in zip(pdf["block"], pdf["at"], pdf["n"], strict=True):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint16)
-    return pd.DataFrame({"block": [block], "n": [step(total).tobytes()]})
+def _summed(pdf: pd.DataFrame) -> np.ndarray:
+    total = np.zeros(_BLOCK, np.int64)
+    for at, n in zip(pdf["at"], pdf["n"], strict=True):
+        total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint16)
+    return total
 
 
-def merged(sparse: DataFrame, bits: int) -> Broadcast:
-    """Sum the partitions' blocks as Spark groups; 2**bits bytes, whatever the data, reach the driver and the executors."""
+def merged(sparse: DataFrame, bits: int, fan_in: int = 64) -> Broadcast:
+    """Sum the partitions' blocks as Spark groups; 2**bits bytes, whatever the data, reach the driver and the executors.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _merge(iter([pdf]))
+    Blocks of at most ``fan_in`` partitions meet in one group first, and their sums after that, so that no task reads a
+    share of all partitions.
+    """
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.minimum(_summed(pdf), 0xFFFF)
+        at = np.flatnonzero(total)
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "at": [at.astype(np.uint16).tobytes()], "n": [total[at].astype(np.uint16).tobytes()]})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "n": [step(_summed(pdf)).tobytes()]})
 
     table = np.zeros(1 << bits, np.uint8)
     with small_batches(sparse.sparkSession):
-        for row in sparse.groupBy("block").applyInPandas(one, "block int, n binary").collect():  # at most 2**bits bytes
+        parts = sparse.withColumn("part", F.floor(F.spark_partition_id() / fan_in)).groupBy("block", "part").applyInPandas(some, SPARSE)
+        for row in parts.groupBy("block").applyInPandas(whole, "block int, n binary").collect():  # at most 2**bits bytes
             table[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["n"], np.uint8)[: 1 << bits]
     return sparse.sparkSession.sparkContext.broadcast(table)
 

@@ -1,34 +1,71 @@
-"""Line deduplication by an exact set-similarity join on line tokens."""
+"""Line deduplication by an exact set-similarity join on line tokens.
+
+The tokens of a line are ordered by rarity. A similar pair has a first common token in that order, and
+it lies in the prefix of both lines; each pair is looked at under the key of that token alone (or, where
+more than ``Limits.few`` lines have it, under the key of the first two common tokens), so no pair is counted twice.
+Keys under which few pairs survive the length, positional and bitmap filters give these pairs for exact
+verification. Keys under which most pairs survive (groups of near copies) are verified in blocks inside
+tasks, which return link counts and a spanning forest instead of pairs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import SPACE, list_column, mix, pieces, text_buffers, words
-from .idfilter import SPARSE, cells, counts, id_filter, merged
-from .links import connect
-from .store import discard, keep, tidy
+from .hashing import SPACE, mix, pieces, text_buffers, words
+from .idfilter import SPARSE, cells, counts, id_filter, merged, step
+from .links import components
+from .store import discard, keep
 
-#: Cells of the token-frequency table: one byte each, whatever the corpus.
-RARITY_BITS = 23
 _ID_BITS = 22
-#: Step of a token's line count (about 800 lines) up to which all pairs of its lines are compared; beyond, centres and components.
-_FEW = 208
-#: Words of 64 bits in a long bitmap.
-_WIDE = 8
-_TOKEN_BITS = 40
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How the work is cut; results do not depend on it.
+
+    few: lines of a token above which a key takes the next common token too, and rows of a key that a task compares at
+    once. dense: surviving pairs for each row of a key above which the key's lines are verified in blocks of at most
+    about ``lines`` lines and ``tokens`` tokens.
+    """
+
+    few: int = 4096
+    dense: int = 12
+    lines: int = 512
+    tokens: int = 16_384
+
+
+def _distinct_tokens(line: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of the distinct tokens, a line's adjacent and ascending."""
+    if not len(line):
+        return line, hashes
+    order = None
+    if line[-1] < 1 << 24:
+        key = (line.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24))
+        order = np.argsort(key)
+        line, hashes, key = line[order], hashes[order], key[order]
+        same = key[1:] == key[:-1]
+        if (hashes[1:][same] != hashes[:-1][same]).any():
+            order = None  # then the whole hash decides
+    if order is None:
+        order = np.lexsort((hashes, line))
+        line, hashes = line[order], hashes[order]
+    new = np.concatenate([[True], (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])])
+    return line[new], hashes[new]
 
 
 def _lines(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Pieces as (first row, last row, line of each distinct token, token, (row, number) of each line).
 
-    Tokens are the distinct words of a line, A-Z lower-cased; a line's tokens are adjacent.
+    Tokens are 64-bit hashes of the distinct words of a line, A-Z lower-cased; a line's tokens are adjacent.
     """
     data, at = text_buffers(column)
     for i, j in pieces(data, at):
@@ -41,10 +78,8 @@ def _lines(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         starts, row = starts[real], row[real]
         number = np.arange(len(starts)) - np.searchsorted(starts, at[i:j], "left")[row]
         hashes, where, _ = words(data, at[i : j + 1], SPACE)
-        line = np.searchsorted(starts, where, "right") - 1
-        key = np.sort((line.astype(np.uint64) << np.uint64(_TOKEN_BITS)) | (hashes >> np.uint64(64 - _TOKEN_BITS)))
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-        yield i, j, (key >> np.uint64(_TOKEN_BITS)).astype(np.int64), key & np.uint64((1 << _TOKEN_BITS) - 1), np.stack([row + i, number])
+        line, token = _distinct_tokens(np.searchsorted(starts, where, "right") - 1, hashes)
+        yield i, j, line, token, np.stack([row + i, number])
 
 
 def _line_sets(line: np.ndarray, token: np.ndarray, min_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,215 +100,374 @@ def _least_joined(threshold: int) -> int:
     return next((n for n in range(1, 100) if 100 * n >= threshold * (n + 1)), 100)
 
 
-def token_rarity(docs: DataFrame, min_tokens: int) -> Broadcast:
-    """Line counts of hashed tokens over the whole corpus, in steps of one byte, in a table of fixed size."""
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The integers of all ranges [start, start + size), one range after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+def rarity_bits(docs: DataFrame) -> int:
+    """log2 of the cells of the token table: grows with the text as vocabularies do (with its square root), within 16 kB and 64 MB."""
+    chars = docs.agg(F.sum(F.length("text").cast("double"))).first()[0] or 0.0
+    return int(np.clip(np.ceil(np.log2(256 * np.sqrt(chars) + 1)), 14, 26))
+
+
+def token_rarity(docs: DataFrame, bits: int) -> Broadcast:
+    """Occurrences of hashed tokens over the whole corpus, in steps of one byte, in a table of 2**bits cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[np.ndarray]:
             for batch in batches:
-                for _, _, line, token, _ in _lines(batch.column(0)):
-                    _, first, size = _line_sets(line, token, min_tokens)
-                    inside = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                    yield cells(token[inside], RARITY_BITS)
+                data, at = text_buffers(batch.column(0))
+                for i, j in pieces(data, at):
+                    yield cells(words(data, at[i : j + 1], SPACE)[0], bits)
+
+        yield from counts(found(), bits)
 
-        yield from counts(found(), RARITY_BITS)
+    return merged(docs.select("text").mapInArrow(run, SPARSE), bits)
 
-    return merged(docs.select("text").mapInArrow(run, SPARSE), RARITY_BITS)
 
+def _ordered(token: np.ndarray, which: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Order of the tokens by line, then rarity, then hash."""
+    if len(which) and which[-1] < 1 << 24:
+        key = (which.astype(np.uint64) << np.uint64(40)) | (count.astype(np.uint64) << np.uint64(32)) | (token >> np.uint64(32))
+        order = np.argsort(key)
+        if not (key[order][1:] == key[order][:-1]).any():
+            return order
+    return np.lexsort((token, count, which))
 
-def index_lines(docs: DataFrame, rarity: Broadcast, threshold: int, min_tokens: int) -> DataFrame:
-    """(line, doc_id, number, n, rare, bitmap, wide, few, many): each document's lines as token sets.
 
-    line is a hash of the set, n its size, rare how many of its tokens at most _FEW lines have. few and many hold hashes of the n - ceil(t n) + 1 rarest
-    tokens, of which a similar line must share one: those that at most _FEW lines have, and the others; those that no other line has are left out. few's values also hold the token's place in the
-    line's order, below 2**16. bitmap is the exclusive or of
-    one bit for each token: its Hamming distance never exceeds the symmetric difference. wide is a
-    longer one, for lines with ``many``. Sets too small to resemble any other have neither few nor many: their hash alone matches.
+def _keys(token: np.ndarray, count: np.ndarray, which: np.ndarray, rank: np.ndarray, size: np.ndarray, threshold: int, frequent: int) -> tuple[np.ndarray, ...]:
+    """(line, key, info, previous token) of the keys of lines whose ``token`` stand in order of rarity.
+
+    A token of the prefix (the n - ceil(t n) + 1 rarest) is a key, unless too frequent; then it makes one with each token
+    after it of the prefix that is one longer. info holds n, the place of the key's last token and the number of its tokens.
+    """
+    prefix = np.where(size >= _least_joined(threshold), size - -(-threshold * size // 100) + 1, 0)
+    inside = (rank < prefix[which]) & (count > 1)
+    one, more = np.flatnonzero(inside & (count <= frequent)), np.flatnonzero(inside & (count > frequent))
+    width = prefix[which[more]] - rank[more]
+    first, second = np.repeat(more, width), _ranges(more + 1, width)
+    both = mix(token[first]) ^ (token[second] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    at = np.concatenate([one, second])
+    previous = np.where(rank[at] > 0, token[at - 1], np.uint64(0))
+    previous[len(one) :][first == second - 1] = 0
+    info = (size[which[at]].astype(np.int64) << 32) | (rank[at].astype(np.int64) << 2) | np.repeat([1, 2], [len(one), len(second)])
+    return which[at], np.concatenate([token[one], both]), info, previous
+
+
+def index_lines(docs: DataFrame, rarity: Broadcast, bits: int, threshold: int, min_tokens: int, few: int) -> DataFrame:
+    """(line, doc_id, text_id, number, bitmap, keys, infos, previous): each document's lines as token sets.
+
+    line is a hash of the set; bitmap the exclusive or of one bit for each token, whose Hamming distance never
+    exceeds the symmetric difference. The keys stand with the first occurrence of a line in a task.
     """
-    least = _least_joined(threshold)
+    frequent = int(step(np.array([few]))[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = rarity.value
+        seen: set[int] = set()  # at most the lines of one split
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for _, _, line, token, places in _lines(batch.column(1)):
+            ids, names = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for _, _, line, token, places in _lines(batch.column(2)):
                 own, first, size = _line_sets(line, token, min_tokens)
                 if not len(own):
                     continue
-                mixed = mix(token + np.uint64(7))
-                bits = np.uint64(1) << (mixed & np.uint64(63))
-                inside = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                begin = np.cumsum(size) - size
-                bitmap = np.bitwise_xor.reduceat(bits[inside], begin)
-                count = rare[cells(token[inside], RARITY_BITS)].astype(np.uint64)
-                which = np.repeat(np.arange(len(own)), size)
-                key = (which.astype(np.uint64) << np.uint64(40)) | (count << np.uint64(32)) | (token[inside] & np.uint64(0xFFFFFFFF))
-                order = np.argsort(key)
-                if (key[order][1:] == key[order][:-1]).any():  # then the whole token decides
-                    order = np.argsort(key, kind="stable")
-                rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-                length = size - -(-threshold * size // 100) + 1
-                count, bucket = count[order], token[inside][order].astype(np.uint32).view(np.int32)
-                prefix = rank < np.repeat(np.where(size >= least, length, 0), size)
-
-                def listed(values: np.ndarray, chosen: np.ndarray) -> pa.ListArray:
-                    ends = np.cumsum(np.bincount(which[chosen], minlength=len(own)))
-                    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values[chosen], pa.int64()))
-
-                often, seldom = prefix & (count > _FEW), prefix & (count > 1) & (count <= _FEW)
-                placed = (bucket.astype(np.int64) << 16) | np.minimum(rank, 0xFFFF)
-                hot = np.bincount(which[often], minlength=len(own)) > 0
-                of_hot = np.repeat(hot, size)
-                word, bit = (mixed[inside][of_hot] >> np.uint64(6)) % np.uint64(_WIDE), bits[inside][of_hot]
-                start = np.cumsum(size[hot]) - size[hot]
-                parts = [np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), start) for k in range(_WIDE)] if hot.any() else [bit] * _WIDE
-                wide = np.stack(parts, axis=1).view(np.int64).ravel()
-                ends = np.concatenate([[0], np.cumsum(np.where(hot, _WIDE, 0))])
-                columns = [
-                    pa.array(_set_hash(token, first, size)), pa.array(ids[places[0][own]], pa.int64()), pa.array(places[1][own], pa.int32()), pa.array(size, pa.int32()), pa.array(np.bincount(which[count <= _FEW], minlength=len(own)), pa.int32()), pa.array(bitmap.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(wide, pa.int64())), listed(placed, seldom), listed(bucket.astype(np.int64), often),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["line", "doc_id", "number", "n", "rare", "bitmap", "wide", "few", "many"])
-
-    return docs.mapInArrow(run, "line long, doc_id long, number int, n int, rare int, bitmap long, wide array<long>, few array<long>, many array<long>")
-
-
-def line_tokens(docs: DataFrame, ids: DataFrame, min_tokens: int) -> DataFrame:
-    """(id, tokens) of the lines in ``ids``.id."""
-    allowed = id_filter(ids, "id", _ID_BITS)
+                line_id = _set_hash(token, first, size)
+                fresh = np.array([x not in seen for x in line_id.tolist()])
+                _, once = np.unique(line_id, return_index=True)
+                fresh &= np.isin(np.arange(len(own)), once)
+                seen.update(line_id[fresh].tolist())
+                bitmap, ends, parts = np.zeros(len(own), np.uint64), np.zeros(len(own) + 1, np.int64), [np.zeros(0, np.int64)] * 3
+                if fresh.any():
+                    n = size[fresh]
+                    mine = token[_ranges(first[fresh], n)]
+                    begin = np.cumsum(n) - n
+                    bitmap[fresh] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(mine + np.uint64(7)) & np.uint64(63)), begin)
+                    which = np.repeat(np.arange(len(n)), n)
+                    count = rare[cells(mine, bits)]
+                    order = _ordered(mine, which, count)
+                    of, key, info, previous = _keys(mine[order], count[order], which, np.arange(len(mine)) - begin[which], n, threshold, frequent)
+                    by_line = np.argsort(of, kind="stable")
+                    ends[1:] = np.cumsum(np.bincount(np.flatnonzero(fresh)[of], minlength=len(own)))
+                    parts = [x[by_line].view(np.int64) for x in (key, info, previous)]
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int64())) for x in parts]
+                columns = [pa.array(line_id), pa.array(ids[places[0][own]], pa.int64()), pa.array(names[places[0][own]], pa.int64()), pa.array(places[1][own], pa.int32()), pa.array(bitmap.view(np.int64)), *lists]
+                yield pa.RecordBatch.from_arrays(columns, ["line", "doc_id", "text_id", "number", "bitmap", "keys", "infos", "previous"])
+
+    return docs.select("doc_id", "text_id", "text").mapInArrow(run, "line long, doc_id long, text_id long, number int, bitmap long, keys array<long>, infos array<long>, previous array<long>")
+
+
+class _Rows:
+    """Rows of whole keys: sorted by key and id, without repeats."""
+
+    def __init__(self, columns: list[np.ndarray], threshold: int):
+        self.key, self.id, info, bitmap, self.previous = columns
+        self.n, self.place, self.tokens = info >> 32, (info >> 2) & ((1 << 30) - 1), info & 3
+        self.bitmap, self.threshold = bitmap.view(np.uint64), threshold
+
+    def apart(self, total: np.ndarray) -> np.ndarray:
+        """Greatest symmetric difference of similar sets of ``total`` tokens together."""
+        return total - 2 * -(-self.threshold * total // (100 + self.threshold))
+
+    def sift(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of rows pass the length and positional filters, and have no common token just before the key's."""
+        n, m = self.n[x], self.n[y]
+        needed = -(-self.threshold * (n + m) // (100 + self.threshold))
+        ok = 100 * np.minimum(n, m) >= self.threshold * np.maximum(n, m)
+        ok &= self.tokens[x] + np.minimum(n - self.place[x], m - self.place[y]) - 1 >= needed
+        return ok & ((self.previous[x] != self.previous[y]) | (self.previous[x] == 0))
+
+    def small(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Surviving pairs of keys of few rows each, by their distance."""
+        x = _ranges(starts, sizes)
+        last = np.repeat(starts + sizes, sizes)
+        xs, ys = [x[:0]], [x[:0]]
+        for off in range(1, int(sizes.max(initial=1))):
+            more = x + off < last
+            x, last = x[more], last[more]
+            y = x + off
+            near = np.bitwise_count(self.bitmap[x] ^ self.bitmap[y]) <= self.apart(self.n[x] + self.n[y])
+            a, b = x[near], y[near]
+            ok = self.sift(a, b)
+            xs.append(a[ok])
+            ys.append(b[ok])
+        return np.concatenate(xs), np.concatenate(ys)
+
+    def large(self, start: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Surviving pairs of one key, in blocks."""
+        n, bitmap = self.n[start : start + size], self.bitmap[start : start + size]
+        table = self.apart(np.arange(2 * int(n.max()) + 1)) if n.max() < 1 << 16 else None
+        xs, ys = [], []
+        for k in range(0, size, 128):
+            total = n[k : k + 128, None] + n[None, k:]
+            near = np.bitwise_count(bitmap[k : k + 128, None] ^ bitmap[None, k:]) <= (table[total] if table is not None else self.apart(total))
+            a, b = np.nonzero(near)
+            a, b = a[b > a] + k + start, b[b > a] + k + start
+            ok = self.sift(a, b)
+            xs.append(a[ok])
+            ys.append(b[ok])
+        return np.concatenate(xs), np.concatenate(ys)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], threshold: int, limits: Limits) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, place_a, place_b, tokens), and as rows without b the lines of keys to be verified in blocks, with their size as place_b.
+
+    The rows come sorted by key and id; a task holds one batch, and of a key that goes on in the next one at most ``limits.few`` rows.
+    """
+    names = ["key", "a", "b", "place_a", "place_b", "tokens"]
+
+    def dense(r: _Rows, rows: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(r.key[rows]), pa.array(r.id[rows]), none, pa.array(r.place[rows]), pa.array(r.n[rows]), pa.array(r.tokens[rows])], names)
+
+    held, endless, last = None, None, None
+    for batch in _with_end(batches):
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)] if batch is not None else None
+        if columns is not None and held is not None:
+            columns = [np.concatenate([a, b]) for a, b in zip(held, columns, strict=True)]
+        columns = held if columns is None else columns
+        if columns is None or not len(columns[0]):
+            continue
+        key, ids = columns[:2]
+        new = np.concatenate([[(key[0], ids[0]) != last], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
+        r = _Rows([c[new] for c in columns], threshold)
+        held = None
+        if not len(r.key):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], r.key[1:] != r.key[:-1]]))
+        sizes = np.diff(np.append(starts, len(r.key)))
+        blocks = (sizes > limits.few) | (r.key[starts] == endless if endless is not None else np.zeros(len(starts), bool))
+        last = None
+        if batch is not None:  # the last key may go on
+            if blocks[-1]:
+                endless, last = r.key[-1], (r.key[-1], r.id[-1])
+            else:
+                held, endless = [c[key == key[-1]] for c in columns], None
+                starts, sizes, blocks = starts[:-1], sizes[:-1], blocks[:-1]
+        little = np.flatnonzero((sizes > 1) & (sizes <= 24) & ~blocks)
+        pairs = [r.small(starts[little], sizes[little])]
+        for k in np.flatnonzero((sizes > 24) & ~blocks):
+            x, y = r.large(starts[k], sizes[k])
+            if len(x) > limits.dense * sizes[k]:
+                blocks[k] = True
+            else:
+                pairs.append((x, y))
+        x, y = (np.concatenate(z) for z in zip(*pairs, strict=True))
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(r.key[x]), pa.array(r.id[x]), pa.array(r.id[y]), pa.array(r.place[x]), pa.array(r.place[y]), pa.array(r.tokens[x])], names)
+        for k in np.flatnonzero(blocks):
+            yield dense(r, np.arange(starts[k], starts[k] + sizes[k]))
+
+
+def _with_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def line_tokens(docs: DataFrame, wanted: DataFrame, rarity: Broadcast, bits: int, min_tokens: int) -> DataFrame:
+    """(id, tokens), tokens in order of rarity, of the lines ``wanted`` (id, doc_id, text_id, number): id as found at that place."""
+    places = wanted.select(F.xxhash64("doc_id", "text_id").alias("place"))
+    rows, allowed = id_filter(places, "place", _ID_BITS), id_filter(wanted, "id", _ID_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, line, token, _ in _lines(batch.column(0)):
+            batch = batch.filter(pa.array(rows.value[cells(batch.column(3).to_numpy(zero_copy_only=False), _ID_BITS)] > 0))
+            if not batch.num_rows:
+                continue
+            ids, names = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for _, _, line, token, places in _lines(batch.column(2)):
                 own, first, size = _line_sets(line, token, min_tokens)
-                names = _set_hash(token, first, size)
-                hit = np.flatnonzero(allowed.value[cells(names, _ID_BITS)] > 0)
-                _, once = np.unique(names[hit], return_index=True)
-                hit = hit[once]
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[hit]), list_column([token[first[k] : first[k] + size[k]].view(np.int64) for k in hit], pa.int64())], ["id", "tokens"])
+                line_id = _set_hash(token, first, size)
+                hit = np.flatnonzero(allowed.value[cells(line_id, _ID_BITS)] > 0)
+                if not len(hit):
+                    continue
+                n = size[hit]
+                mine, which = token[_ranges(first[hit], n)], np.repeat(np.arange(len(hit)), n)
+                mine = mine[_ordered(mine, which, rarity.value[cells(mine, bits)])].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(mine, pa.int64()))
+                at = places[0][own[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(line_id[hit]), pa.array(ids[at], pa.int64()), pa.array(names[at], pa.int64()), pa.array(places[1][own[hit]], pa.int32()), lists], ["id", "doc_id", "text_id", "number", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "id long, tokens array<long>").join(ids.distinct(), "id", "left_semi")
+    found = docs.select("doc_id", "text_id", "text", F.xxhash64("doc_id", "text_id").alias("place")).mapInArrow(run, "id long, doc_id long, text_id long, number int, tokens array<long>")
+    return found.join(wanted, ["id", "doc_id", "text_id", "number"], "left_semi").select("id", "tokens").dropDuplicates(["id"])
 
 
-def similar_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5) -> DataFrame:
-    """(line, doc_id, number, class_id, links, first_doc, first_number) of the lines of ``docs`` (doc_id, text) that occur more than once.
+def _verify_block(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """(id, links, root) of the lines of two blocks of a key: links to lines of the other block, and a forest over them.
 
-    class_id is a name shared by all lines that links of Jaccard >= threshold % join, links the
-    verified links of the line to other token sets, and first_* the first occurrence in the class.
+    Common tokens are counted by products of 0-1 matrices; a pair counts here if the key's tokens are its first common ones.
+    """
+    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    same = not len(right)
+    right = left if same else right
+    flat = np.concatenate([*left["tokens"], *right["tokens"]])
+    _, token, times = np.unique(flat, return_inverse=True, return_counts=True)
+    common = times > 1  # others are in one line only
+    token, alone = (np.cumsum(common) - 1)[token], ~common[token]
+
+    def matrices(part: pd.DataFrame, own: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = part["tokens"].map(len).to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        rank = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        whole, head = (np.zeros((len(n), int(common.sum())), np.float32) for _ in range(2))
+        whole[row[~alone], own[~alone]] = 1
+        early = ~alone & (rank <= part["place"].to_numpy()[row])
+        head[row[early], own[early]] = 1
+        return whole, head, n
+
+    cut = int(left["tokens"].map(len).sum())
+    (a, a_head, n), (b, b_head, m) = matrices(left, token[:cut], alone[:cut]), matrices(right, *((token[:cut], alone[:cut]) if same else (token[cut:], alone[cut:])))
+    shared = a @ b.T
+    linked = (100 * shared >= threshold * (n[:, None] + m[None, :] - shared)) & (a_head @ b_head.T == pdf["tokens_in_key"].iloc[0])
+    x, y = left["id"].to_numpy(), right["id"].to_numpy()
+    linked &= x[:, None] != y[None, :]
+    root_a, root_b = np.arange(len(x)), np.arange(len(y)) + (0 if same else len(x))
+    everyone = x if same else np.concatenate([x, y])
+    label = np.arange(len(everyone))
+    while True:  # the least label of a line and its partners, until nothing changes
+        before = label
+        to_a = np.where(linked, label[root_b][None, :], len(everyone)).min(axis=1, initial=len(everyone))
+        label = label.copy()
+        label[root_a] = np.minimum(label[root_a], to_a)
+        to_b = np.where(linked, label[root_a][:, None], len(everyone)).min(axis=0, initial=len(everyone))
+        label[root_b] = np.minimum(label[root_b], to_b)
+        label = label[label]
+        if (label == before).all():
+            break
+    links = linked.sum(axis=1) if same else np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
+    return pd.DataFrame({"id": everyone, "links": links, "root": everyone[label]})[links > 0]
+
+
+def _dense_links(rows: DataFrame, tokens: DataFrame, threshold: int, limits: Limits) -> DataFrame:
+    """(id, links, root) over the keys of ``rows`` (key, id, place, n, tokens_in_key), by pairs of blocks of lines."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / limits.lines, F.sum("n") / limits.tokens)).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"), (F.col("block") > o).cast("int").alias("side")))
+    dealt = dealt.join(tokens, "id").select("key", "id", "place", "tokens_in_key", "tokens", F.explode(others).alias("o")).select("key", "id", "place", "tokens_in_key", "tokens", "o.*")
+    return dealt.groupBy("key", "i", "j").applyInPandas(lambda pdf: _verify_block(pdf, threshold), "id long, links long, root long")
+
+
+def similar_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, limits: Limits = Limits()) -> DataFrame:
+    """(line, doc_id, text_id, number, class_id, links, first_doc, first_text, first_number) of the lines of ``docs`` (doc_id, text_id, text) that occur more than once.
+
+    class_id is a name shared by all lines that links of Jaccard >= threshold % join, links the number of all
+    other token sets with which the line is linked, and first_* the first occurrence in the class.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     joined = max(min_tokens, _least_joined(threshold))
-    lines = keep(index_lines(docs, token_rarity(docs, joined), threshold, min_tokens))
-    features = ("n", "rare", "bitmap", "wide", "few", "many")
-    own = keep(lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("times"), *[F.any_value(c).alias(c) for c in features]))
-    seen = own.select("line", "first", "times")
-    places = keep(lines.select("line", "doc_id", "number"))
-    discard(lines)
-    del lines
-    tidy(docs.sparkSession)
-
-    def needed(n: Column, m: Column) -> Column:
-        return F.ceil(threshold * (n + m) / F.lit(100 + threshold))
-
-    def near(n: Column, m: Column, apart: Column) -> Column:
-        return (100 * F.least(n, m) >= threshold * F.greatest(n, m)) & (apart <= n + m - 2 * needed(n, m))
-
-    def possible(x, y) -> Column:
-        first = near(x("n"), y("n"), F.bit_count(x("bitmap").bitwiseXOR(y("bitmap"))))
-        return first & near(x("n"), y("n"), sum((F.bit_count(x("wide")[k].bitwiseXOR(y("wide")[k])) for k in range(_WIDE)), F.lit(0)))
-
-    # size and place share a column, so that the largest shuffle stays narrow
-    few = own.select(F.explode("few").alias("t"), F.col("line").alias("id"), "n", "bitmap")
-    few = few.select(F.shiftright("t", 16).cast("int").alias("bucket"), "id", (F.shiftleft(F.col("n").cast("long"), 16) + F.col("t").bitwiseAND(0xFFFF)).alias("np"), "bitmap")
-    x, y = few.alias("x"), few.alias("y")
-    n, m = (F.shiftright(f"{s}.np", 16) for s in "xy")
-    met = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(F.col("x.id") < F.col("y.id")).where(near(n, m, F.bit_count(F.col("x.bitmap").bitwiseXOR(F.col("y.bitmap")))))
-    place = F.col("x.np").bitwiseAND(0xFFFF).cast("int")
-    low, high = (F.when((place >= k) & (place < k + 63), F.expr("shiftleft(1L, cast((x.np & 65535) as int) - %d)" % k)).otherwise(F.lit(0)) for k in (0, 63))
-    met = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.np").alias("p"), F.col("y.np").alias("q"), low.alias("low"), high.alias("high"))
-    met = met.groupBy("a", "b").agg(F.max("p").alias("p"), F.max("q").alias("q"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
-    # positional filter: what is shared up to the last shared token of both prefixes, and all that can follow it
-    n, m, i, j = F.shiftright("p", 16), F.shiftright("q", 16), F.col("p").bitwiseAND(0xFFFF), F.col("q").bitwiseAND(0xFFFF)
-    shared = F.bit_count("low") + F.bit_count("high") + F.greatest(i - 125, F.lit(0))
-    pairs = met.where(shared + F.least(n - 1 - i, m - 1 - j) >= needed(n, m)).select("a", "b")
-    pairs = keep(pairs)
-    del met, few, x, y
-    tidy(docs.sparkSession)
-
-    # Only pairs whose first shared token is a frequent one are left. The shorter line of such a pair has at
-    # most n (100 - t) / (100 + t) rarer tokens; a longer one must fit one of those in its bucket.
-    spread = own.where("size(many) > 0").select(F.explode("many").alias("bucket"), F.col("line").alias("id"), "n", "rare", "bitmap", "times", "wide")
-    spread = spread.withColumn("short", F.col("rare") * (100 + threshold) <= F.col("n") * (100 - threshold))
-    same = ("bucket", "id", "n", "short", "bitmap", "times", "wide")
-    shorter = keep(spread.where("short").select(*same).dropDuplicates(["bucket", "id"]))
-    sizes = shorter.groupBy("bucket").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    fits = (100 * F.col("high") >= threshold * F.col("n")) & (F.col("low") * threshold <= (F.col("n") - F.col("rare")) * (100 + threshold) - threshold * F.col("n"))
-    longer = spread.where("not short").join(sizes, "bucket").where(fits).select(*same).dropDuplicates(["bucket", "id"])
-    members = keep(shorter.unionByName(longer))
-    discard(shorter)
-    del shorter, longer, spread, sizes
-    tidy(docs.sparkSession)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = keep(pairs)
-        if pairs.isEmpty():
-            return pairs
-        ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        sets = keep(line_tokens(docs, ids, joined).dropDuplicates(["id"]))
-        tidy(docs.sparkSession)
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-        shared = F.size(F.array_intersect("ta", "tb"))
-        out = keep(both.where(100 * shared >= threshold * (F.size("ta") + F.size("tb") - shared)).select("a", "b"))
-        discard(pairs, ids, sets)
-        del both
-        tidy(docs.sparkSession)
-        return out
-
-    found, links = connect(members, -F.col("times"), possible, verify, given=pairs, short=F.col("short"))
-    discard(members)
-    degree = links.select(F.col("a").alias("line")).unionByName(links.select(F.col("b").alias("line"))).groupBy("line").agg(F.count("*").alias("links"))
-    named = seen.join(found.select(F.col("id").alias("line"), "component"), "line", "left").join(degree, "line", "left")
-    named = named.select("line", F.coalesce("component", "line").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "first", "times")
-    firsts = named.groupBy("class_id").agg(F.min("first").alias("first"), F.sum("times").alias("class_times"))
-    classes = named.drop("first").join(firsts, "class_id").where("class_times > 1")
-    classes = keep(classes.select("line", "class_id", "links", F.col("first.doc_id").alias("first_doc"), F.col("first.number").alias("first_number")))
-    hits = keep(places.join(classes, "line"))
-    discard(places, own, found, links, classes)
-    del places, own, seen, found, links, classes, named, firsts, degree
-    tidy(docs.sparkSession)
+    bits = rarity_bits(docs)
+    rarity = token_rarity(docs, bits)
+    lines = keep(index_lines(docs, rarity, bits, threshold, min_tokens, limits.few))
+    place = F.struct("doc_id", "text_id", "number")
+    seen = keep(lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times")))
+
+    keys = lines.where("size(keys) > 0").select("line", "bitmap", F.explode(F.arrays_zip("keys", "infos", "previous")).alias("k"))
+    keys = keys.select(F.col("k.keys").alias("key"), F.col("line").alias("id"), F.col("k.infos").alias("info"), "bitmap", F.col("k.previous").alias("previous"))
+    met = keep(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda batches: _meet(batches, threshold, limits), "key long, a long, b long, place_a long, place_b long, tokens long"), 50_000)
+    pairs = met.where("b is not null").select("a", "b", "place_a", "place_b", "tokens")
+    dense = met.where("b is null").select("key", F.col("a").alias("id"), F.col("place_a").alias("place"), F.col("place_b").alias("n"), F.col("tokens").alias("tokens_in_key"))
+
+    ids = met.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct()
+    wanted = keep(ids.join(seen.select(F.col("line").alias("id"), "first.*"), "id"))
+    tokens = keep(line_tokens(docs, wanted, rarity, bits, joined))
+    both = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    heads = F.size(F.array_intersect(F.slice("ta", F.lit(1), F.col("place_a").cast("int") + 1), F.slice("tb", F.lit(1), F.col("place_b").cast("int") + 1)))
+    near = (heads == F.col("tokens")) & (100 * shared >= threshold * (F.size("ta") + F.size("tb") - shared))
+    single = keep(both.where(near).select("a", "b"))
+    blocks = keep(_dense_links(dense, tokens, threshold, limits))
+    discard(met, wanted, tokens)
+
+    found = components(single.unionByName(blocks.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    one = F.lit(1).cast("long").alias("links")
+    degree = single.select(F.col("a").alias("line"), one).unionByName(single.select(F.col("b").alias("line"), one)).unionByName(blocks.select(F.col("id").alias("line"), "links"))
+    degree = degree.groupBy("line").agg(F.sum("links").alias("links"))
+    linked = found.select(F.col("id").alias("line"), "component").join(degree, "line", "left")
+    named = seen.join(linked, "line", "left").where("times > 1 or component is not null")
+    named = keep(named.select("line", F.coalesce("component", "line").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "first"))
+    firsts = named.groupBy("class_id").agg(F.min("first").alias("first"))
+    classes = named.drop("first").join(firsts, "class_id")
+    classes = classes.select("line", "class_id", "links", F.col("first.doc_id").alias("first_doc"), F.col("first.text_id").alias("first_text"), F.col("first.number").alias("first_number"))
+    hits = keep(lines.select("line", "doc_id", "text_id", "number").join(classes, "line"))
+    discard(lines, seen, single, blocks, named)
     return hits
 
 
-def dedup_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, limits: Limits = Limits()) -> DataFrame:
     """``docs`` with every line removed that repeats an earlier one, and what was found.
 
     A line is a stretch of text between newlines; its tokens are its distinct words (A-Z
-    lower-cased). Lines of at least ``min_tokens`` tokens whose sets have a Jaccard similarity of
+    lower-cased), known by 64-bit hashes. Lines of at least ``min_tokens`` tokens whose sets have a Jaccard similarity of
     ``threshold`` % or more are linked; of each class that links join, the first line in order of
-    (doc_id, line number) stays and all later ones go. Shorter lines stay; with 1 no line but blank ones is left out.
+    (doc_id, hash of the text, line number) stays and all later ones go. Shorter lines stay; with 1 no line but blank ones is left out.
 
     Adds line_count, removed_count, line_classes (ids of the classes in which the row took part)
-    and line_links (verified links of its lines to different lines). Input columns of these names
-    are replaced; all others pass unchanged.
+    and line_links (for each of its lines in such a class, all different lines with which it is linked). Input columns of these names
+    are replaced; all others, of any name, pass unchanged.
 
     Defined cases: a null text stays null with 0 lines; an empty text has one empty line; rows
-    without doc_id pass unchanged; rows that share a doc_id are treated alike; an empty table gives
-    an empty table.
+    without doc_id pass unchanged; rows that share a doc_id are told apart by their texts, and rows equal in both are
+    treated alike; an empty table gives an empty table; a very long line or text is one like any other.
     """
-    hits = similar_lines(docs, threshold, min_tokens)
-    later = (F.col("doc_id") != F.col("first_doc")) | (F.col("number") != F.col("first_number"))
-    per_doc = hits.groupBy("doc_id").agg(F.collect_set(F.when(later, F.col("number"))).alias("_gone"), F.sort_array(F.collect_set("class_id")).alias("line_classes"), F.sum("links").alias("line_links"))
     made = ("line_count", "removed_count", "line_classes", "line_links")
     base = docs.select(*[c for c in docs.columns if c not in made])
-    out = base.join(per_doc.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "doc_id", "left")
+    clear = "_" * (1 + max((len(c) for c in base.columns), default=0))  # begins no column of the input
+    doc, name, gone, found = (f"{clear}{x}" for x in ("doc", "text", "gone", "found"))
+    rows = base.withColumns({doc: F.col("doc_id").cast("long"), name: F.xxhash64(F.col("text").cast("string"))})
+    texts = rows.select(F.col(doc).alias("doc_id"), F.col(name).alias("text_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    hits = similar_lines(texts, threshold, min_tokens, limits)
+    later = (F.col("doc_id") != F.col("first_doc")) | (F.col("text_id") != F.col("first_text")) | (F.col("number") != F.col("first_number"))
+    per_row = hits.groupBy("doc_id", "text_id").agg(
+        F.struct(F.collect_set(F.when(later, F.col("number"))).alias("gone"), F.sort_array(F.collect_set("class_id")).alias("classes"), F.sum("links").alias("links")).alias(found)
+    )
+    out = rows.join(per_row.withColumnsRenamed({"doc_id": doc, "text_id": name}), [doc, name], "left")
     parts = F.split(F.col("text"), "\n", -1)
-    kept = F.filter(F.arrays_zip(parts.alias("l"), F.sequence(F.lit(0), F.size(parts) - 1).alias("k")), lambda x: ~F.array_contains("_gone", x["k"]))
-    text = F.when(F.size("_gone") > 0, F.array_join(F.transform(kept, lambda x: x["l"]), "\n")).otherwise(F.col("text"))
+    gone = F.col(found)["gone"]
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    text = F.when(F.size(gone) > 0, F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n")).otherwise(F.col("text"))
     return out.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in base.columns],
+        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("line_count"),
-        F.greatest(F.size("_gone"), F.lit(0)).cast("long").alias("removed_count"),
-        F.coalesce("line_classes", F.array().cast("array<bigint>")).alias("line_classes"),
-        F.coalesce("line_links", F.lit(0)).cast("long").alias("line_links"),
+        F.greatest(F.size(gone), F.lit(0)).cast("long").alias("removed_count"),
+        F.coalesce(F.col(found)["classes"], F.array().cast("array<bigint>")).alias("line_classes"),
+        F.coalesce(F.col(found)["links"], F.lit(0)).cast("long").alias("line_links"),
     )

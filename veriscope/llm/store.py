@@ -14,9 +14,11 @@ _CONF = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a temporary folder on a local master, and an error on a cluster."""
     folder = spark.conf.get(_CONF, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{_CONF} names no folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="veriscope-")
         spark.conf.set(_CONF, folder)
     return folder.rstrip("/")
@@ -24,23 +26,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for what runs inside: long texts then fill little memory outside the heap."""
+    """Arrow batches of ``rows`` rows for what runs inside: few where rows hold long texts, so that they fill little memory outside the heap."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    spark.conf.set(name, str(rows))
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return a scan of it.
+def keep(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and return a scan of it; ``rows`` go to Python at once.
 
     A lost executor costs only the re-read of its splits; nothing upstream runs twice.
     """
     path = f"{shared_folder(df.sparkSession)}/veriscope-{uuid.uuid4().hex}"
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, rows):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
