@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .hashing import SPACE, mix, pieces, text_buffers, words
 from .idfilter import SPARSE, cells, counts, id_filter, merged, step
 from .links import components
-from .store import discard, keep
+from .store import discard, keep, tidy
 
 _ID_BITS = 22
 
@@ -106,9 +106,12 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def rarity_bits(docs: DataFrame) -> int:
-    """log2 of the cells of the token table: grows with the text as vocabularies do (with its square root), within 16 kB and 64 MB."""
-    chars = docs.agg(F.sum(F.length("text").cast("double"))).first()[0] or 0.0
-    return int(np.clip(np.ceil(np.log2(256 * np.sqrt(chars) + 1)), 14, 26))
+    """log2 of the cells of the token table: grows as vocabularies do, with the square root of the text, within 16 kB and 64 MB.
+
+    The text is reckoned as the rows times the mean length of a few of them; only the order of tokens depends on it.
+    """
+    mean = docs.select(F.length("text").alias("n")).limit(200).agg(F.avg("n")).first()[0] or 0.0
+    return int(np.clip(np.ceil(np.log2(256 * np.sqrt(mean * docs.count()) + 1)), 14, 26))
 
 
 def token_rarity(docs: DataFrame, bits: int) -> Broadcast:
@@ -136,33 +139,33 @@ def _ordered(token: np.ndarray, which: np.ndarray, count: np.ndarray) -> np.ndar
     return np.lexsort((token, count, which))
 
 
-def _keys(token: np.ndarray, count: np.ndarray, which: np.ndarray, rank: np.ndarray, size: np.ndarray, threshold: int, frequent: int) -> tuple[np.ndarray, ...]:
-    """(line, key, info, previous token) of the keys of lines whose ``token`` stand in order of rarity.
+def _prefix_lengths(size: np.ndarray, threshold: int) -> np.ndarray:
+    """Tokens of the rarest n - ceil(t n) + 1, of which a similar set must have one; 0 for sets too small to resemble any other."""
+    return np.where(size >= _least_joined(threshold), size - -(-threshold * size // 100) + 1, 0)
 
-    A token of the prefix (the n - ceil(t n) + 1 rarest) is a key, unless too frequent; then it makes one with each token
-    after it of the prefix that is one longer. info holds n, the place of the key's last token and the number of its tokens.
-    """
-    prefix = np.where(size >= _least_joined(threshold), size - -(-threshold * size // 100) + 1, 0)
-    inside = (rank < prefix[which]) & (count > 1)
-    one, more = np.flatnonzero(inside & (count <= frequent)), np.flatnonzero(inside & (count > frequent))
+
+def _token_pairs(token: np.ndarray, frequent: np.ndarray, prefix: np.ndarray, which: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(line, key, place of the second token, token before it) of each frequent prefix token with each later one of the prefix that is one longer."""
+    more = np.flatnonzero(frequent)
     width = prefix[which[more]] - rank[more]
     first, second = np.repeat(more, width), _ranges(more + 1, width)
-    both = mix(token[first]) ^ (token[second] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    at = np.concatenate([one, second])
-    previous = np.where(rank[at] > 0, token[at - 1], np.uint64(0))
-    previous[len(one) :][first == second - 1] = 0
-    info = (size[which[at]].astype(np.int64) << 32) | (rank[at].astype(np.int64) << 2) | np.repeat([1, 2], [len(one), len(second)])
-    return which[at], np.concatenate([token[one], both]), info, previous
+    key = mix(token[first]) ^ (token[second] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return which[first], key, rank[second], np.where(second == first + 1, np.uint64(0), token[second - 1])
 
 
 def index_lines(docs: DataFrame, rarity: Broadcast, bits: int, threshold: int, min_tokens: int, few: int) -> DataFrame:
-    """(line, doc_id, text_id, number, bitmap, keys, infos, previous): each document's lines as token sets.
+    """(line, doc_id, text_id, number, n, bitmap, prefix, pairs): each document's lines as token sets.
 
-    line is a hash of the set; bitmap the exclusive or of one bit for each token, whose Hamming distance never
-    exceeds the symmetric difference. The keys stand with the first occurrence of a line in a task.
+    line is a hash of the set of n tokens; bitmap the exclusive or of one bit for each token, whose Hamming distance never
+    exceeds the symmetric difference. With the first occurrence of a line in a task stand its prefix, the last bit of a
+    token set if it is a key of its own, and the keys of token pairs, as key, place and token before it.
     """
     frequent = int(step(np.array([few]))[0])
 
+    def lists(of: np.ndarray, values: np.ndarray, lines: int, each: int = 1) -> pa.ListArray:
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=lines))])
+        return pa.ListArray.from_arrays(pa.array(each * ends, pa.int32()), pa.array(values.view(np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = rarity.value
         seen: set[int] = set()  # at most the lines of one split
@@ -173,28 +176,40 @@ def index_lines(docs: DataFrame, rarity: Broadcast, bits: int, threshold: int, m
                 if not len(own):
                     continue
                 line_id = _set_hash(token, first, size)
-                fresh = np.array([x not in seen for x in line_id.tolist()])
-                _, once = np.unique(line_id, return_index=True)
-                fresh &= np.isin(np.arange(len(own)), once)
+                fresh = np.zeros(len(own), bool)
+                fresh[np.unique(line_id, return_index=True)[1]] = True
+                fresh &= np.array([x not in seen for x in line_id.tolist()])
                 seen.update(line_id[fresh].tolist())
-                bitmap, ends, parts = np.zeros(len(own), np.uint64), np.zeros(len(own) + 1, np.int64), [np.zeros(0, np.int64)] * 3
-                if fresh.any():
-                    n = size[fresh]
-                    mine = token[_ranges(first[fresh], n)]
-                    begin = np.cumsum(n) - n
-                    bitmap[fresh] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(mine + np.uint64(7)) & np.uint64(63)), begin)
-                    which = np.repeat(np.arange(len(n)), n)
-                    count = rare[cells(mine, bits)]
-                    order = _ordered(mine, which, count)
-                    of, key, info, previous = _keys(mine[order], count[order], which, np.arange(len(mine)) - begin[which], n, threshold, frequent)
-                    by_line = np.argsort(of, kind="stable")
-                    ends[1:] = np.cumsum(np.bincount(np.flatnonzero(fresh)[of], minlength=len(own)))
-                    parts = [x[by_line].view(np.int64) for x in (key, info, previous)]
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int64())) for x in parts]
-                columns = [pa.array(line_id), pa.array(ids[places[0][own]], pa.int64()), pa.array(names[places[0][own]], pa.int64()), pa.array(places[1][own], pa.int32()), pa.array(bitmap.view(np.int64)), *lists]
-                yield pa.RecordBatch.from_arrays(columns, ["line", "doc_id", "text_id", "number", "bitmap", "keys", "infos", "previous"])
-
-    return docs.select("doc_id", "text_id", "text").mapInArrow(run, "line long, doc_id long, text_id long, number int, bitmap long, keys array<long>, infos array<long>, previous array<long>")
+                rows, n = np.flatnonzero(fresh), size[fresh]
+                mine, which = token[_ranges(first[fresh], n)], np.repeat(np.arange(len(n)), n)
+                begin = np.cumsum(n) - n
+                bitmap = np.zeros(len(own), np.uint64)
+                if len(n):
+                    bitmap[rows] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(mine + np.uint64(7)) & np.uint64(63)), begin)
+                count = rare[cells(mine, bits)]
+                order = _ordered(mine, which, count)
+                mine, count, rank, prefix = mine[order], count[order], np.arange(len(mine)) - begin[which], _prefix_lengths(n, threshold)
+                inside = rank < prefix[which]
+                marked = mine & ~np.uint64(1) | ((count > 1) & (count <= frequent)).astype(np.uint64)
+                of, *pairs = _token_pairs(mine, inside & (count > frequent), prefix, which, rank)
+                columns = [
+                    pa.array(line_id), pa.array(ids[places[0][own]], pa.int64()), pa.array(names[places[0][own]], pa.int64()), pa.array(places[1][own], pa.int32()), pa.array(size, pa.int32()), pa.array(bitmap.view(np.int64)),
+                    lists(rows[which[inside]], marked[inside], len(own)), lists(rows[of], np.stack([x.astype(np.uint64) for x in pairs], axis=1).ravel(), len(own), 3),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["line", "doc_id", "text_id", "number", "n", "bitmap", "prefix", "pairs"])
+
+    return docs.select("doc_id", "text_id", "text").mapInArrow(run, "line long, doc_id long, text_id long, number int, n int, bitmap long, prefix array<long>, pairs array<long>")
+
+
+def _key_rows(lines: DataFrame) -> DataFrame:
+    """(key, id, info, bitmap, previous): info holds the set's size, the place of the key's last token and the number of its tokens; previous is the token before that place, or 0."""
+    info = lambda place, tokens: F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(place.cast("long"), 2)).bitwiseOR(F.lit(tokens))
+    one = lines.where("size(prefix) > 0").select(F.col("line").alias("id"), "n", "bitmap", "prefix", F.posexplode("prefix")).where("col % 2 <> 0")
+    before = F.when(F.col("pos") > 0, F.shiftright(F.get("prefix", F.col("pos") - 1), 1)).otherwise(F.lit(0).cast("long"))
+    one = one.select(F.shiftright("col", 1).alias("key"), "id", info(F.col("pos"), 1).alias("info"), "bitmap", before.alias("previous"))
+    two = lines.where("size(pairs) > 0").select(F.col("line").alias("id"), "n", "bitmap", "pairs", F.explode(F.sequence(F.lit(0), F.size("pairs") - 3, F.lit(3))).alias("k"))
+    two = two.select(F.get("pairs", F.col("k")).alias("key"), "id", info(F.get("pairs", F.col("k") + 1), 2).alias("info"), "bitmap", F.shiftright(F.get("pairs", F.col("k") + 2), 1).alias("previous"))
+    return one.unionByName(two)
 
 
 class _Rows:
@@ -252,7 +267,7 @@ class _Rows:
 def _meet(batches: Iterator[pa.RecordBatch], threshold: int, limits: Limits) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, place_a, place_b, tokens), and as rows without b the lines of keys to be verified in blocks, with their size as place_b.
 
-    The rows come sorted by key and id; a task holds one batch, and of a key that goes on in the next one at most ``limits.few`` rows.
+    The rows come sorted by key; a task holds one batch, and of a key that goes on in the next one at most ``limits.few`` rows.
     """
     names = ["key", "a", "b", "place_a", "place_b", "tokens"]
 
@@ -260,7 +275,7 @@ def _meet(batches: Iterator[pa.RecordBatch], threshold: int, limits: Limits) ->
         none = pa.nulls(len(rows), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(r.key[rows]), pa.array(r.id[rows]), none, pa.array(r.place[rows]), pa.array(r.n[rows]), pa.array(r.tokens[rows])], names)
 
-    held, endless, last = None, None, None
+    held, endless = None, None
     for batch in _with_end(batches):
         columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)] if batch is not None else None
         if columns is not None and held is not None:
@@ -268,21 +283,18 @@ def _meet(batches: Iterator[pa.RecordBatch], threshold: int, limits: Limits) ->
         columns = held if columns is None else columns
         if columns is None or not len(columns[0]):
             continue
-        key, ids = columns[:2]
-        new = np.concatenate([[(key[0], ids[0]) != last], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
-        r = _Rows([c[new] for c in columns], threshold)
+        order = np.lexsort(columns[1::-1])
+        key, ids = columns[0][order], columns[1][order]
+        r = _Rows([c[order[np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])]] for c in columns], threshold)
         held = None
-        if not len(r.key):
-            continue
         starts = np.flatnonzero(np.concatenate([[True], r.key[1:] != r.key[:-1]]))
         sizes = np.diff(np.append(starts, len(r.key)))
         blocks = (sizes > limits.few) | (r.key[starts] == endless if endless is not None else np.zeros(len(starts), bool))
-        last = None
         if batch is not None:  # the last key may go on
             if blocks[-1]:
-                endless, last = r.key[-1], (r.key[-1], r.id[-1])
+                endless = r.key[-1]
             else:
-                held, endless = [c[key == key[-1]] for c in columns], None
+                held, endless = [c[columns[0] == key[-1]] for c in columns], None
                 starts, sizes, blocks = starts[:-1], sizes[:-1], blocks[:-1]
         little = np.flatnonzero((sizes > 1) & (sizes <= 24) & ~blocks)
         pairs = [r.small(starts[little], sizes[little])]
@@ -387,24 +399,24 @@ def _dense_links(rows: DataFrame, tokens: DataFrame, threshold: int, limits: Lim
     return dealt.groupBy("key", "i", "j").applyInPandas(lambda pdf: _verify_block(pdf, threshold), "id long, links long, root long")
 
 
-def similar_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, limits: Limits = Limits()) -> DataFrame:
+def similar_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, limits: Limits = Limits(), bits: int = 22) -> DataFrame:
     """(line, doc_id, text_id, number, class_id, links, first_doc, first_text, first_number) of the lines of ``docs`` (doc_id, text_id, text) that occur more than once.
 
     class_id is a name shared by all lines that links of Jaccard >= threshold % join, links the number of all
-    other token sets with which the line is linked, and first_* the first occurrence in the class.
+    other token sets with which the line is linked, and first_* the first occurrence in the class. Token counts use 2**bits cells.
     """
     joined = max(min_tokens, _least_joined(threshold))
-    bits = rarity_bits(docs)
     rarity = token_rarity(docs, bits)
     lines = keep(index_lines(docs, rarity, bits, threshold, min_tokens, limits.few))
     place = F.struct("doc_id", "text_id", "number")
     seen = keep(lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times")))
 
-    keys = lines.where("size(keys) > 0").select("line", "bitmap", F.explode(F.arrays_zip("keys", "infos", "previous")).alias("k"))
-    keys = keys.select(F.col("k.keys").alias("key"), F.col("line").alias("id"), F.col("k.infos").alias("info"), "bitmap", F.col("k.previous").alias("previous"))
-    met = keep(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda batches: _meet(batches, threshold, limits), "key long, a long, b long, place_a long, place_b long, tokens long"), 50_000)
+    met = keep(_key_rows(lines).repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _meet(batches, threshold, limits), "key long, a long, b long, place_a long, place_b long, tokens long"), 50_000)
+    places = keep(lines.select("line", "doc_id", "text_id", "number"))
+    discard(lines)
+    tidy(docs.sparkSession)
     pairs = met.where("b is not null").select("a", "b", "place_a", "place_b", "tokens")
-    dense = met.where("b is null").select("key", F.col("a").alias("id"), F.col("place_a").alias("place"), F.col("place_b").alias("n"), F.col("tokens").alias("tokens_in_key"))
+    dense = met.where("b is null").select("key", F.col("a").alias("id"), F.col("place_a").alias("place"), F.col("place_b").alias("n"), F.col("tokens").alias("tokens_in_key")).dropDuplicates(["key", "id"])
 
     ids = met.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct()
     wanted = keep(ids.join(seen.select(F.col("line").alias("id"), "first.*"), "id"))
@@ -416,6 +428,8 @@ def similar_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, lim
     single = keep(both.where(near).select("a", "b"))
     blocks = keep(_dense_links(dense, tokens, threshold, limits))
     discard(met, wanted, tokens)
+    del pairs, dense, ids, both
+    tidy(docs.sparkSession)
 
     found = components(single.unionByName(blocks.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))))
     one = F.lit(1).cast("long").alias("links")
@@ -427,8 +441,10 @@ def similar_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, lim
     firsts = named.groupBy("class_id").agg(F.min("first").alias("first"))
     classes = named.drop("first").join(firsts, "class_id")
     classes = classes.select("line", "class_id", "links", F.col("first.doc_id").alias("first_doc"), F.col("first.text_id").alias("first_text"), F.col("first.number").alias("first_number"))
-    hits = keep(lines.select("line", "doc_id", "text_id", "number").join(classes, "line"))
-    discard(lines, seen, single, blocks, named)
+    hits = keep(places.join(classes, "line"))
+    discard(places, seen, single, blocks, named)
+    del found, degree, linked, firsts, classes
+    tidy(docs.sparkSession)
     return hits
 
 
@@ -454,7 +470,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, limit
     doc, name, gone, found = (f"{clear}{x}" for x in ("doc", "text", "gone", "found"))
     rows = base.withColumns({doc: F.col("doc_id").cast("long"), name: F.xxhash64(F.col("text").cast("string"))})
     texts = rows.select(F.col(doc).alias("doc_id"), F.col(name).alias("text_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    hits = similar_lines(texts, threshold, min_tokens, limits)
+    hits = similar_lines(texts, threshold, min_tokens, limits, rarity_bits(docs))
     later = (F.col("doc_id") != F.col("first_doc")) | (F.col("text_id") != F.col("first_text")) | (F.col("number") != F.col("first_number"))
     per_row = hits.groupBy("doc_id", "text_id").agg(
         F.struct(F.collect_set(F.when(later, F.col("number"))).alias("gone"), F.sort_array(F.collect_set("class_id")).alias("classes"), F.sum("links").alias("links")).alias(found)
