@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from .hashing import SPACE, mix, pieces, text_buffers, words
 from .idfilter import SPARSE, cells, counts, id_filter, merged, step
-from .links import components
+from .links import components, forest, shared, similar
 from .store import discard, keep, tidy
 
 _ID_BITS = 22
+#: Words of 64 bits in the bitmap that is looked at before two lines' tokens are.
+_WIDE = 8
 
 
 @dataclass(frozen=True)
@@ -110,8 +112,8 @@ def rarity_bits(docs: DataFrame) -> int:
 
     The text is reckoned as the rows times the mean length of a few of them; only the order of tokens depends on it.
     """
-    mean = docs.select(F.length("text").alias("n")).limit(200).agg(F.avg("n")).first()[0] or 0.0
-    return int(np.clip(np.ceil(np.log2(256 * np.sqrt(mean * docs.count()) + 1)), 14, 26))
+    some = [r["n"] for r in docs.select(F.length("text").alias("n")).limit(200).collect() if r["n"]]
+    return int(np.clip(np.ceil(np.log2(256 * np.sqrt(sum(some) / max(1, len(some)) * docs.count()) + 1)), 14, 26))
 
 
 def token_rarity(docs: DataFrame, bits: int) -> Broadcast:
@@ -317,7 +319,7 @@ def _with_end(batches: Iterator) -> Iterator:
 
 
 def line_tokens(docs: DataFrame, wanted: DataFrame, rarity: Broadcast, bits: int, min_tokens: int) -> DataFrame:
-    """(id, tokens), tokens in order of rarity, of the lines ``wanted`` (id, doc_id, text_id, number): id as found at that place."""
+    """(id, n, wide, tokens), the n tokens in order of rarity and a bitmap of 64 * _WIDE bits, of the lines ``wanted`` (id, doc_id, text_id, number): id as found at that place."""
     places = wanted.select(F.xxhash64("doc_id", "text_id").alias("place"))
     rows, allowed = id_filter(places, "place", _ID_BITS), id_filter(wanted, "id", _ID_BITS)
 
@@ -335,59 +337,32 @@ def line_tokens(docs: DataFrame, wanted: DataFrame, rarity: Broadcast, bits: int
                     continue
                 n = size[hit]
                 mine, which = token[_ranges(first[hit], n)], np.repeat(np.arange(len(hit)), n)
+                mixed = mix(mine + np.uint64(11))
+                wide = np.zeros((len(hit), _WIDE), np.uint64)
+                np.bitwise_xor.at(wide, (which, ((mixed >> np.uint64(6)) % np.uint64(_WIDE)).astype(np.int64)), np.uint64(1) << (mixed & np.uint64(63)))
                 mine = mine[_ordered(mine, which, rarity.value[cells(mine, bits)])].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(mine, pa.int64()))
                 at = places[0][own[hit]]
-                yield pa.RecordBatch.from_arrays([pa.array(line_id[hit]), pa.array(ids[at], pa.int64()), pa.array(names[at], pa.int64()), pa.array(places[1][own[hit]], pa.int32()), lists], ["id", "doc_id", "text_id", "number", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(line_id[hit]), pa.array(ids[at], pa.int64()), pa.array(names[at], pa.int64()), pa.array(places[1][own[hit]], pa.int32()), pa.array(n, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(wide.view(np.int64).ravel()), _WIDE).cast(pa.list_(pa.int64())), lists], ["id", "doc_id", "text_id", "number", "n", "wide", "tokens"])
 
-    found = docs.select("doc_id", "text_id", "text", F.xxhash64("doc_id", "text_id").alias("place")).mapInArrow(run, "id long, doc_id long, text_id long, number int, tokens array<long>")
-    return found.join(wanted, ["id", "doc_id", "text_id", "number"], "left_semi").select("id", "tokens").dropDuplicates(["id"])
+    found = docs.select("doc_id", "text_id", "text", F.xxhash64("doc_id", "text_id").alias("place")).mapInArrow(run, "id long, doc_id long, text_id long, number int, n int, wide array<long>, tokens array<long>")
+    return found.join(wanted, ["id", "doc_id", "text_id", "number"], "left_semi").select("id", "n", "wide", "tokens").dropDuplicates(["id"])
 
 
 def _verify_block(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
     """(id, links, root) of the lines of two blocks of a key: links to lines of the other block, and a forest over them.
 
-    Common tokens are counted by products of 0-1 matrices; a pair counts here if the key's tokens are its first common ones.
+    A pair counts here if the key's tokens are its first common ones.
     """
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     same = not len(right)
     right = left if same else right
-    flat = np.concatenate([*left["tokens"], *right["tokens"]])
-    _, token, times = np.unique(flat, return_inverse=True, return_counts=True)
-    common = times > 1  # others are in one line only
-    token, alone = (np.cumsum(common) - 1)[token], ~common[token]
-
-    def matrices(part: pd.DataFrame, own: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = part["tokens"].map(len).to_numpy()
-        row = np.repeat(np.arange(len(n)), n)
-        rank = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        whole, head = (np.zeros((len(n), int(common.sum())), np.float32) for _ in range(2))
-        whole[row[~alone], own[~alone]] = 1
-        early = ~alone & (rank <= part["place"].to_numpy()[row])
-        head[row[early], own[early]] = 1
-        return whole, head, n
-
-    cut = int(left["tokens"].map(len).sum())
-    (a, a_head, n), (b, b_head, m) = matrices(left, token[:cut], alone[:cut]), matrices(right, *((token[:cut], alone[:cut]) if same else (token[cut:], alone[cut:])))
-    shared = a @ b.T
-    linked = (100 * shared >= threshold * (n[:, None] + m[None, :] - shared)) & (a_head @ b_head.T == pdf["tokens_in_key"].iloc[0])
+    heads = [[t[: p + 1] for t, p in zip(x["tokens"], x["place"], strict=True)] for x in (left, right)]
+    linked = similar(left["tokens"], right["tokens"], threshold) & (shared(*heads) == pdf["tokens_in_key"].iloc[0])
     x, y = left["id"].to_numpy(), right["id"].to_numpy()
     linked &= x[:, None] != y[None, :]
-    root_a, root_b = np.arange(len(x)), np.arange(len(y)) + (0 if same else len(x))
-    everyone = x if same else np.concatenate([x, y])
-    label = np.arange(len(everyone))
-    while True:  # the least label of a line and its partners, until nothing changes
-        before = label
-        to_a = np.where(linked, label[root_b][None, :], len(everyone)).min(axis=1, initial=len(everyone))
-        label = label.copy()
-        label[root_a] = np.minimum(label[root_a], to_a)
-        to_b = np.where(linked, label[root_a][:, None], len(everyone)).min(axis=0, initial=len(everyone))
-        label[root_b] = np.minimum(label[root_b], to_b)
-        label = label[label]
-        if (label == before).all():
-            break
-    links = linked.sum(axis=1) if same else np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
-    return pd.DataFrame({"id": everyone, "links": links, "root": everyone[label]})[links > 0]
+    ids, links, root = forest(x, y, linked, same)
+    return pd.DataFrame({"id": ids, "links": links, "root": root})[links > 0]
 
 
 def _dense_links(rows: DataFrame, tokens: DataFrame, threshold: int, limits: Limits) -> DataFrame:
@@ -395,7 +370,7 @@ def _dense_links(rows: DataFrame, tokens: DataFrame, threshold: int, limits: Lim
     sizes = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / limits.lines, F.sum("n") / limits.tokens)).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"), (F.col("block") > o).cast("int").alias("side")))
-    dealt = dealt.join(tokens, "id").select("key", "id", "place", "tokens_in_key", "tokens", F.explode(others).alias("o")).select("key", "id", "place", "tokens_in_key", "tokens", "o.*")
+    dealt = dealt.join(tokens.select("id", "tokens"), "id").select("key", "id", "place", "tokens_in_key", "tokens", F.explode(others).alias("o")).select("key", "id", "place", "tokens_in_key", "tokens", "o.*")
     return dealt.groupBy("key", "i", "j").applyInPandas(lambda pdf: _verify_block(pdf, threshold), "id long, links long, root long")
 
 
@@ -421,10 +396,14 @@ def similar_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, lim
     ids = met.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct()
     wanted = keep(ids.join(seen.select(F.col("line").alias("id"), "first.*"), "id"))
     tokens = keep(line_tokens(docs, wanted, rarity, bits, joined))
+    wide = [tokens.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"w_{x}")) for x in "ab"]
+    apart = sum((F.bit_count(F.get("w_a", F.lit(k)).bitwiseXOR(F.get("w_b", F.lit(k)))) for k in range(_WIDE)), F.lit(0))
+    total = F.col("n_a") + F.col("n_b")
+    pairs = pairs.join(wide[0], "a").join(wide[1], "b").where(apart <= total - 2 * F.ceil(threshold * total / F.lit(100 + threshold))).select("a", "b", "place_a", "place_b", "tokens")
     both = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
+    common = F.size(F.array_intersect("ta", "tb"))
     heads = F.size(F.array_intersect(F.slice("ta", F.lit(1), F.col("place_a").cast("int") + 1), F.slice("tb", F.lit(1), F.col("place_b").cast("int") + 1)))
-    near = (heads == F.col("tokens")) & (100 * shared >= threshold * (F.size("ta") + F.size("tb") - shared))
+    near = (heads == F.col("tokens")) & (100 * common >= threshold * (F.size("ta") + F.size("tb") - common))
     single = keep(both.where(near).select("a", "b"))
     blocks = keep(_dense_links(dense, tokens, threshold, limits))
     discard(met, wanted, tokens)
@@ -467,7 +446,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, limit
     made = ("line_count", "removed_count", "line_classes", "line_links")
     base = docs.select(*[c for c in docs.columns if c not in made])
     clear = "_" * (1 + max((len(c) for c in base.columns), default=0))  # begins no column of the input
-    doc, name, gone, found = (f"{clear}{x}" for x in ("doc", "text", "gone", "found"))
+    doc, name, found, lines = (f"{clear}{x}" for x in ("doc", "text", "found", "lines"))
     rows = base.withColumns({doc: F.col("doc_id").cast("long"), name: F.xxhash64(F.col("text").cast("string"))})
     texts = rows.select(F.col(doc).alias("doc_id"), F.col(name).alias("text_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     hits = similar_lines(texts, threshold, min_tokens, limits, rarity_bits(docs))
@@ -476,8 +455,8 @@ def dedup_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, limit
         F.struct(F.collect_set(F.when(later, F.col("number"))).alias("gone"), F.sort_array(F.collect_set("class_id")).alias("classes"), F.sum("links").alias("links")).alias(found)
     )
     out = rows.join(per_row.withColumnsRenamed({"doc_id": doc, "text_id": name}), [doc, name], "left")
-    parts = F.split(F.col("text"), "\n", -1)
-    gone = F.col(found)["gone"]
+    out = out.withColumn(lines, F.split(F.col("text"), "\n", -1))  # a column, so that it is split once
+    parts, gone = F.col(lines), F.col(found)["gone"]
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
     text = F.when(F.size(gone) > 0, F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n")).otherwise(F.col("text"))
     return out.select(

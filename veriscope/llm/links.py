@@ -1,14 +1,18 @@
-"""Verified links between the members of candidate buckets, and their connected components.
+"""Verified links between the sets of candidate buckets, and connected components.
 
-No step emits all pairs of a bucket. Each bucket first compares its members with one centre; the
-components that this gives are then compared with each other only across components, after exact
-necessary conditions. Whatever link exists inside a bucket ends up inside one component.
+No step emits the pairs of a bucket. Each bucket first compares its members with one centre, and components
+follow. Members of a bucket that are then in different components are compared in blocks inside tasks: first on
+bitmaps and sizes, which leaves those that may have a partner, then on their whole sets; what leaves a task is a spanning
+forest of its links. So whatever link exists inside a bucket ends up inside one component, and a bucket of n members gives at
+most n rows for each block of members, whatever the number of its links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,68 +50,123 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def connect(
-    members: DataFrame,
-    first: Column,
-    possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
-    verify: Callable[[DataFrame], DataFrame],
-    alone: Column | None = None,
-    low: Column | None = None,
-    given: DataFrame | None = None,
-    short: Column | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Components (id, component) and verified links (a, b) of ``members`` (bucket, id, features...).
-
-    first: the member that sorts lowest by it is its bucket's centre.
-    possible(x, y): a condition on the features of two members that every link meets.
-    verify: keeps of pairs (a, b) those that are links.
-    alone, low: a member for which ``alone`` holds, given the least ``low`` of its bucket as column
-    ``low``, has no link in that bucket.
-    given: candidate pairs (a, b) found otherwise, to be verified together with those of the centres.
-    short: every link has a member for which it holds and that is not larger in the feature ``n``; with it
-    such members alone are compared with the others.
-    """
-    features = [c for c in members.columns if c not in ("bucket", "id")]
+def shared(left: Sequence[np.ndarray], right: Sequence[np.ndarray]) -> np.ndarray:
+    """Common elements of each two sets, as a product of 0-1 matrices over the elements that two or more sets have."""
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    if not n.sum() or not m.sum():
+        return np.zeros((len(n), len(m)), np.float32)
+    values, place, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[place]
+    out = []
+    for sizes, own in ((n, column[: n.sum()]), (m, column[n.sum() :])):
+        matrix = np.zeros((len(sizes), int((times > 1).sum())), np.float32)
+        matrix[np.repeat(np.arange(len(sizes)), sizes)[own >= 0], own[own >= 0]] = 1
+        out.append(matrix)
+    return out[0] @ out[1].T
+
 
-    def side(prefix: str) -> Callable[[str], Column]:
-        return lambda name: F.col(f"{prefix}{name}")
+def similar(left: Sequence[np.ndarray], right: Sequence[np.ndarray], threshold: int) -> np.ndarray:
+    """Which sets of ``left`` and ``right`` have a Jaccard similarity of ``threshold`` % or more."""
+    both = shared(left, right)
+    total = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+    return (100 * both >= threshold * (total - both)) & (both > 0)
 
-    def named(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
-        return df.select("bucket", *[F.col(c).alias(f"{prefix}{c}") for c in columns])
 
-    lows = [F.min(low).alias("low")] if low is not None else []
-    centres = members.groupBy("bucket").agg(F.min_by(F.struct("id", *features), F.struct(first, F.col("id"))).alias("c"), F.count("*").alias("size"), *lows)
+def forest(x: np.ndarray, y: np.ndarray, linked: np.ndarray, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, number of links, root) of the ids ``x`` and ``y``, of which ``linked`` says which have links; root is one name for each component.
+
+    same: y is x, and ``linked`` holds each link twice.
+    """
+    ids = x if same else np.concatenate([x, y])
+    at_x, at_y = np.arange(len(x)), np.arange(len(y)) + (0 if same else len(x))
+    label = np.arange(len(ids))
+    while True:
+        before = label
+        label = label.copy()
+        label[at_x] = np.minimum(label[at_x], np.where(linked, before[at_y][None, :], len(ids)).min(axis=1, initial=len(ids)))
+        label[at_y] = np.minimum(label[at_y], np.where(linked, label[at_x][:, None], len(ids)).min(axis=0, initial=len(ids)))
+        label = label[label]
+        if (label == before).all():
+            break
+    links = linked.sum(axis=1) if same else np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
+    return ids, links, ids[label]
+
+
+def _dealt(rows: DataFrame, stranger: Column, weight: Column, limit: int) -> DataFrame:
+    """``rows`` (bucket, ...) with i, j and side: block i of a bucket's strangers (side 0) meets block j of all its members (side 1), each of about ``limit`` weight."""
+    sizes = rows.groupBy("bucket").agg(*[F.greatest(F.lit(1), F.ceil(F.sum(x) / limit)).cast("int").alias(c) for c, x in (("left", F.when(stranger, weight)), ("right", weight))])
+    sizes = sizes.where("left is not null")
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    as_left = F.when(stranger, F.transform(upto("right"), lambda j: F.struct(own("left").alias("i"), j.alias("j"), F.lit(0).alias("side"))))
+    as_right = F.transform(upto("left"), lambda i: F.struct(i.alias("i"), own("right").alias("j"), F.lit(1).alias("side")))
+    places = F.concat(F.coalesce(as_left, F.array().cast("array<struct<i:int,j:int,side:int>>")), as_right)
+    return rows.join(sizes, "bucket").withColumn("at", F.explode(places)).select(*rows.columns, "at.*")
+
+
+def _possible(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """(bucket, id, label, core) of the rows of two blocks that have a possible partner of another label in the other block."""
+    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    maps = [np.stack([*x["bitmap"], np.zeros(len(pdf["bitmap"].iloc[0]), np.int64)])[:-1].view(np.uint64) for x in (left, right)]
+    (n, u, label), (m, v, other) = ([x[c].to_numpy() for c in ("n", "u", "label")] for x in (left, right))
+    hit_left, hit_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    for k in range(0, len(left), 64):
+        s = slice(k, k + 64)
+        total = n[s, None] + m[None, :]
+        ok = label[s, None] != other[None, :]
+        ok &= 100 * np.minimum((n - u)[s, None], (m - v)[None, :]) >= threshold * np.maximum(n[s, None] + v[None, :], m[None, :] + u[s, None])
+        apart = total - 2 * -(-threshold * total // (100 + threshold))
+        a, b = np.nonzero(ok)
+        near = np.bitwise_count(maps[0][a + k] ^ maps[1][b]).sum(axis=1) <= apart[a, b]
+        hit_left[a[near] + k] = True
+        hit_right[b[near]] = True
+    return pd.concat([left[hit_left], right[hit_right]])[["bucket", "id", "label", "core"]]
+
+
+def connect(members: DataFrame, sets: DataFrame, threshold: int, block: int = 2048, elements: int = 65_536) -> DataFrame:
+    """Components (id, component) of ``members`` (bucket, id, n, u, bitmap), of which ``sets`` (id, shingles) has the sets.
+
+    Two members of a bucket are linked if their sets have a Jaccard similarity of ``threshold`` % or more. n is a set's size,
+    u how many of its elements no other set has, bitmap an exclusive or of one bit for each element. The member with the least share
+    u / n is its bucket's centre. block and elements bound what a task compares at once: members by bitmaps, elements of whole sets.
+    """
+    features = ("n", "u", "bitmap")
+    centres = members.groupBy("bucket").agg(F.min_by(F.struct("id", *features), F.struct(F.col("u") / F.col("n"), F.col("id"))).alias("c"), F.count("*").alias("size"), F.min("u").alias("low"))
     centres = keep(centres.where("size > 1"))
-    ours = members.join(centres.select("bucket", "c", *(["low"] if lows else [])), "bucket")
-    if alone is not None:
-        ours = ours.where(~alone)
-    close = (F.col("id") != F.col("c.id")) & possible(lambda n: F.col(n), lambda n: F.col(f"c.{n}"))
+    ours = members.join(centres.select("bucket", "c", "low"), "bucket").where(100 * (F.col("n") - F.col("u")) >= threshold * (F.col("n") + F.col("low")))
+    n, m, u, v = F.col("n"), F.col("c.n"), F.col("u"), F.col("c.u")
+    width = len(members.select("bitmap").head(1)[0][0]) if members.head(1) else 0
+    apart = sum((F.bit_count(F.get("bitmap", F.lit(k)).bitwiseXOR(F.get("c.bitmap", F.lit(k)))) for k in range(width)), F.lit(0))
+    close = (F.col("id") != F.col("c.id")) & (100 * F.least(n - u, m - v) >= threshold * F.greatest(n + v, m + u)) & (apart <= n + m - 2 * F.ceil(threshold * (n + m) / F.lit(100 + threshold)))
     ours = keep(ours.select("bucket", "id", *features, F.col("c.id").alias("centre"), close.alias("close")))
     discard(centres)
 
-    star = keep(ours.where("close").select("id", "centre"))
-    star = star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    links = keep(verify(star.unionByName(given).distinct() if given is not None else star))
+    star = ours.where("close").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    both = star.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    links = keep(both.where(100 * common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
     found = keep(components(links))
 
-    label = F.coalesce("component", "id")
-    labelled = ours.select("bucket", "id", *features, "centre").join(found, "id", "left").withColumn("label", label).drop("component")
+    labelled = ours.select("bucket", "id", *features, "centre").join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     labelled = labelled.join(found.select(F.col("id").alias("centre"), F.col("component").alias("core")), "centre", "left")
-    labelled = keep(labelled.withColumn("core", F.coalesce("core", "centre")))
+    labelled = labelled.withColumn("core", F.coalesce("core", "centre"))
+    mixed = keep(labelled.join(labelled.where("label <> core").select("bucket").distinct(), "bucket", "left_semi").select("bucket", "id", "label", "core", *features))
     discard(ours)
-    strangers = labelled.where("label <> core")
-    mixed = strangers.select("bucket").distinct()
-    apart = (F.col("b_label") == F.col("b_core")) | (F.col("a_id") < F.col("b_id"))
-    if short is not None:
-        strangers, apart = labelled.where(short), (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") != F.col("b_id")))
-    left = named(strangers.join(mixed, "bucket", "left_semi") if short is not None else strangers, "a_", ["id", "label", *features])
-    right = named(labelled.join(mixed, "bucket", "left_semi"), "b_", ["id", "label", "core", *features])
-    across = (F.col("a_label") != F.col("b_label")) & apart
-    pairs = left.join(right, "bucket").where(across & possible(side("a_"), side("b_")))
-    pairs = pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
-    more = keep(verify(pairs.join(star, ["a", "b"], "left_anti")))
-    discard(labelled)
-    everything = links.unionByName(more)
+    stranger = F.col("label") != F.col("core")
+    dealt = _dealt(mixed, stranger, F.lit(1), block)
+    maybe = keep(dealt.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _possible(pdf, threshold), "bucket long, id long, label long, core long").distinct())
+    discard(mixed)
+    whole = _dealt(maybe.join(sets.select("id", F.size("shingles").alias("n")), "id"), stranger, F.col("n"), elements)
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        x, y = left["id"].to_numpy(), right["id"].to_numpy()
+        linked = similar(left["shingles"], right["shingles"], threshold) & (left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :])
+        ids, links, root = forest(x, y, linked)
+        return pd.DataFrame({"a": ids, "b": root})[(links > 0) & (ids != root)]
+
+    more = keep(whole.join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(verify, "a long, b long").distinct())
+    discard(maybe)
     if more.isEmpty():
-        return found, links
-    return keep(components(everything)), everything
+        return found
+    return keep(components(links.unionByName(more)))

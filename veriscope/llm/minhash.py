@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .hashing import list_column, mix, shingle_sets
 from .idfilter import cells, id_filter
 from .links import connect
-from .store import keep
+from .store import discard, keep
 
 _BITS = 22
 #: Sets longer than this are hashed in blocks, so that the work table of a task stays small.
@@ -62,43 +62,51 @@ def _bitmap(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+_FIRST = np.uint64(0xA5A5A5A5A5A5A5A5)
+
+
+def _set_hash(shingles: np.ndarray, seed: np.uint64) -> int:
+    return int(mix(shingles ^ seed).sum(dtype=np.uint64).view(np.int64))
+
+
 def signatures(docs: DataFrame, shingle: int = 5, bands: int = 20, rows: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, bands, bitmap): size and hash of each document's set, its band keys and bitmap.
+    """(doc_id, place, n_shingles, h1, bands, bitmap): size and hash of each document's set, its band keys and bitmap.
 
-    h1 and h2 together hash the whole set; equal sets have equal hashes. An empty set has no bands.
+    Equal sets have equal hashes h1; place tells rows of one doc_id but different texts apart. An empty set has no bands.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, h1, h2, keys, maps = [], [], [], [], []
-            for own in shingle_sets(batch.column(1), shingle):
+            n, h1, keys, maps = [], [], [], []
+            for own in shingle_sets(batch.column(2), shingle):
                 n.append(len(own))
-                h1.append(int(mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
-                h2.append(int(mix(own ^ np.uint64(0x3C3C3C3C3C3C3C3C)).sum(dtype=np.uint64).view(np.int64)))
+                h1.append(_set_hash(own, _FIRST))
                 keys.append(_band_keys(circulant_signature(own, bands * rows), rows) if len(own) else own.view(np.int64))
                 maps.append(_bitmap(own))
-            columns = [pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), list_column(keys, pa.int64()), list_column(maps, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "h1", "h2", "bands", "bitmap"])
+            columns = [pa.array(n, pa.int64()), pa.array(h1, pa.int64()), list_column(keys, pa.int64()), list_column(maps, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "place", "n_shingles", "h1", "bands", "bitmap"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, bitmap array<long>")
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("place"), "text")
+    return docs.mapInArrow(run, "doc_id long, place long, n_shingles long, h1 long, bands array<long>, bitmap array<long>")
 
 
-def shingle_table(docs: DataFrame, ids: DataFrame, shingle: int = 5) -> DataFrame:
-    """(id, shingles) of the documents whose doc_id is in ``ids``.id: a bitmap of fixed size spares the others the shuffle."""
-    allowed = id_filter(ids, "id", _BITS)
+def shingle_table(docs: DataFrame, wanted: DataFrame, shingle: int = 5) -> DataFrame:
+    """(id, shingles): the sets named ``wanted``.id, from the rows at ``wanted``.place; a bitmap of fixed size spares other rows the shuffle."""
+    allowed = id_filter(wanted, "place", _BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(allowed.value[cells(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _BITS)] > 0))
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), list_column(list(shingle_sets(batch.column(1), shingle)), pa.int64())], ["id", "shingles"])
+                made = list(shingle_sets(batch.column(1), shingle))
+                yield pa.RecordBatch.from_arrays([pa.array([_set_hash(x, _FIRST) for x in made], pa.int64()), list_column(made, pa.int64())], ["id", "shingles"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return docs.mapInArrow(run, "id long, shingles array<long>").join(ids.distinct(), "id", "left_semi")
+    rows = docs.where("doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("place"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, shingles array<long>").join(wanted.select("id").distinct(), "id", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = 5, bands: int = 20, rows: int = 4, large: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = 5, bands: int = 20, rows: int = 4, large: int = 16, block: int = 2048, elements: int = 65_536) -> DataFrame:
     """Class of near-duplicates of every document of ``docs`` (doc_id, text, ...).
 
     Two documents are linked if 100 * |A & B| >= threshold * |A | B| on their full sets of distinct
@@ -108,48 +116,47 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = 5, band
     the row's own.
 
     Defined cases: a null, empty or blank text has the empty set and is linked with nothing; equal
-    texts are one node of the graph; a null doc_id takes no part, has a null component_id and is
-    kept; rows that share a doc_id are one node; other columns, of any name, are ignored; an empty
-    table gives an empty table.
+    sets are one node of the graph, named by a hash of 64 bits; a null doc_id takes no part, has a null component_id and is
+    kept; rows that share a doc_id are each judged by their own text; other columns, of any name, are ignored; an empty
+    table gives an empty table; a very long text is one like any other.
 
     The band keys of a pair at the threshold agree at least once with probability above
     1 - 4e-7 (20 bands of 4 coordinates, 0.85). In buckets of over ``large`` members each set's
     number of shingles that no other such set has bounds every pair's similarity, and in all buckets the
-    sets' bitmaps do: both prune large groups of loosely similar texts exactly, without their pairs.
+    sets' bitmaps do: both prune large groups of loosely similar texts exactly. block and elements: see :func:`connect`.
     """
     sig = keep(signatures(docs, shingle, bands, rows))
     real = sig.where("n_shingles > 0 and doc_id is not null")
-    reps = keep(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
-    one = real.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    spread = one.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bitmap")
+    nodes = keep(real.groupBy("h1").agg(F.min(F.struct("doc_id", "place")).alias("rep")).select(F.col("h1").alias("id"), "rep.*"))
+    one = real.join(nodes.select(F.col("id").alias("h1"), "place"), ["h1", "place"], "left_semi").dropDuplicates(["h1"])
+    spread = one.select(F.explode("bands").alias("bucket"), F.col("h1").alias("id"), F.col("n_shingles").alias("n"), "bitmap")
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = keep(spread.join(sizes, "bucket"))
-    sets = keep(shingle_table(docs, members.select("id").distinct(), shingle).dropDuplicates(["id"]))
+    wanted = keep(members.select("id").distinct().join(nodes, "id").select("id", "place"))
+    sets = keep(shingle_table(docs, wanted, shingle).dropDuplicates(["id"]))
 
     big = members.where(F.col("size") > large).select("id").distinct()
     owners = sets.join(big, "id", "left_semi").select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("c"))
     own = owners.where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
-    members = members.join(own, "id", "left").select("bucket", "id", "n", "bitmap", F.when(F.col("size") > large, F.coalesce("u", F.lit(0))).otherwise(F.lit(0)).alias("u"))
-
-    def possible(x, y):
-        need = F.ceil(threshold * (x("n") + y("n")) / F.lit(100 + threshold))
-        apart = sum((F.bit_count(x("bitmap")[k].bitwiseXOR(y("bitmap")[k])) for k in range(_BITMAP)), F.lit(0))
-        return (apart <= x("n") + y("n") - 2 * need) & (100 * F.least(x("n") - x("u"), y("n") - y("u")) >= threshold * F.greatest(x("n") + y("u"), y("n") + x("u")))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return both.where(100 * shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-
-    found, _ = connect(members, F.col("u") / F.col("n"), possible, verify, alone=100 * (F.col("n") - F.col("u")) < threshold * (F.col("n") + F.col("low")), low=F.col("u"))
-    classes = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = sig.join(classes, ["h1", "h2"], "left")
+    told = keep(members.join(own, "id", "left").select("bucket", "id", "n", "bitmap", F.when(F.col("size") > large, F.coalesce("u", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("u")))
+    discard(members, wanted)
+
+    found = connect(told, sets, threshold, block, elements)
+    discard(told, sets)
+    named = nodes.select("id", F.col("doc_id").alias("rep")).join(found, "id", "left").withColumn("class", F.coalesce("component", "id"))
+    least = named.groupBy("class").agg(F.min("rep").alias("component"))
+    classes = keep(named.select(F.col("id").alias("h1"), "class").join(least, "class").select("h1", "component"))
+    discard(nodes)
+    out = sig.select("doc_id", "n_shingles", "h1").join(classes, "h1", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class of :func:`near_duplicates`, all columns as they were."""
+    """``docs`` with one document of each class of :func:`near_duplicates`, all columns as they were.
+
+    Rows without doc_id and rows without words stay; rows that share a doc_id stay or go together; an empty table stays empty.
+    """
     gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
