@@ -346,7 +346,9 @@ def line_tokens(docs: DataFrame, wanted: DataFrame, rarity: Broadcast, bits: int
                 yield pa.RecordBatch.from_arrays([pa.array(line_id[hit]), pa.array(ids[at], pa.int64()), pa.array(names[at], pa.int64()), pa.array(places[1][own[hit]], pa.int32()), pa.array(n, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(wide.view(np.int64).ravel()), _WIDE).cast(pa.list_(pa.int64())), lists], ["id", "doc_id", "text_id", "number", "n", "wide", "tokens"])
 
     found = docs.select("doc_id", "text_id", "text", F.xxhash64("doc_id", "text_id").alias("place")).mapInArrow(run, "id long, doc_id long, text_id long, number int, n int, wide array<long>, tokens array<long>")
-    return found.join(wanted, ["id", "doc_id", "text_id", "number"], "left_semi").select("id", "n", "wide", "tokens").dropDuplicates(["id"])
+    place = F.struct("doc_id", "text_id", "number")
+    met = found.withColumn("at", place).join(wanted.select("id", place.alias("first")), "id").where("at = first")
+    return met.select("id", "n", "wide", "tokens").dropDuplicates(["id"])  # the join has dealt the rows by id already
 
 
 def _verify_block(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
@@ -387,8 +389,6 @@ def similar_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, lim
     seen = keep(lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times")))
 
     met = keep(_key_rows(lines).repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _meet(batches, threshold, limits), "key long, a long, b long, place_a long, place_b long, tokens long"), 50_000)
-    places = keep(lines.select("line", "doc_id", "text_id", "number"))
-    discard(lines)
     tidy(docs.sparkSession)
     pairs = met.where("b is not null").select("a", "b", "place_a", "place_b", "tokens")
     dense = met.where("b is null").select("key", F.col("a").alias("id"), F.col("place_a").alias("place"), F.col("place_b").alias("n"), F.col("tokens").alias("tokens_in_key")).dropDuplicates(["key", "id"])
@@ -420,8 +420,8 @@ def similar_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, lim
     firsts = named.groupBy("class_id").agg(F.min("first").alias("first"))
     classes = named.drop("first").join(firsts, "class_id")
     classes = classes.select("line", "class_id", "links", F.col("first.doc_id").alias("first_doc"), F.col("first.text_id").alias("first_text"), F.col("first.number").alias("first_number"))
-    hits = keep(places.join(classes, "line"))
-    discard(places, seen, single, blocks, named)
+    hits = keep(lines.select("line", "doc_id", "text_id", "number").join(classes, "line"))
+    discard(lines, seen, single, blocks, named)
     del found, degree, linked, firsts, classes
     tidy(docs.sparkSession)
     return hits

@@ -123,22 +123,27 @@ def _possible(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
     return pd.concat([left[hit_left], right[hit_right]])[["bucket", "id", "label", "core"]]
 
 
-def connect(members: DataFrame, sets: DataFrame, threshold: int, block: int = 2048, elements: int = 65_536) -> DataFrame:
+def connect(members: DataFrame, sets: DataFrame, threshold: int, block: int = 2048, elements: int = 65_536, little: int = 24) -> DataFrame:
     """Components (id, component) of ``members`` (bucket, id, n, u, bitmap), of which ``sets`` (id, shingles) has the sets.
 
     Two members of a bucket are linked if their sets have a Jaccard similarity of ``threshold`` % or more. n is a set's size,
     u how many of its elements no other set has, bitmap an exclusive or of one bit for each element. The member with the least share
-    u / n is its bucket's centre. block and elements bound what a task compares at once: members by bitmaps, elements of whole sets.
+    u / n is its bucket's centre. block and elements bound what a task compares at once: members by bitmaps, elements of whole sets. Buckets of at most ``little``
+    members are compared on bitmaps by a join instead.
     """
     features = ("n", "u", "bitmap")
     centres = members.groupBy("bucket").agg(F.min_by(F.struct("id", *features), F.struct(F.col("u") / F.col("n"), F.col("id"))).alias("c"), F.count("*").alias("size"), F.min("u").alias("low"))
     centres = keep(centres.where("size > 1"))
-    ours = members.join(centres.select("bucket", "c", "low"), "bucket").where(100 * (F.col("n") - F.col("u")) >= threshold * (F.col("n") + F.col("low")))
-    n, m, u, v = F.col("n"), F.col("c.n"), F.col("u"), F.col("c.u")
+    ours = members.join(centres.select("bucket", "c", "low", "size"), "bucket").where(100 * (F.col("n") - F.col("u")) >= threshold * (F.col("n") + F.col("low")))
     width = len(members.select("bitmap").head(1)[0][0]) if members.head(1) else 0
-    apart = sum((F.bit_count(F.get("bitmap", F.lit(k)).bitwiseXOR(F.get("c.bitmap", F.lit(k)))) for k in range(width)), F.lit(0))
-    close = (F.col("id") != F.col("c.id")) & (100 * F.least(n - u, m - v) >= threshold * F.greatest(n + v, m + u)) & (apart <= n + m - 2 * F.ceil(threshold * (n + m) / F.lit(100 + threshold)))
-    ours = keep(ours.select("bucket", "id", *features, F.col("c.id").alias("centre"), close.alias("close")))
+
+    def possible(x, y) -> Column:
+        n, m, u, v = x("n"), y("n"), x("u"), y("u")
+        apart = sum((F.bit_count(F.get(x("bitmap"), F.lit(k)).bitwiseXOR(F.get(y("bitmap"), F.lit(k)))) for k in range(width)), F.lit(0))
+        return (100 * F.least(n - u, m - v) >= threshold * F.greatest(n + v, m + u)) & (apart <= n + m - 2 * F.ceil(threshold * (n + m) / F.lit(100 + threshold)))
+
+    close = (F.col("id") != F.col("c.id")) & possible(F.col, lambda c: F.col(f"c.{c}"))
+    ours = keep(ours.select("bucket", "id", *features, "size", F.col("c.id").alias("centre"), close.alias("close")))
     discard(centres)
 
     star = ours.where("close").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
@@ -147,14 +152,18 @@ def connect(members: DataFrame, sets: DataFrame, threshold: int, block: int = 20
     links = keep(both.where(100 * common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
     found = keep(components(links))
 
-    labelled = ours.select("bucket", "id", *features, "centre").join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    labelled = ours.select("bucket", "id", *features, "size", "centre").join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     labelled = labelled.join(found.select(F.col("id").alias("centre"), F.col("component").alias("core")), "centre", "left")
     labelled = labelled.withColumn("core", F.coalesce("core", "centre"))
-    mixed = keep(labelled.join(labelled.where("label <> core").select("bucket").distinct(), "bucket", "left_semi").select("bucket", "id", "label", "core", *features))
+    mixed = keep(labelled.join(labelled.where("label <> core").select("bucket").distinct(), "bucket", "left_semi").select("bucket", "id", "label", "core", "size", *features))
     discard(ours)
     stranger = F.col("label") != F.col("core")
-    dealt = _dealt(mixed, stranger, F.lit(1), block)
-    maybe = keep(dealt.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _possible(pdf, threshold), "bucket long, id long, label long, core long").distinct())
+    dealt = _dealt(mixed.where(F.col("size") > little).drop("size"), stranger, F.lit(1), block)
+    large = dealt.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _possible(pdf, threshold), "bucket long, id long, label long, core long")
+    few = mixed.where(F.col("size") <= little)
+    met = few.where(stranger).alias("x").join(few.alias("y"), "bucket").where((F.col("x.label") != F.col("y.label")) & possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+    small = met.select("bucket", F.explode(F.array(*[F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("id", "label", "core")]) for s in "xy"])).alias("m")).select("bucket", "m.*")
+    maybe = keep(large.unionByName(small).distinct())
     discard(mixed)
     whole = _dealt(maybe.join(sets.select("id", F.size("shingles").alias("n")), "id"), stranger, F.col("n"), elements)
 
