@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import local_window, pattern
+from .text import alternation, pattern
 
 # The pattern lists of the rules. \b is an ASCII word boundary.
 COMMENTARY_TITLES = (
@@ -52,6 +52,16 @@ def _hits(text: Column, patterns: Iterable[str], any_case: bool = True) -> list[
     return [F.coalesce(text.rlike(("(?i)" if any_case else "") + pattern(p)), F.lit(False)) for p in patterns]
 
 
+def _any_hit(text: Column, patterns: Iterable[str]) -> Column:
+    """Whether any of the patterns, all of which stand between word boundaries, occurs in any case: one pass over the text."""
+    return F.coalesce(text.rlike("(?i)" + alternation(patterns)), F.lit(False))
+
+
+def _hit_count(text: Column, patterns: Iterable[str]) -> Column:
+    """How many of the patterns occur; they are looked for one by one only where one of them does."""
+    return F.when(_any_hit(text, patterns), count_of(_hits(text, patterns))).otherwise(F.lit(0))
+
+
 def any_of(flags: list[Column]) -> Column:
     out = F.lit(False)
     for f in flags:
@@ -68,7 +78,7 @@ def edge_flags(paper_type: Column, title: Column, references: Column) -> dict[st
     kind = F.lower(F.coalesce(paper_type, F.lit("")))
     review, chapter = kind.isin("review", "literature-review"), kind.isin("book-chapter", "book-section")
     letter = kind.isin("letter", "erratum", "correction")
-    commentary = kind.isin("editorial", "paratext", "peer-review") | any_of(_hits(title, COMMENTARY_TITLES))
+    commentary = kind.isin("editorial", "paratext", "peer-review") | _any_hit(title, COMMENTARY_TITLES)
     return {
         "is_review": review,
         "is_commentary": commentary,
@@ -108,8 +118,8 @@ def context_type(context: Column, section: Column) -> Column:
     signals = count_of(_hits(context, BIBLIOGRAPHY_SIGNALS, any_case=False))
     return (
         F.when((dois >= 3) | ((signals >= 2) & (years >= 3)), "bibliography_like")
-        .when(any_of(_hits(section, METHODS_SECTIONS)), "methods_like")
-        .when(any_of(_hits(context, METHODS_SECTIONS)) & (F.length(context) < 600), "methods_like")
+        .when(_any_hit(section, METHODS_SECTIONS), "methods_like")
+        .when((F.length(context) < 600) & _any_hit(context, METHODS_SECTIONS), "methods_like")
         .when(F.length(context) >= 80, "narrative_like")
         .otherwise("unknown")
     )
@@ -125,15 +135,14 @@ def mention_confidence(style: Column, kind: Column, length: Column) -> Column:
     )
 
 
-def role_signals(context: Column, marker: Column, section: Column) -> dict[str, Column]:
-    """Counts of role cues: sections by their title, phrases within 200 characters of the marker."""
-    near = local_window(context, marker)
+def role_signals(near: Column, section: Column) -> dict[str, Column]:
+    """Counts of role cues: sections by their title, phrases in ``near``, what stands within 200 characters of the marker."""
     return {
-        "methods_section": any_of(_hits(section, METHODS_SECTIONS)),
-        "background_section": any_of(_hits(section, [BACKGROUND_SECTION])),
-        "methods_phrases": count_of(_hits(near, METHODS_PHRASES)),
-        "attribution_verbs": count_of(_hits(near, ATTRIBUTION_VERBS)),
-        "background_phrases": count_of(_hits(near, BACKGROUND_PHRASES)),
+        "methods_section": _any_hit(section, METHODS_SECTIONS),
+        "background_section": _any_hit(section, [BACKGROUND_SECTION]),
+        "methods_phrases": _hit_count(near, METHODS_PHRASES),
+        "attribution_verbs": _hit_count(near, ATTRIBUTION_VERBS),
+        "background_phrases": _hit_count(near, BACKGROUND_PHRASES),
     }
 
 

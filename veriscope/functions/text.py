@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +18,16 @@ BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9
 
 
 def pattern(source: str) -> str:
-    """A pattern with ASCII word boundaries where ``source`` has \\b."""
-    return source.replace(r"\b", BOUNDARY)
+    """A pattern with ASCII word boundaries where ``source`` has \\b; one that begins or ends with it must go on with a word character there."""
+    begin, end = source.startswith(r"\b"), source.endswith(r"\b")
+    middle = source[2 * begin : len(source) - 2 * end].replace(r"\b", BOUNDARY)
+    return "(?<![A-Za-z0-9_])" * begin + middle + "(?![A-Za-z0-9_])" * end
+
+
+def alternation(sources: Iterable[str]) -> str:
+    """One pattern for any of ``sources``, each between word boundaries."""
+    inner = [s.removeprefix(r"\b").removesuffix(r"\b") for s in sources]
+    return "(?<![A-Za-z0-9_])(?:" + "|".join(x.replace(r"\b", BOUNDARY) for x in inner) + ")(?![A-Za-z0-9_])"
 
 
 def tokens(text: Column) -> Column:
@@ -73,17 +83,16 @@ def years_close(a: Column, b: Column, most: int = 2) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences with their marks; an unmarked rest counts if it is longer than 20."""
-    whole = F.regexp_extract_all(text, F.lit(r"([^.!?]*[.!?]+)"), F.lit(1))
-    rest = F.regexp_extract(text, r"([^.!?]*)$", 1)
+    whole = F.regexp_extract_all(text, F.lit(r"([^.!?]*+[.!?]++)"), F.lit(1))
+    rest = F.regexp_replace(text, r"(?s)^.*[.!?]", "")
     return F.when(F.length(F.trim(rest)) > 20, F.array_append(whole, rest)).otherwise(whole)
 
 
 def abstract_text(inverted: Column) -> Column:
     """Text of an inverted index (word to positions); missing positions are empty words."""
-    placed = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))
-    words = F.map_from_entries(placed.cast("array<struct<at:int,word:string>>"))
-    last = F.array_max(F.map_keys(words))
-    return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda k: F.coalesce(F.element_at(words, k), F.lit(""))), " ")
+    placed = F.array_sort(F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word"))))))
+    before = F.concat(F.array(F.lit(0)), F.transform(placed, lambda x: x["at"]))  # one longer: its last pair has no word and is dropped
+    return F.array_join(F.zip_with(placed, before, lambda x, at: F.concat(F.repeat(F.lit(" "), x["at"] - at), x["word"])), "")
 
 
 def content_hash(text: Column) -> Column:

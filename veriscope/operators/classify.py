@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rules import citation_role, context_type, evaluation_mode, marker_style, mention_confidence, role_signals
+from ..functions.text import local_window
 
 EDGE = ("citing", "cited")
 
@@ -34,7 +35,8 @@ def edge_usability(annotated: DataFrame) -> DataFrame:
 
 def with_roles(annotated: DataFrame) -> DataFrame:
     """Annotated mentions with the counts of their cues, role and evaluation mode."""
-    m = annotated.withColumns(role_signals(F.col("context"), F.col("marker"), F.coalesce("section", F.lit(""))))
+    near = annotated.withColumn("_near", local_window(F.col("context"), F.col("marker")))  # a column, so that it is cut once
+    m = near.withColumns(role_signals(F.col("_near"), F.coalesce("section", F.lit("")))).drop("_near")
     m = m.withColumn("role", citation_role({k: F.col(k) for k in ("methods_section", "background_section", "methods_phrases", "attribution_verbs", "background_phrases")}, F.col("length"), F.col("confidence")))
     return m.withColumn("mode", evaluation_mode(F.col("role"), F.col("bundled"), F.col("review"), F.col("confidence")))
 

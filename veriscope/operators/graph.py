@@ -70,23 +70,47 @@ def assign_priorities(screened: DataFrame, seed: str = "seed") -> DataFrame:
     return screened.crossJoin(F.broadcast(best)).withColumn("priority", priority).drop("best")
 
 
+def similar_grams(papers: DataFrame, threshold: float, key: str = "paper_id", grams: str = "grams") -> DataFrame:
+    """(a, b, shared, jaccard) of the pairs, a before b, whose sets ``grams`` have a Jaccard similarity of ``threshold`` or more.
+
+    Grams are ordered by how many papers have them; a similar pair shares one of the n - ceil(t n) + 1 rarest of each side, so
+    only these meet, and common grams never do.
+    """
+    own = papers.select(F.col(key).alias("id"), F.col(grams).alias("g")).where(F.size("g") > 0)
+    spread = own.select("id", F.explode("g").alias("gram"))
+    df = spread.groupBy("gram").agg(F.count("*").alias("df"))
+    ranked = spread.join(df, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("r"))
+    n = F.size("r")
+    prefix = F.slice("r", F.lit(1), n - F.ceil(F.round(threshold * n, 9)).cast("int") + 1)
+    rare = ranked.select("id", n.alias("n"), F.explode(F.transform(prefix, lambda x: x["gram"])).alias("gram"))
+    a, b = rare.alias("a"), rare.alias("b")
+    sizes = (F.col("a.n") >= threshold * F.col("b.n") - 1e-9) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-9)
+    met = a.join(b, "gram").where((F.col("a.id") < F.col("b.id")) & sizes).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    both = met.join(own.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(own.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("ga", "gb")))
+    return both.select("a", "b", "shared", (F.col("shared") / (F.size("ga") + F.size("gb") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
 def duplicate_pairs(papers: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Pairs (a, b, reason) of papers that collapse, a before b: equal DOI, equal title, or similar title with near years; titles need an author in common.
 
-    Candidates meet on a DOI, a title or a title bigram: a pair without any of these cannot collapse.
+    Candidates meet on a DOI, a title or a rare title bigram: a pair without any of these cannot collapse.
     """
     p = papers.select("paper_id", "doi", "authors", "year", normalize_title(F.col("title")).alias("t")).withColumn("grams", bigrams(F.col("t")))
-    keys = F.array_compact(F.concat(F.array(F.concat(F.lit("doi:"), "doi"), F.concat(F.lit("title:"), "t")), F.transform("grams", lambda g: F.concat(F.lit("gram:"), g))))
-    spread = p.withColumn("key", F.explode(keys))
+    spread = p.select("paper_id", F.explode(F.array_compact(F.array(F.concat(F.lit("doi:"), "doi"), F.concat(F.lit("title:"), "t")))).alias("key"))
     a, b = spread.alias("a"), spread.alias("b")
-    sizes = (F.size("a.grams") >= threshold * F.size("b.grams")) & (F.size("b.grams") >= threshold * F.size("a.grams"))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.paper_id") < F.col("b.paper_id"))).where(~F.startswith(F.col("a.key"), F.lit("gram:")) | sizes)
+    met = a.join(b, "key").where(F.col("a.paper_id") < F.col("b.paper_id")).select(F.col("a.paper_id").alias("a"), F.col("b.paper_id").alias("b"))
+    pairs = met.unionByName(similar_grams(p, threshold).select("a", "b")).distinct()
+    features = ("doi", "authors", "year", "t", "grams")
+    sides = [p.select(F.col("paper_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in features]) for s in "ab"]
+    j = pairs.join(sides[0], "a").join(sides[1], "b")
+    same_author = authors_overlap(F.col("a_authors"), F.col("b_authors"))
     reason = (
-        F.when(F.col("a.doi") == F.col("b.doi"), "doi")
-        .when((F.col("a.t") == F.col("b.t")) & authors_overlap(F.col("a.authors"), F.col("b.authors")), "title")
-        .when((jaccard(F.col("a.grams"), F.col("b.grams")) >= threshold) & authors_overlap(F.col("a.authors"), F.col("b.authors")) & years_close(F.col("a.year"), F.col("b.year")), "similar_title")
+        F.when(F.col("a_doi") == F.col("b_doi"), "doi")
+        .when((F.col("a_t") == F.col("b_t")) & same_author, "title")
+        .when((jaccard(F.col("a_grams"), F.col("b_grams")) >= threshold) & same_author & years_close(F.col("a_year"), F.col("b_year")), "similar_title")
     )
-    return met.select(F.col("a.paper_id").alias("a"), F.col("b.paper_id").alias("b"), reason.alias("reason")).where("reason is not null").distinct()
+    return j.select("a", "b", reason.alias("reason")).where("reason is not null")
 
 
 def collapse_duplicates(papers: DataFrame, pairs: DataFrame, by: str) -> DataFrame:

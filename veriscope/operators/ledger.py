@@ -6,22 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# List prices in USD per million tokens, and the cache multipliers.
-PRICES = {"alpha-large": (15.0, 75.0), "alpha-mid": (3.0, 15.0), "alpha-small": (1.0, 5.0)}
+# USD per million tokens (input, output) of a model without a price, and the multiples of the input price for cached tokens.
 DEFAULT_PRICE = (3.0, 15.0)
-CACHE_READ, CACHE_WRITE = 0.1, 1.25
+CACHE_READ, CACHE_WRITE, CACHE_WRITE_HOUR = 0.1, 1.25, 2.0
 
 
-def estimated_usd(prices: dict[str, tuple[float, float]] | None = None) -> Column:
-    """Cost of a call: uncached input, cache reads and writes at their multiples, output (reasoning only if there is no output)."""
-    prices = prices or PRICES
-    price = [F.lit(DEFAULT_PRICE[0]), F.lit(DEFAULT_PRICE[1])]
-    for model, (i, o) in prices.items():
-        price = [F.when(F.col("model") == model, F.lit(v)).otherwise(p) for v, p in zip((i, o), price, strict=True)]
-    read, write = F.coalesce("cache_read_tokens", F.lit(0)), F.coalesce("cache_write_tokens", F.lit(0))
-    fresh = F.greatest(F.lit(0), F.col("input_tokens") - read - write)
-    out = F.when(F.col("output_tokens") > 0, F.col("output_tokens")).otherwise(F.coalesce("reasoning_tokens", F.lit(0)))
-    return (fresh * price[0] + read * price[0] * CACHE_READ + write * price[0] * CACHE_WRITE + out * price[1]) / 1_000_000
+def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """``calls`` with usd, by ``prices`` (model, input_usd, output_usd per million tokens), the caller's table of a row for each model.
+
+    Cached reads and writes cost multiples of the input price, writes kept for an hour (cache_write_hour_tokens, a part of
+    cache_write_tokens) more than others; reasoning counts only if there is no output.
+    """
+    j = calls.join(prices.select("model", F.col("input_usd").alias("_in"), F.col("output_usd").alias("_out")), "model", "left")
+    price_in, price_out = F.coalesce("_in", F.lit(DEFAULT_PRICE[0])), F.coalesce("_out", F.lit(DEFAULT_PRICE[1]))
+    zero = F.lit(0)
+    read, hour = F.coalesce("cache_read_tokens", zero), F.coalesce("cache_write_hour_tokens", zero)
+    write = F.greatest(F.coalesce("cache_write_tokens", zero), hour)
+    fresh = F.greatest(zero, F.col("input_tokens") - read - write)
+    out = F.when(F.col("output_tokens") > 0, F.col("output_tokens")).otherwise(F.coalesce("reasoning_tokens", zero))
+    weighted = fresh + read * CACHE_READ + (write - hour) * CACHE_WRITE + hour * CACHE_WRITE_HOUR
+    return j.withColumn("usd", (weighted * price_in + out * price_out) / 1_000_000).select(*calls.columns, "usd")
 
 
 MEASURES = ("successful", "failed", "billable", "hit")
@@ -32,15 +36,15 @@ def _sums() -> list[Column]:
     return [F.count("*").alias("attempted"), *[F.count_if(c).alias(c) for c in MEASURES], *tokens, F.sum("usd").alias("usd")]
 
 
-def ledger_by_purpose(calls: DataFrame) -> DataFrame:
+def ledger_by_purpose(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Calls, tokens and cost by purpose, with a total row (purpose ``total``)."""
-    out = calls.withColumn("usd", estimated_usd()).rollup("purpose").agg(*_sums())
+    out = priced(calls, prices).rollup("purpose").agg(*_sums())
     return out.withColumn("purpose", F.coalesce("purpose", F.lit("total")))
 
 
-def ledger_by_stage(calls: DataFrame) -> DataFrame:
+def ledger_by_stage(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """The same by stage and family; an unknown stage is ``unknown``, an unknown family 0."""
-    named = calls.withColumn("usd", estimated_usd()).withColumn("stage", F.coalesce("stage", F.lit("unknown"))).withColumn("family", F.coalesce("family", F.lit(0)))
+    named = priced(calls, prices).withColumn("stage", F.coalesce("stage", F.lit("unknown"))).withColumn("family", F.coalesce("family", F.lit(0)))
     return named.groupBy("stage", "family").agg(*_sums())
 
 

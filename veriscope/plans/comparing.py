@@ -48,15 +48,15 @@ def verdict_pivot(spark, sf):
 
 
 def cost_estimate(spark, sf):
-    return td.calls(spark, sf).select("event_id", "model", F.round(ledger.estimated_usd() * 1_000_000, 3).alias("micro_usd"))
+    return ledger.priced(td.calls(spark, sf), td.prices(spark)).select("event_id", "model", F.round(F.col("usd") * 1_000_000, 3).alias("micro_usd"))
 
 
 def ledger_by_purpose(spark, sf):
-    return ledger.ledger_by_purpose(td.calls(spark, sf)).withColumn("usd", F.round("usd", 6))
+    return ledger.ledger_by_purpose(td.calls(spark, sf), td.prices(spark)).withColumn("usd", F.round("usd", 6))
 
 
 def ledger_by_stage(spark, sf):
-    return ledger.ledger_by_stage(td.calls(spark, sf)).withColumn("usd", F.round("usd", 6))
+    return ledger.ledger_by_stage(td.calls(spark, sf), td.prices(spark)).withColumn("usd", F.round("usd", 6))
 
 
 def _stages(spark, sf):
@@ -109,9 +109,9 @@ _DIFF = f"""WITH {_PAIR}, d AS (SELECT coalesce(b.task_id, c.task_id) AS task_id
   b.excluded IS DISTINCT FROM c.excluded OR b.exclude_reason IS DISTINCT FROM c.exclude_reason AS exclusion_changed, b.task_id IS NULL AS missing_in_base, c.task_id IS NULL AS missing_in_candidate
   FROM base b FULL JOIN cand c ON b.task_id = c.task_id, LATERAL (SELECT coalesce(b.excluded, false) OR coalesce(c.excluded, false) AS ig))"""
 _ADJ = "({0} = {1} OR ({0} IN ('supported', 'partially_supported') AND {1} IN ('supported', 'partially_supported')))"
-_PRICE = lambda k: "CASE model " + " ".join(f"WHEN '{m}' THEN {p[k]}" for m, p in ledger.PRICES.items()) + f" ELSE {ledger.DEFAULT_PRICE[k]} END"
-_USD = f"""((greatest(0, input_tokens - cache_read_tokens - cache_write_tokens) * pi + cache_read_tokens * pi * 0.1 + cache_write_tokens * pi * 1.25 + CASE WHEN output_tokens > 0 THEN output_tokens ELSE reasoning_tokens END * po) / 1000000)"""
-_COSTED = f"{td.CALLS}, priced AS (SELECT *, ({_PRICE(0)})::DOUBLE AS pi, ({_PRICE(1)})::DOUBLE AS po FROM calls), costed AS (SELECT *, {_USD} AS usd FROM priced)"
+_USD = """((greatest(0, input_tokens - cache_read_tokens - greatest(cache_write_tokens, cache_write_hour_tokens)) + cache_read_tokens * 0.1 + (greatest(cache_write_tokens, cache_write_hour_tokens) - cache_write_hour_tokens) * 1.25 + cache_write_hour_tokens * 2.0)::DOUBLE * pi
+  + CASE WHEN output_tokens > 0 THEN output_tokens ELSE reasoning_tokens END * po) / 1000000"""
+_COSTED = f"{td.CALLS}, {td.PRICES}, priced AS (SELECT calls.*, coalesce(input_usd, {ledger.DEFAULT_PRICE[0]})::DOUBLE AS pi, coalesce(output_usd, {ledger.DEFAULT_PRICE[1]})::DOUBLE AS po FROM calls LEFT JOIN prices USING (model)), costed AS (SELECT *, {_USD} AS usd FROM priced)"
 _SUMS = "count(*) AS attempted, count(*) FILTER (WHERE successful) AS successful, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE billable) AS billable, count(*) FILTER (WHERE hit) AS hit, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(reasoning_tokens)::BIGINT AS reasoning_tokens, round(sum(usd), 6) AS usd"
 _STAGES = f"{td.STAGE_EVENTS}, stages AS (SELECT run_id, stage_key, stage_order, family, min(seq) AS started, max(seq) AS last, arg_max(status, seq) AS status FROM stage_events GROUP BY ALL)"
 _BAD = "status IN ('failed', 'cancelled', 'interrupted')"

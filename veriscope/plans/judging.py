@@ -99,12 +99,12 @@ _AGG = (
     + " + ".join(f"var_{a}" for a in vectors.AXES)
     + ") / 8 AS mean_variance FROM a1), a3 AS (SELECT *, least(1.0, greatest(0.0, 0.5 * uncertainty + 0.3 * entropy + 0.2 * mean_variance)) AS overall_uncertainty FROM a2),"
     + """ a4 AS (SELECT *, greatest(uncertainty, overall_uncertainty) AS unsure, scope_direction = 'expansion' AND scope_match < 0.7 AS wide, certainty_direction = 'escalation' AND certainty_match < 0.7 AS loud FROM a3),
-  a5 AS (SELECT *, CASE WHEN evidence_grounding < 0.45 OR unsure >= 0.75 THEN 'low_grounding_or_high_uncertainty' WHEN directional_alignment < 0.45 AND evidence_grounding >= 0.6 THEN 'directional_mismatch'
-    WHEN support < 0.4 OR (claim_identity < 0.45 AND evidence_grounding >= 0.6) THEN 'low_support_or_identity'
-    WHEN support >= 0.75 AND evidence_grounding >= 0.8 AND claim_identity >= 0.8 AND directional_alignment >= 0.8 AND scope_match >= 0.8 AND certainty_match >= 0.75 AND unsure < 0.45 AND NOT wide AND NOT loud THEN 'all_core_axes_strong'
-    WHEN support >= 0.65 AND evidence_grounding >= 0.6 AND (wide OR loud) THEN 'scope_or_certainty_warning' WHEN support >= 0.65 AND evidence_grounding >= 0.6 THEN 'weakened_noncritical_axis' ELSE 'insufficient_support_or_grounding' END AS axis_rule FROM a4),
-  agg AS (SELECT *, CASE WHEN axis_rule IN ('directional_mismatch', 'low_support_or_identity') THEN 'not_supported' WHEN axis_rule = 'all_core_axes_strong' THEN 'supported' WHEN axis_rule = 'scope_or_certainty_warning' THEN 'overstated_or_generalized'
-    WHEN axis_rule = 'weakened_noncritical_axis' THEN 'partially_supported' ELSE 'cannot_determine' END AS axis_verdict FROM a5)"""
+  a5 AS (SELECT *, CASE WHEN evidence_grounding < 0.45 OR unsure >= 0.75 THEN 'cannot_determine_low_grounding_or_high_uncertainty' WHEN directional_alignment < 0.45 AND evidence_grounding >= 0.6 THEN 'not_supported_directional_mismatch'
+    WHEN support < 0.4 OR (claim_identity < 0.45 AND evidence_grounding >= 0.6) THEN 'not_supported_low_support_or_identity'
+    WHEN support >= 0.75 AND evidence_grounding >= 0.8 AND claim_identity >= 0.8 AND directional_alignment >= 0.8 AND scope_match >= 0.8 AND certainty_match >= 0.75 AND unsure < 0.45 AND NOT wide AND NOT loud THEN 'supported_all_core_axes_strong'
+    WHEN support >= 0.65 AND evidence_grounding >= 0.6 AND (wide OR loud) THEN 'overstated_scope_or_certainty_warning' WHEN support >= 0.65 AND evidence_grounding >= 0.6 THEN 'partially_supported_weakened_noncritical_axis' ELSE 'cannot_determine_insufficient_support_or_grounding' END AS axis_rule FROM a4),
+  agg AS (SELECT *, CASE WHEN axis_rule IN ('not_supported_directional_mismatch', 'not_supported_low_support_or_identity') THEN 'not_supported' WHEN axis_rule = 'supported_all_core_axes_strong' THEN 'supported' WHEN axis_rule = 'overstated_scope_or_certainty_warning' THEN 'overstated_or_generalized'
+    WHEN axis_rule = 'partially_supported_weakened_noncritical_axis' THEN 'partially_supported' ELSE 'cannot_determine' END AS axis_verdict FROM a5)"""
 )
 _NEAR = " OR ".join(f"{a} BETWEEN 0.55 AND 0.75" for a in vectors.CORE)
 _ESCALATION = """list_filter([CASE WHEN axis_verdict = 'cannot_determine' THEN 'axis_verdict_cannot_determine' END, CASE WHEN unsure >= 0.65 THEN 'aggregate_uncertainty_high' END, CASE WHEN entropy >= 0.5 THEN 'sample_disagreement_high' END,

@@ -26,7 +26,7 @@ def bm25_topk(spark, sf):
 
 def bm25_index_stats(spark, sf):
     p = retrieval.postings(td.read(spark, sf, "documents"), "doc_id")
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences")).where("df >= 3")
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
 def query_tokens(spark, sf):
@@ -75,7 +75,7 @@ def html_links(spark, sf):
 
 
 def inverted_index_text(spark, sf):
-    words = F.slice(F.split(F.translate("text", "\n", " "), " "), 1, 20)
+    words = F.split(F.translate("text", "\n", " "), " ")
     w = td.read(spark, sf, "documents").select("doc_id", F.posexplode(words).alias("at", "word")).where("word <> ''")
     index = w.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("at")).alias("p")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "p"))).alias("m"))
     return index.select("doc_id", text.abstract_text(F.col("m")).alias("abstract"))
@@ -179,7 +179,7 @@ _SENTENCES = r"(SELECT doc_id, CASE WHEN length(trim(regexp_extract(text, '([^.!
 
 QUERIES = {
     "bm25_topk": (bm25_topk, f"WITH {_INDEX} SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 5"),
-    "bm25_index_stats": (bm25_index_stats, f"WITH {_INDEX} SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM tf GROUP BY term HAVING count(*) >= 3"),
+    "bm25_index_stats": (bm25_index_stats, f"WITH {_INDEX} SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM tf GROUP BY term"),
     "query_tokens": (query_tokens, f"WITH {_INDEX} SELECT item_id, term, qtf AS n FROM qtf"),
     "claim_relevance_filter": (claim_relevance_filter, f"WITH {_INDEX} SELECT item_id, count(*) AS n_scored, count(*) FILTER (WHERE score >= 0.22 * best) AS n_in_family FROM (SELECT *, max(score) OVER (PARTITION BY item_id) AS best FROM scored WHERE score > 0) GROUP BY item_id"),
     "title_normalize": (title_normalize, rf"WITH {td.PAPERS} SELECT paper_id, trim(regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+', ' ', 'g')) AS title, lower(regexp_extract(trim(authors[1]), '(\S+)$', 1)) AS surname FROM papers"),
@@ -207,7 +207,7 @@ QUERIES = {
     "inverted_index_text": (
         inverted_index_text,
         """SELECT doc_id, array_to_string(w[1:len(w) - coalesce(list_position(list_transform(list_reverse(w), lambda x: x <> ''), true), 1) + 1], ' ') AS abstract
-        FROM (SELECT doc_id, string_split(translate(text, chr(10), ' '), ' ')[1:20] AS w FROM documents) WHERE len(list_filter(w, lambda x: x <> '')) > 0""",
+        FROM (SELECT doc_id, string_split(translate(text, chr(10), ' '), ' ') AS w FROM documents) WHERE len(list_filter(w, lambda x: x <> '')) > 0""",
     ),
     "marker_style": (marker_style, f"WITH {td.MENTIONS} SELECT marker, {_STYLE} AS style, count(*) AS n FROM mentions GROUP BY ALL"),
     "context_type": (context_type, f"WITH {_ANNOTATED} SELECT citing, ord, kind FROM annotated"),

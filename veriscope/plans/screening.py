@@ -49,12 +49,8 @@ def priority_rank(spark, sf):
 
 
 def bigram_jaccard_pairs(spark, sf):
-    p = td.papers(spark, sf).where("paper_id % 3 = 0").select("paper_id", text.bigrams(text.normalize_title(F.col("title"))).alias("g"))
-    spread = p.withColumn("gram", F.explode("g"))
-    a, b = spread.alias("a"), spread.alias("b")
-    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.paper_id") < F.col("b.paper_id"))).select(F.col("a.paper_id").alias("a"), F.col("b.paper_id").alias("b"), F.size("a.g").alias("na"), F.size("b.g").alias("nb"))
-    shared = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    return shared.withColumn("j", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where("j >= 0.3").select("a", "b", "shared", F.round("j", 6).alias("jaccard"))
+    p = td.papers(spark, sf).select("paper_id", text.bigrams(text.normalize_title(F.col("title"))).alias("grams"))
+    return graph.similar_grams(p, 0.3).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def dup_pairs_by_rule(spark, sf):
@@ -168,7 +164,7 @@ QUERIES = {
     ),
     "bigram_jaccard_pairs": (
         bigram_jaccard_pairs,
-        f"""WITH {_PAPERS}, s AS (SELECT paper_id, grams, unnest(grams) AS gram FROM g WHERE paper_id % 3 = 0), m AS (SELECT a.paper_id AS a, b.paper_id AS b, len(a.grams) AS na, len(b.grams) AS nb, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.paper_id < b.paper_id GROUP BY ALL)
+        f"""WITH {_PAPERS}, s AS (SELECT paper_id, grams, unnest(grams) AS gram FROM g), m AS (SELECT a.paper_id AS a, b.paper_id AS b, len(a.grams) AS na, len(b.grams) AS nb, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.paper_id < b.paper_id GROUP BY ALL)
         SELECT a, b, shared, round(shared / (na + nb - shared), 6) AS jaccard FROM m WHERE shared / (na + nb - shared) >= 0.3""",
     ),
     "dup_pairs_by_rule": (

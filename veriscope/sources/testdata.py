@@ -56,13 +56,14 @@ PAPERS = f"""papers AS (
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seed, citing, status, paper_type, title, refs, availability, year: a star of citing papers around each seed, without duplicates."""
-    raw = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("seed"), F.col("l_orderkey").alias("citing"))
-    counted = raw.groupBy("seed", "citing").agg(F.count("*").alias("copies"))
-    from pyspark.sql.window import Window
+    """seed, citing, status, paper_type, title, refs, availability, year: a star of citing papers around each seed, without duplicates.
 
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("citing")))
-    e = ranked.where((F.col("seed") % 6 != 0) | (F.col("rank") <= 4))
+    Suppliers give further seeds, of none to four citing papers.
+    """
+    raw = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("seed"), F.col("l_orderkey").alias("citing"))
+    e = raw.groupBy("seed", "citing").agg(F.count("*").alias("copies"))
+    small = read(spark, sf_dir, "supplier").where("s_suppkey % 5 > 0").select((10_000_000 + F.col("s_suppkey")).alias("seed"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("s_suppkey") % 5)).alias("citing"), F.lit(1).cast("long").alias("copies"))
+    e = e.unionByName(small)
     good = (F.col("citing") * 7 + F.col("seed") * 3) % 10 < F.col("seed") % 10
     status = F.when(good, F.when(F.col("citing") % 2 == 0, "auditable_structured").otherwise("auditable_pdf")).otherwise(F.when(F.col("citing") % 3 == 0, "partially_auditable").otherwise("not_auditable"))
     c = F.col("citing")
@@ -84,8 +85,8 @@ EDGES = f"""edges AS (
     'Study ' || citing || {_sql_list(TITLE_ENDINGS)}[(citing % 13 + 1)::INT] AS title, (citing % 250)::INT AS refs,
     {_sql_list(AVAILABILITY)}[(citing % 4 + 1)::INT] AS availability,
     CASE WHEN citing % 7 <> 6 THEN (2000 + citing % 25)::INT END AS year
-  FROM (SELECT l_partkey AS seed, l_orderkey AS citing, count(*) AS copies, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS rank FROM lineitem GROUP BY 1, 2)
-  WHERE seed % 6 <> 0 OR rank <= 4)"""
+  FROM (SELECT l_partkey AS seed, l_orderkey AS citing, count(*) AS copies FROM lineitem GROUP BY 1, 2
+        UNION ALL SELECT 10000000 + s_suppkey, unnest(range(1, (s_suppkey % 5 + 1)::BIGINT)), 1 FROM supplier))"""
 
 
 #: Endings of mention contexts with their markers: every branch of the mention rules occurs.
@@ -112,7 +113,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("citing") + F.col("j")
     return m.select(
         "citing", (F.col("citing") % 50).alias("cited"), "ord",
-        F.concat(F.substring(F.element_at("lines", F.col("j") + 1), 1, 180), _pick(tuple(t for t, _ in TEMPLATES), k % 10)).alias("context"),
+        F.concat(F.element_at("lines", F.col("j") + 1), _pick(tuple(t for t, _ in TEMPLATES), k % 10)).alias("context"),
         _pick(tuple(t for _, t in TEMPLATES), k % 10).alias("marker"),
         F.when(k % 6 < 5, _pick(SECTIONS, k % 6 % 5)).alias("section"),
         F.when(F.col("j") % 4 != 3, F.concat(F.lit("r"), (F.col("j") % 5).cast("string"))).alias("ref_id"),
@@ -122,7 +123,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MENTIONS = f"""mentions AS (
-  SELECT citing, citing % 50 AS cited, ord, left(lines[j + 1], 180) || {_sql_list(tuple(t for t, _ in TEMPLATES))}[((citing + j) % 10 + 1)::INT] AS context,
+  SELECT citing, citing % 50 AS cited, ord, lines[j + 1] || {_sql_list(tuple(t for t, _ in TEMPLATES))}[((citing + j) % 10 + 1)::INT] AS context,
     {_sql_list(tuple(t for _, t in TEMPLATES))}[((citing + j) % 10 + 1)::INT] AS marker,
     CASE WHEN (citing + j) % 6 < 5 THEN {_sql_list(SECTIONS)}[((citing + j) % 6 + 1)::INT] END AS section,
     CASE WHEN j % 4 <> 3 THEN 'r' || (j % 5) END AS ref_id, CASE WHEN j % 7 <> 0 THEN (j * 100)::BIGINT END AS at,
@@ -134,9 +135,19 @@ MENTIONS = f"""mentions AS (
 VERDICTS = ("supported", "partially_supported", "overstated_or_generalized", "not_supported", "cannot_determine")
 
 
+def _tasks(spark: SparkSession, sf_dir: str, every: int, part: int) -> DataFrame:
+    """o_orderkey: all orders, and one more task, which the other dataset lacks, for each key divisible by ``every``."""
+    keys = read(spark, sf_dir, "orders").select("o_orderkey")
+    return keys.unionByName(keys.where(F.col("o_orderkey") % every == 0).select((F.col("o_orderkey") + part * 1_000_000_000).alias("o_orderkey")))
+
+
+def _tasks_sql(every: int, part: int) -> str:
+    return f"(SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey + {part * 1_000_000_000} FROM orders WHERE o_orderkey % {every} = 0)"
+
+
 def audit_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """task_id, ord, verdict, rationale, quality, excluded, exclude_reason, mode of an adjudicated sample."""
-    o = read(spark, sf_dir, "orders").where(F.col("o_orderkey") % 13 != 0)
+    o = _tasks(spark, sf_dir, 13, 1)
     k = F.col("o_orderkey")
     return o.select(
         k.alias("task_id"), k.alias("ord"), F.when(k % 17 != 0, _pick(VERDICTS, k % 5)).alias("verdict"), F.concat(F.lit("r"), (k % 4).cast("string")).alias("rationale"),
@@ -146,7 +157,7 @@ def audit_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_candidate(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     """The same columns from another adjudicator; ``shift`` gives different ones."""
-    o = read(spark, sf_dir, "orders").where((F.col("o_orderkey") + shift) % 19 != 0)
+    o = _tasks(spark, sf_dir, 19 + shift, 2)
     k = F.col("o_orderkey")
     code = F.when((k + shift) % 3 == 0, (k * 7 + shift) % 5).otherwise(k % 5)
     return o.select(
@@ -160,7 +171,7 @@ AUDIT_BASE = f"""base AS (
   SELECT o_orderkey AS task_id, o_orderkey AS ord, CASE WHEN o_orderkey % 17 <> 0 THEN {_sql_list(VERDICTS)}[(o_orderkey % 5 + 1)::INT] END AS verdict, 'r' || (o_orderkey % 4) AS rationale,
     ['high', 'medium', 'low'][(o_orderkey % 3 + 1)::INT] AS quality, o_orderkey % 11 = 0 AS excluded, CASE WHEN o_orderkey % 11 = 0 THEN 'off topic' END AS exclude_reason,
     ['a', 'b', 'c', 'd'][(o_orderkey % 4 + 1)::INT] AS mode
-  FROM orders WHERE o_orderkey % 13 <> 0)"""
+  FROM {_tasks_sql(13, 1)})"""
 
 
 def audit_candidate_sql(name: str = "cand", shift: int = 0) -> str:
@@ -170,7 +181,7 @@ def audit_candidate_sql(name: str = "cand", shift: int = 0) -> str:
     'r' || (o_orderkey % (5 + {shift})) AS rationale, ['high', 'medium', 'low'][((o_orderkey + o_orderkey % 2) % 3 + 1)::INT] AS quality,
     o_orderkey % 11 = 0 OR o_orderkey % 29 = 0 AS excluded, CASE WHEN o_orderkey % 11 = 0 THEN 'off topic' WHEN o_orderkey % 29 = 0 THEN 'duplicate' END AS exclude_reason,
     ['a', 'b', 'c', 'd'][(o_orderkey % 4 + 1)::INT] AS mode
-  FROM orders WHERE (o_orderkey + {shift}) % 19 <> 0)"""
+  FROM {_tasks_sql(19 + shift, 2)})"""
 
 
 AXES = ("support", "evidence_grounding", "claim_identity", "directional_alignment", "scope_match", "certainty_match", "attribution_directness", "uncertainty")
@@ -218,6 +229,15 @@ VECTOR_SAMPLES = (
 MODELS = ("alpha-large", "alpha-mid", "alpha-small", "beta-unknown")
 
 
+def prices(spark: SparkSession) -> DataFrame:
+    """model, input_usd, output_usd: an invented price list, in which the last model is missing."""
+    return spark.sql(f"SELECT * FROM VALUES {_PRICE_ROWS} AS p(model, input_usd, output_usd)")
+
+
+_PRICE_ROWS = "('alpha-large', 11.5D, 41.0D), ('alpha-mid', 2.5D, 9.5D), ('alpha-small', 0.75D, 4.25D)"
+PRICES = f"prices AS (SELECT * FROM (VALUES {_PRICE_ROWS.replace('D', '')}) AS p(model, input_usd, output_usd))"
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model calls: purpose, model, stage, family, successful, failed, billable, hit, and token counts."""
     e = read(spark, sf_dir, "events")
@@ -226,14 +246,14 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.col("event_type").alias("purpose"), _pick(MODELS, F.col("event_id") % 4).alias("model"), F.when(F.col("user_id") % 8 < 7, F.concat(F.lit("stage"), (F.col("user_id") % 8).cast("string"))).alias("stage"),
         F.when(F.col("user_id") % 5 != 4, F.col("user_id") % 5).cast("int").alias("family"), (F.col("event_type") != "error").alias("successful"), (F.col("event_type") == "error").alias("failed"),
         (F.col("event_id") % 6 != 0).alias("billable"), (F.col("event_id") % 6 == 0).alias("hit"), (100 + k * 10).alias("input_tokens"), F.when(F.col("event_id") % 9 == 0, 0).otherwise(20 + k).alias("output_tokens"),
-        (F.col("event_id") % 50).alias("reasoning_tokens"), (k % 40).alias("cache_read_tokens"), (F.col("event_id") % 30).alias("cache_write_tokens"),
+        (F.col("event_id") % 50).alias("reasoning_tokens"), (k % 40).alias("cache_read_tokens"), (F.col("event_id") % 30).alias("cache_write_tokens"), (F.col("event_id") % 7).alias("cache_write_hour_tokens"),
     )
 
 
 CALLS = f"""calls AS (
   SELECT event_id, event_type AS purpose, {_sql_list(MODELS)}[(event_id % 4 + 1)::INT] AS model, CASE WHEN user_id % 8 < 7 THEN 'stage' || (user_id % 8) END AS stage,
     CASE WHEN user_id % 5 <> 4 THEN (user_id % 5)::INT END AS family, event_type <> 'error' AS successful, event_type = 'error' AS failed, event_id % 6 <> 0 AS billable, event_id % 6 = 0 AS hit,
-    100 + k * 10 AS input_tokens, CASE WHEN event_id % 9 = 0 THEN 0 ELSE 20 + k END AS output_tokens, event_id % 50 AS reasoning_tokens, k % 40 AS cache_read_tokens, event_id % 30 AS cache_write_tokens
+    100 + k * 10 AS input_tokens, CASE WHEN event_id % 9 = 0 THEN 0 ELSE 20 + k END AS output_tokens, event_id % 50 AS reasoning_tokens, k % 40 AS cache_read_tokens, event_id % 30 AS cache_write_tokens, event_id % 7 AS cache_write_hour_tokens
   FROM (SELECT *, coalesce(json_extract_string(props, '$.k')::BIGINT, 0) AS k FROM events))"""
 
 STATUSES = ("not_started", "running", "succeeded", "failed", "stale", "blocked", "succeeded", "succeeded")
