@@ -7,7 +7,7 @@ from veriscope.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One category is all that these can have on the test tables.
-ONE_CATEGORY = {"diff_summary", "extraction_summary", "claim_near_pairs"}
+ONE_CATEGORY = {"diff_summary", "extraction_summary", "claim_near_pairs", "active_run", "dashboard_stats"}
 
 
 @pytest.fixture(scope="module")
