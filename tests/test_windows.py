@@ -2,8 +2,6 @@
 
 import re
 
-from pyspark.sql import functions as F
-
 from veriscope.operators import adjudicate, discovery, harvest, runs
 
 TEXTS = [
@@ -76,7 +74,7 @@ def test_windows_and_annotations(spark):
     for most in (30, 60, 200):
         for r in harvest.citing_window(df, "context", "marker", "w", most).collect():
             assert r["w"] == window(r["context"], r["marker"], most), (most, r)
-    for r in df.withColumn("a", harvest.annotate_context(F.col("context"), F.col("marker"), F.col("label"))).collect():
+    for r in harvest.annotate_context(df, "context", "marker", "label", "a").collect():
         assert r["a"] == annotated(r["context"], r["marker"], r["label"]), r
 
 

@@ -55,8 +55,8 @@ def claim_tokens(text: Column) -> Column:
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring words."""
     words = F.split(text, " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.concat_ws(" ", F.element_at(words, k), F.element_at(words, k + 1)))
-    return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    after = F.slice(words, F.lit(2), F.size(words))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), after, lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

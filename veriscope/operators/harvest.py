@@ -179,32 +179,32 @@ def citing_window(df: DataFrame, context: str, marker: str, to: str, most: int =
     return df.withColumn(to, F.when(F.length(c) <= most, c).otherwise(F.coalesce(F.nullif(chosen, F.lit("")), around))).drop(*names)
 
 
-def annotate_context(context: Column, marker: Column, label: Column, opened: str = "<<", closed: str = ">>") -> Column:
-    """The context with runs of sentences between ``opened`` and ``closed`` that hold the reference's label, or else the marker.
+def annotate_context(df: DataFrame, context: str, marker: str, label: str, to: str, opened: str = "<<", closed: str = ">>") -> DataFrame:
+    """``df`` with column ``to``: the context with runs of sentences between ``opened`` and ``closed`` that hold the reference's label, or else the marker.
 
     Unchanged if there is one sentence, or if none or all of them do.
     """
-    s = sentences(context)
-    first = F.coalesce(label, marker)
-    tries = [first, _tidy(first), F.when(label.isNotNull(), marker)]
-
-    def holding(what: Column) -> Column:
+    names = ("_mark_sentences", "_mark_tries", "_marks")
+    s, tries, marks = (F.col(x) for x in names)
+    first = F.coalesce(F.col(label), F.col(marker))
+    df = df.withColumn(names[0], sentences(F.col(context)))
+    df = df.withColumn(names[1], F.array(first, _tidy(first), F.when(F.col(label).isNotNull(), F.col(marker))))
+
+    def holding(k: int) -> Column:
+        what = F.get(tries, F.lit(k))
         return F.transform(s, lambda x: F.coalesce((F.length(what) > 0) & F.contains(x, what), F.lit(False)))
 
-    hits = [holding(t) for t in tries]
-    either = F.zip_with(hits[1], hits[2], lambda a, b: a | b)
-    marks = F.when(F.array_contains(hits[0], True), hits[0]).otherwise(either)
-    before = F.concat(F.array(F.lit(False)), F.slice(marks, F.lit(1), F.size(s)))
-    pieces = F.zip_with(F.arrays_zip(s.alias("s"), marks.alias("m")), before, lambda x, was: F.struct(x["s"].alias("s"), x["m"].alias("m"), was.alias("was")))
-
-    def step(acc: Column, x: Column) -> Column:
-        return (
-            F.when(x["s"].isNull(), F.when(x["was"], F.concat(F.rtrim(acc), F.lit(f" {closed}"))).otherwise(acc))
-            .when(x["m"] & ~x["was"], F.concat(acc, F.lit(f"{opened} "), x["s"]))
-            .when(~x["m"] & x["was"], F.concat(F.rtrim(acc), F.lit(f" {closed} "), x["s"]))
-            .otherwise(F.concat(acc, x["s"]))
-        )
-
-    marked = F.aggregate(pieces, F.lit(""), step)
+    df = df.withColumn(names[2], holding(0))
+    df = df.withColumn(names[2], F.when(F.array_contains(marks, True), marks).otherwise(F.zip_with(holding(1), holding(2), lambda a, b: a | b)))
+    before = F.concat(F.array(F.lit(False)), marks)  # one longer: its last pair closes what is open
+    parts = F.zip_with(F.arrays_zip(s.alias("s"), marks.alias("m")), before, lambda x, was: F.struct(x["s"].alias("s"), x["m"].alias("m"), was.alias("was")))
+    after = F.concat(F.slice(marks, F.lit(2), F.size(marks)), F.array(F.lit(False)))
+    ends = F.zip_with(parts, after, lambda x, later: F.struct(x["s"].alias("s"), x["m"].alias("m"), x["was"].alias("was"), later.alias("later")))
+    shown = F.transform(
+        F.filter(ends, lambda x: x["s"].isNotNull()),
+        lambda x: F.concat(F.when(x["m"] & ~x["was"], F.lit(f"{opened} ")).otherwise(F.lit("")), F.when(x["m"] & ~x["later"], F.concat(F.rtrim(x["s"]), F.lit(f" {closed} "))).otherwise(x["s"])),
+    )
+    marked = F.array_join(shown, "")
+    marked = F.when(F.element_at(marks, -1), F.rtrim(marked)).otherwise(marked)
     some, every = F.array_contains(marks, True), ~F.array_contains(marks, False)
-    return F.when((F.size(s) > 1) & some & ~every, marked).otherwise(context)
+    return df.withColumn(to, F.when((F.size(s) > 1) & some & ~every, marked).otherwise(F.col(context))).drop(*names)

@@ -107,8 +107,8 @@ def citing_windows(spark, sf):
 
 def annotated_contexts(spark, sf):
     label = F.when(F.col("ord") % 2 == 0, F.regexp_extract("context", r"(\w+ \w+ \w+)\.", 1))
-    out = harvest.annotate_context(F.col("context"), F.col("marker"), F.nullif(label, F.lit("")))
-    return td.mentions(spark, sf).withColumn("out", out).select("citing", "ord", F.contains("out", F.lit("<<")).alias("marked"), F.md5("out").alias("digest"))
+    m = td.mentions(spark, sf).withColumn("label", F.nullif(label, F.lit("")))
+    return harvest.annotate_context(m, "context", "marker", "label", "out").select("citing", "ord", F.contains("out", F.lit("<<")).alias("marked"), F.md5("out").alias("digest"))
 
 
 def _claims(spark, sf):
