@@ -25,7 +25,7 @@ OUT = "run_id string, stage string, step string, place int, status string, detai
 
 def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
     """Events among the lines of a log (run_id, seq, value); an event whose current and total do not come together is dropped."""
-    e = lines.where(F.startswith(column, F.lit(PREFIX))).withColumn("e", F.from_json(F.substring(F.col(column), len(PREFIX) + 1, 2**20), EVENT))
+    e = lines.where(F.startswith(column, F.lit(PREFIX))).withColumn("e", F.from_json(F.expr(f"substring(`{column}`, {len(PREFIX) + 1})"), EVENT))
     keep = [c for c in lines.columns if c != column]
     return e.select(*keep, "e.*").where("stage is not null and step is not null and (current is null) = (total is null)")
 
