@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +38,11 @@ def _word_hashes(texts: list[str]) -> np.ndarray:
 _NUMBER_HASHES, _UNIT_HASHES = _word_hashes(NUMBER_WORDS), _word_hashes(UNITS)
 
 
-def templates(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces as (template hash of each token, its slot or 0, bounds by row).
+def templates(column: pa.Array) -> Iterator[tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]]:
+    """Pieces as (readings, bounds by row); a reading has the template hash of each token and its slot or 0.
 
-    A token is a run of letters and digits; a point or comma between digits belongs to the number. A
+    The first reading has placeholders for numbers, units and names; the second, for texts in other capitals, for numbers and units
+    alone; the third, for items that are mostly such things, has none. Letters are folded in all. A token is a run of letters and digits; a point or comma between digits belongs to the number. A
     token that begins with a digit and a number word are numbers; a unit after a number is a unit; a capitalised
     token inside a sentence is a name. The slot of such a placeholder is the hash of what it replaced.
     """
@@ -58,7 +60,7 @@ def templates(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         hashes, starts, ends = words(flat, bounds_at, _SPLIT)
         bounds = np.searchsorted(starts, bounds_at)
         if not len(hashes):
-            yield hashes, hashes, bounds
+            yield [(hashes, hashes)] * 3, bounds
             continue
         number = digit[starts] | np.isin(hashes, _NUMBER_HASHES)
         unit = np.zeros(len(hashes), bool)
@@ -70,12 +72,14 @@ def templates(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         second = raw[np.minimum(starts + 1, len(raw) - 1)]
         capital = _UPPER[raw[starts]] | ((raw[starts] == 0xC3) & (second >= 0x80) & (second <= 0x9E))
         name = capital & ~opens & ~number & ~unit
-        slot = np.where(number | unit | name, hashes | np.uint64(1), np.uint64(0))
-        yield np.select([number, unit, name], [_NUMBER, _UNIT, _NAME], hashes), slot, bounds
+        slot = hashes | np.uint64(1)
+        folded = np.select([number, unit], [_NUMBER, _UNIT], hashes), np.where(number | unit, slot, np.uint64(0))
+        named = np.where(name, _NAME, folded[0]), np.where(name, slot, folded[1])
+        yield [named, folded, (hashes, np.zeros(len(hashes), np.uint64))], bounds
 
 
 def _windows(texts: DataFrame, key: str, sizes: list[int], literals: int, allowed=None) -> DataFrame:
-    """(key, pos, window, slots, total): template windows with at least ``literals`` plain tokens; total is how many the row has.
+    """(key, reading, pos, window, slots, total): template windows with at least ``literals`` plain tokens; total is how many the row has in that reading.
 
     A row of fewer tokens than the largest size is itself one window, of its own size.
     """
@@ -84,10 +88,11 @@ def _windows(texts: DataFrame, key: str, sizes: list[int], literals: int, allowe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row0 = 0
-            for hashes, slot, bounds in templates(batch.column(1)):
-                for size in sizes:
+            for readings, bounds in templates(batch.column(1)):
+                for reading, size in itertools.product(range(len(readings)), sizes):
+                    hashes, slot = readings[reading]
                     made, at = shingles(hashes, bounds, size)
-                    made = mix(made + np.uint64(size)).view(np.int64)
+                    made = mix(made + np.uint64(size + 1000 * reading)).view(np.int64)
                     n = np.diff(bounds)
                     width = np.where(n >= size, size, n)
                     row = np.repeat(np.arange(len(n)), np.diff(at))
@@ -104,12 +109,12 @@ def _windows(texts: DataFrame, key: str, sizes: list[int], literals: int, allowe
                     hit = np.flatnonzero(ok)
                     if len(hit):
                         slots = [slot[start[k] : start[k] + width[row[k]]].view(np.int64) for k in hit]
-                        columns = [batch.column(0).take(pa.array(row[hit] + row0)), pa.array(pos[hit], pa.int64()), pa.array(made[hit]), list_column(slots, pa.int64()), pa.array(total[hit], pa.int64())]
-                        yield pa.RecordBatch.from_arrays(columns, [key, "pos", "window", "slots", "total"])
+                        columns = [batch.column(0).take(pa.array(row[hit] + row0)), pa.array(np.full(len(hit), reading), pa.int32()), pa.array(pos[hit], pa.int64()), pa.array(made[hit]), list_column(slots, pa.int64()), pa.array(total[hit], pa.int64())]
+                        yield pa.RecordBatch.from_arrays(columns, [key, "reading", "pos", "window", "slots", "total"])
                 row0 += len(bounds) - 1
 
     rows = texts.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
-    return rows.where(f"{key} is not null").mapInArrow(run, f"{key} long, pos long, window long, slots array<long>, total long")
+    return rows.where(f"{key} is not null").mapInArrow(run, f"{key} long, reading int, pos long, window long, slots array<long>, total long")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, coverage: float = 0.5, literals: int = 4, conflicts: float = 0.2) -> DataFrame:
@@ -120,10 +125,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, coverage: f
     minus item position) each slot value of the item must stand for one value of the document, but for
     a share of ``conflicts``; windows on diagonals that fail do not count. A pair is a leak if
     ``coverage`` of the item's windows occur. slots counts the item's different slot values
-    found, changed those for which the document has another value: over 0 marks a re-parameterised copy.
+    found, changed those for which the document has another value: over 0 marks a re-parameterised copy. The same is done with windows in
+    which names, and in which all tokens, stand as they are, in any capitals; a pair counts by the reading that covers most of the item.
 
     Defined cases: null ids and null or empty texts match nothing; an item shorter than ``size`` tokens is one window of its own length,
-    and one of fewer than ``literals`` plain tokens is never matched; repeated rows count once; other
+    and one of fewer than ``literals`` tokens is never matched; a very long text is one like any other; repeated rows count once; other
     columns are ignored; an empty table gives no pairs.
     """
     lengths = list(range(literals, size + 1))
@@ -131,15 +137,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, coverage: f
     used = sorted({size} | {r["n"] for r in items.select(F.size("slots").alias("n")).distinct().toLocalIterator()})
     hits = _windows(docs, "doc_id", used, literals, id_filter(items.select("window").distinct(), "window", _BITS))
     left = hits.select("doc_id", "window", F.col("pos").alias("doc_pos"), F.col("slots").alias("doc_slots"))
-    met = keep(left.join(items, "window").select("doc_id", "item_id", "pos", (F.col("doc_pos") - F.col("pos")).alias("diagonal"), "slots", "doc_slots", "total"))
-    pairs = met.select("doc_id", "item_id", "diagonal", F.explode(F.filter(F.arrays_zip("slots", "doc_slots"), lambda x: x["slots"] != 0)).alias("p"))
-    values = pairs.select("doc_id", "item_id", "diagonal", "p.slots", "p.doc_slots").distinct().groupBy("doc_id", "item_id", "diagonal", "slots").agg(F.count("*").alias("meanings"), F.min((F.col("slots") == F.col("doc_slots")).cast("int")).alias("same"))
-    by_diagonal = values.groupBy("doc_id", "item_id", "diagonal").agg(F.count("*").alias("values"), F.sum((F.col("meanings") > 1).cast("int")).alias("odd"), F.sum(1 - F.col("same")).alias("changed"))
-    joined = met.select("doc_id", "item_id", "diagonal", "pos", "total").join(by_diagonal, ["doc_id", "item_id", "diagonal"], "left")
+    met = keep(left.join(items, "window").select("doc_id", "item_id", "reading", "pos", (F.col("doc_pos") - F.col("pos")).alias("diagonal"), "slots", "doc_slots", "total"))
+    pairs = met.select("doc_id", "item_id", "reading", "diagonal", F.explode(F.filter(F.arrays_zip("slots", "doc_slots"), lambda x: x["slots"] != 0)).alias("p"))
+    values = pairs.select("doc_id", "item_id", "reading", "diagonal", "p.slots", "p.doc_slots").distinct().groupBy("doc_id", "item_id", "reading", "diagonal", "slots").agg(F.count("*").alias("meanings"), F.min((F.col("slots") == F.col("doc_slots")).cast("int")).alias("same"))
+    by_diagonal = values.groupBy("doc_id", "item_id", "reading", "diagonal").agg(F.count("*").alias("values"), F.sum((F.col("meanings") > 1).cast("int")).alias("odd"), F.sum(1 - F.col("same")).alias("changed"))
+    joined = met.select("doc_id", "item_id", "reading", "diagonal", "pos", "total").join(by_diagonal, ["doc_id", "item_id", "reading", "diagonal"], "left")
     sound = joined.where(F.coalesce(F.col("odd") <= conflicts * F.col("values"), F.lit(True)))
-    counted = sound.groupBy("doc_id", "item_id", "pos").agg(F.max("total").alias("windows"), F.max("values").alias("slots"), F.max("changed").alias("changed"))
-    out = counted.groupBy("doc_id", "item_id").agg(F.count("*").alias("covered"), F.max("windows").alias("windows"), F.coalesce(F.max("slots"), F.lit(0)).alias("slots"), F.coalesce(F.max("changed"), F.lit(0)).alias("changed"))
-    return out.withColumn("coverage", F.col("covered") / F.col("windows")).where(F.col("coverage") >= coverage)
+    counted = sound.groupBy("doc_id", "item_id", "reading", "pos").agg(F.max("total").alias("windows"), F.max("values").alias("slots"), F.max("changed").alias("changed"))
+    out = counted.groupBy("doc_id", "item_id", "reading").agg(F.count("*").alias("covered"), F.max("windows").alias("windows"), F.coalesce(F.max("slots"), F.lit(0)).alias("slots"), F.coalesce(F.max("changed"), F.lit(0)).alias("changed"))
+    out = out.withColumn("coverage", F.col("covered") / F.col("windows")).where(F.col("coverage") >= coverage)
+    best = F.max_by(F.struct("covered", "windows", "slots", "changed", "coverage"), F.struct("coverage", (-F.col("reading")).alias("r")))
+    return out.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 BASE = ("email", "ip", "card", "phone")
 SECRET = "secret"
 _SPANS = "array<struct<start:int,end:int,text:string>>"
+_PART = 256
 
 # The patterns of the base spans. Quantifiers are possessive, and a run that failed at
 # its start is not tried again inside, so that each takes linear time; what they match is the same.
@@ -35,14 +36,23 @@ def _numbered(text: Column, pattern: str) -> Column:
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
 
-    def step(acc: Column, k: Column) -> Column:
-        start = acc["at"] + F.length(F.get(between, k))
-        end = start + F.length(F.get(found, k))
-        span = F.struct(start.alias("start"), end.alias("end"), F.get(found, k).alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    # found and between are bound as one struct, so that the text is searched once
+    def walked(both: Column) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            start = acc["at"] + F.length(F.get(both["between"], k))
+            end = start + F.length(F.get(both["found"], k))
+            span = F.struct(start.alias("start"), end.alias("end"), F.get(both["found"], k).alias("text"))
+            return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["spans"])
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(_SPANS))
+        def part(acc: Column, first: Column) -> Column:
+            own = F.aggregate(F.sequence(first, F.least(first + _PART - 1, F.size(both["found"]) - 1)), F.struct(acc["at"].alias("at"), F.array().cast(_SPANS).alias("spans")), step)
+            return F.get(F.transform(F.array(own), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["spans"], x["spans"]).alias("spans"))), F.lit(0))
+
+        # an array grows by a copy: lists of _PART spans are joined, so that a text of many matches takes little more than linear time
+        return F.aggregate(F.sequence(F.lit(0), F.size(both["found"]) - 1, F.lit(_PART)), zero, part, lambda acc: acc["spans"])
+
+    both = F.array(F.struct(found.alias("found"), between.alias("between")))
+    return F.coalesce(F.get(F.transform(both, lambda x: F.when(F.size(x["found"]) > 0, walked(x))), F.lit(0)), F.array().cast(_SPANS))
 
 
 def _digits(text: Column) -> Column:
@@ -208,17 +218,22 @@ def find_personal(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with each span of ``found`` replaced by its kind in square brackets; where spans overlap, the first stays."""
-    spans = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    """``docs`` with each span of ``found`` replaced by its kind in square brackets; where spans overlap, the first stays.
+
+    Rows without spans, also those with a null text or doc_id, stay as they are; columns of any name pass unchanged.
+    """
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
         piece = F.concat(acc["out"], F.substring("text", acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]"))
         return F.when(x["start"] < acc["at"], acc).otherwise(F.struct(piece.alias("out"), x["end"].alias("at")))
 
-    redacted = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    joined = docs.join(found.select("doc_id", "spans").dropDuplicates(["doc_id"]).withColumnRenamed("spans", "_spans"), "doc_id", "left").withColumnRenamed("_spans", "spans")
-    return joined.withColumn("text", F.when(F.size("spans") > 0, redacted).otherwise(F.col("text"))).select(*docs.columns)
+    def redacted(spans: Column) -> Column:
+        ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+        return F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
+    of = "_" * (1 + max(len(c) for c in docs.columns))  # begins no column of the input
+    joined = docs.join(found.select("doc_id", F.col("spans").alias(of)).dropDuplicates(["doc_id"]), "doc_id", "left")
+    return joined.select(*[F.when(F.size(of) > 0, redacted(F.col(of))).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(spans: str) -> Column:

@@ -147,7 +147,7 @@ class Lexicon:
         return total / (1 + np.log2(1 + len(text) / 400)) if total else 0.0
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 20_000, prefixes: range = range(4, 9), precision: float = 0.7, support: int = 3, size: int = 2000, cover: int = 3) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, most: int = 20_000, prefixes: range = range(4, 9), precision: float = 0.7, support: int = 3, cover: int = 3) -> Lexicon:
     """Lexicon from labelled texts: a bounded sample of at most about ``most`` rows (a bound of the fit alone).
 
     Spark counts in how many toxic and other texts each word and word beginning stands. Of those that
@@ -156,7 +156,6 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 20_000, prefixes: rang
     """
     chosen = _sample(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").dropDuplicates(["doc_id"]), most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    chosen = chosen.limit(2 * most)
 
     def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -166,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 20_000, prefixes: rang
     counted = spelt.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     base = spelt.agg(F.sum("toxic"), F.count("*")).first()
     toxic, total = int(base[0] or 0), int(base[1] or 0)
-    kept = counted.where((F.col("t") >= support) & (F.col("t") >= precision * F.col("n"))).orderBy(F.desc("t"), "term").limit(50_000).collect()
+    kept = counted.where((F.col("t") >= support) & (F.col("t") >= precision * F.col("n"))).orderBy(F.desc("t"), "term").collect()  # of the sample alone
     stats = {r["term"]: (r["t"], r["n"]) for r in kept}
     rows = [[t for t in r["terms"] if t in stats] for r in spelt.where("toxic = 1").select("terms").toLocalIterator()] if stats else []
     spelt.unpersist()
@@ -178,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 20_000, prefixes: rang
     left = {t: len(ks) for t, ks in covers.items()}
     times = [0] * len(rows)
     gain = lambda t: left[t] - 1.5 * (stats[t][1] - stats[t][0])  # noqa: E731  texts explained, against others hit
-    while left and len(weights) < size:
+    while left:
         best = max(left, key=lambda t: (gain(t), len(t), t))
         if gain(best) < support:
             break
@@ -231,7 +230,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = N
     """
     usable_labels = labels.where(usable) if usable is not None else labels
     lexicon = learn(docs, usable_labels, most)
-    told = _sample(usable_labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null").dropDuplicates(["doc_id"]), most).limit(2 * most)
+    told = _sample(usable_labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null").dropDuplicates(["doc_id"]), most)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(told), "doc_id")
     fit = strengths(sample, lexicon).join(told, "doc_id").select("strength", "toxic").toPandas()
     if len(fit):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .store import keep
 
 _BAD = "label:block"
+_SALTS = 16
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Fixed values of the query's contract.
@@ -58,15 +59,16 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(single, named("part", parts), named("word", words), named("key", keys)))))
 
 
-def mine_rules(labelled: DataFrame, support: float = 0.002, least: int = 4, confidence: float = 0.6, longest: int = 4) -> DataFrame:
+def mine_rules(labelled: DataFrame, least: int = 4, confidence: float = 0.6) -> DataFrame:
     """(rule_id, tokens, support, confidence) from ``labelled`` (tokens, bad): token sets after which ``bad`` is likely.
 
-    FP-growth finds the frequent sets; a rule needs ``least`` bad rows, ``confidence``, and more
-    confidence than each rule that lacks one of its tokens.
+    FP-growth finds the sets of at least ``least`` rows, at every size of the table; a rule needs ``least`` bad rows,
+    ``confidence``, and more confidence than each rule that lacks one of its tokens.
     """
+    support = least / max(least, labelled.count())
     rows = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(_BAD))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(rows)
-    sets = keep(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq").where(F.size("items") <= longest + 1))
+    sets = keep(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
     plain = sets.where(~F.array_contains("items", _BAD)).select(F.col("items").alias("tokens"), F.col("freq").alias("seen"))
     bad = sets.where(F.array_contains("items", _BAD) & (F.size("items") > 1)).select(F.array_remove("items", _BAD).alias("tokens"), F.col("freq").alias("support"))
     rules = bad.join(plain, "tokens").withColumn("confidence", F.col("support") / F.col("seen")).where((F.col("support") >= least) & (F.col("confidence") >= confidence))
@@ -105,6 +107,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
         index = mined.select("rule_id", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
         sets = rows.where(F.size("tokens") > 0).select("set_id", "tokens").distinct().select("set_id", F.explode("tokens").alias("token"))
         met = sets.join(index, "token").groupBy("set_id", "rule_id", "need").agg(F.count("*").alias("n")).where("n = need")
-        found = judged.join(met.groupBy("set_id").agg(F.count("*").alias("mined_rules")), "set_id", "left").withColumn("mined_rules", F.coalesce("mined_rules", F.lit(0)))
+        # a set that many pages share is dealt over _SALTS tasks; pages without tokens need no join
+        hit = met.groupBy("set_id").agg(F.count("*").alias("mined_rules")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        some = judged.where(F.size("tokens") > 0).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int"))
+        found = some.join(hit, ["set_id", "salt"], "left").withColumn("mined_rules", F.coalesce("mined_rules", F.lit(0))).drop("salt")
+        found = found.unionByName(judged.where(F.size("tokens") == 0).withColumn("mined_rules", F.lit(0).cast("long")))
     verdict = F.coalesce("fixed.verdict", F.when(F.col("mined_rules") > 0, F.lit("block")).otherwise(F.lit("allow")))
     return found.select("page_id", "host", "path", F.col("fixed.rule").alias("rule"), verdict.alias("verdict"), "mined_rules")
