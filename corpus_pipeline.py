@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones; one of which only blanks are left goes. n_chars follows the text."""
-    changed = dedup_lines(docs, min_tokens=1).where((F.col("removed_count") == 0) | (F.length(F.trim(F.translate("text", "\n\t\r", "   "))) > 0))
+    changed = dedup_lines(docs, min_tokens=1).where((F.col("removed_count") == 0) | (F.col("lines_left") > 0))
     size = F.when(F.col("removed_count") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return changed.withColumn("n_chars", size).select(*docs.columns)
 

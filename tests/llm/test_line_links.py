@@ -57,7 +57,7 @@ def test_rows_that_share_an_id(spark):
 def test_clashing_columns_and_odd_texts(spark):
     df = spark.createDataFrame([(k, t, k, "g", "f", 3) for k, t in enumerate(ODD)], "doc_id int, text string, _gone int, gone string, found string, line_count int")
     out = dedup_lines(df.withColumnRenamed("found", "number"), min_tokens=1)
-    assert out.columns == ["doc_id", "text", "_gone", "gone", "number", "line_count", "removed_count", "line_classes", "line_links"]
+    assert out.columns == ["doc_id", "text", "_gone", "gone", "number", "line_count", "removed_count", "lines_left", "line_classes", "line_links"]
     assert out.count() == len(ODD) and out.agg({"_gone": "sum"}).first()[0] == sum(range(len(ODD)))
 
 

@@ -152,5 +152,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, coverage: f
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that leak an item; all columns as they were."""
-    leaks = find_leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    leaks = keep(find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("leaked")).distinct())  # a table of known size, so that a short list spares the texts a shuffle
+    return docs.join(leaks, docs["doc_id"].cast("long") == leaks["leaked"], "left_anti")

@@ -389,6 +389,8 @@ def similar_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, lim
     seen = keep(lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times")))
 
     met = keep(_key_rows(lines).repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _meet(batches, threshold, limits), "key long, a long, b long, place_a long, place_b long, tokens long"), 50_000)
+    places = keep(lines.select("line", "doc_id", "text_id", "number"))
+    discard(lines)
     tidy(docs.sparkSession)
     pairs = met.where("b is not null").select("a", "b", "place_a", "place_b", "tokens")
     dense = met.where("b is null").select("key", F.col("a").alias("id"), F.col("place_a").alias("place"), F.col("place_b").alias("n"), F.col("tokens").alias("tokens_in_key")).dropDuplicates(["key", "id"])
@@ -420,8 +422,8 @@ def similar_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, lim
     firsts = named.groupBy("class_id").agg(F.min("first").alias("first"))
     classes = named.drop("first").join(firsts, "class_id")
     classes = classes.select("line", "class_id", "links", F.col("first.doc_id").alias("first_doc"), F.col("first.text_id").alias("first_text"), F.col("first.number").alias("first_number"))
-    hits = keep(lines.select("line", "doc_id", "text_id", "number").join(classes, "line"))
-    discard(lines, seen, single, blocks, named)
+    hits = keep(places.join(classes, "line"))
+    discard(places, seen, single, blocks, named)
     del found, degree, linked, firsts, classes
     tidy(docs.sparkSession)
     return hits
@@ -435,7 +437,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, limit
     ``threshold`` % or more are linked; of each class that links join, the first line in order of
     (doc_id, hash of the text, line number) stays and all later ones go. Shorter lines stay; with 1 no line but blank ones is left out.
 
-    Adds line_count, removed_count, line_classes (ids of the classes in which the row took part)
+    Adds line_count, removed_count, lines_left (those of the rest that are not blank), line_classes (ids of the classes in which the row took part)
     and line_links (for each of its lines in such a class, all different lines with which it is linked). Input columns of these names
     are replaced; all others, of any name, pass unchanged.
 
@@ -443,7 +445,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, limit
     without doc_id pass unchanged; rows that share a doc_id are told apart by their texts, and rows equal in both are
     treated alike; an empty table gives an empty table; a very long line or text is one like any other.
     """
-    made = ("line_count", "removed_count", "line_classes", "line_links")
+    made = ("line_count", "removed_count", "lines_left", "line_classes", "line_links")
     base = docs.select(*[c for c in docs.columns if c not in made])
     clear = "_" * (1 + max((len(c) for c in base.columns), default=0))  # begins no column of the input
     doc, name, found, lines = (f"{clear}{x}" for x in ("doc", "text", "found", "lines"))
@@ -463,6 +465,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 80, min_tokens: int = 5, limit
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("line_count"),
         F.greatest(F.size(gone), F.lit(0)).cast("long").alias("removed_count"),
+        F.greatest(F.size(F.filter(F.when(F.size(gone) > 0, kept).otherwise(F.sequence(F.lit(0), F.size(parts) - 1)), lambda k: F.get(parts, k).rlike("[^ \t-\r]"))), F.lit(0)).cast("long").alias("lines_left"),
         F.coalesce(F.col(found)["classes"], F.array().cast("array<bigint>")).alias("line_classes"),
         F.coalesce(F.col(found)["links"], F.lit(0)).cast("long").alias("line_links"),
     )

@@ -158,5 +158,5 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     Rows without doc_id and rows without words stay; rows that share a doc_id stay or go together; an empty table stays empty.
     """
-    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    gone = keep(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone")).distinct())  # a table of known size, so that a short list spares the texts a shuffle
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")

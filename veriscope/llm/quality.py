@@ -220,5 +220,5 @@ def held_out_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose text scores under ``threshold``; all columns as they were."""
-    low = score_quality(docs, labels, ~held_out(3, 1)).where(F.col("score") < threshold).select("doc_id").distinct()
-    return docs.join(low, "doc_id", "left_anti").select(*docs.columns)
+    low = keep(score_quality(docs, labels, ~held_out(3, 1)).where(F.col("score") < threshold).select(F.col("doc_id").alias("low")).distinct())  # a table of known size, so that a short list spares the texts a shuffle
+    return docs.join(low, docs["doc_id"].cast("long") == low["low"], "left_anti")
