@@ -1,5 +1,7 @@
 """Every registered query of the reference's operators against DuckDB on the same tables."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -69,6 +71,54 @@ def test_greedy_families_use_exact_before_near(spark):
     assert got == {"f1": ("f1", "none"), "f2": ("f1", "exact_normalized_claim"), "f3": ("f1", "near_duplicate_claim"), "f4": ("f4", "none")}
 
 
+def greedy(families, pairs):
+    """{family: (head, strategy)} by a fold in order of id, one seed after the other."""
+    out = {}
+    for seed in {f[0] for f in families}:
+        exact, heads = {}, []
+        for _, name, tracked, canonical in sorted(f for f in families if f[0] == seed):
+            head, how = exact.get(("t", tracked)) or exact.get(("c", canonical)), "exact_normalized_claim"
+            if head is None:
+                head, how = next((h for h in heads if (h, name) in pairs), None), "near_duplicate_claim"
+            if head is None:
+                head, how = name, "none"
+                heads.append(name)
+            exact.setdefault(("t", tracked), head)
+            exact.setdefault(("c", canonical), head)
+            out[name] = (head, how)
+    return out
+
+
+def test_greedy_families_against_a_fold(spark):
+    from veriscope.operators.claims import greedy_families
+
+    draw = random.Random(7)
+    families = [(k % 3, f"f{k:03}", f"t{draw.randrange(40)}", f"c{draw.randrange(40)}") for k in range(150)]
+    pairs = {tuple(sorted(draw.sample([f[1] for f in families], 2))) for _ in range(2500)}
+    f = spark.createDataFrame(families, "doi long, family_id string, tracked string, normalized string")
+    got = {r["family_id"]: (r["head"], r["strategy"]) for r in greedy_families(f, spark.createDataFrame(list(pairs), "a string, b string")).collect()}
+    assert got == greedy(families, pairs)
+    assert len({how for _, how in got.values()}) == 3
+
+
+def test_near_pairs_lose_no_contained_claim(spark):
+    from veriscope.operators.claims import near_duplicate_pairs
+
+    claims = ["", "a", "row", "arrows fly", "ows fl", "s", "flies over the narrow", "ies over the narr", "the narrow flies over the hill", "is of no"]
+    rows = [(1, f"g{k}", c, None, s, "grounded") for k, (c, s) in enumerate((c, s) for c in claims for s in ("", "an arrows fly", "it flies over the narrow hill", "to of"))] + [(2, "z", "row", None, "an arrows fly", "grounded")]
+    f = spark.createDataFrame(rows, "doi long, family_id string, tracked string, normalized string, support string, status string")
+    got = {(r["a"], r["b"]) for r in near_duplicate_pairs(f).collect()}
+    words = lambda x: {w for w in x.split() if len(w) >= 3}
+    wanted = set()
+    for _, a, ca, _, sa, _ in rows[:-1]:
+        for _, b, cb, _, sb, _ in rows[:-1]:
+            either, both = words(sa) | words(sb), words(sa) & words(sb)
+            alike = len(both) / len(either) >= 0.6 if either else True
+            if a < b and (ca == cb or (sa and sb and (alike or cb in sa or ca in sb))):
+                wanted.add((a, b))
+    assert got == wanted
+
+
 def test_deltas_are_checked(spark, sf):
     from veriscope.operators.compare import apply_deltas
     from veriscope.sources import testdata as td

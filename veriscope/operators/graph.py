@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rules import decision, edge_flags, family_profile, metric_priority
 from ..functions.text import authors_overlap, bigrams, jaccard, normalize_title, years_close
+from .rounds import attached, cut
 
 FLAGS = ("is_primary_like", "is_review", "is_commentary", "is_letter", "is_book_chapter", "is_journal_article", "is_preprint")
 STATUSES = ("auditable_structured", "auditable_pdf", "partially_auditable", "not_auditable")
@@ -117,28 +117,18 @@ def collapse_duplicates(papers: DataFrame, pairs: DataFrame, by: str) -> DataFra
     """(by, paper_id, head, representative, reason) within each group of ``by``, in input order (``ord``).
 
     A paper joins the first earlier head that it pairs with and is compared with heads only; the
-    representative is the group's first published article, else its head. One group of ``by`` is the
-    neighbourhood of one seed, which a task holds at once.
+    representative is the group's first published article, else its head. Rounds of joins settle the heads, so
+    a group of any size is spread over tasks.
     """
-    joined = papers.select(by, "paper_id", "ord", "paper_type").join(pairs.select(F.col("b").alias("paper_id"), "a", "reason").groupBy("paper_id").agg(F.collect_list(F.struct("a", "reason")).alias("before")), "paper_id", "left")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        heads: dict = {}
-        head, why = [], []
-        for paper, before in zip(pdf["paper_id"], pdf["before"], strict=True):
-            known = {x["a"]: x["reason"] for x in before} if before is not None else {}
-            first = next((h for h in heads if h in known), None)
-            if first is None:
-                heads[paper] = None
-            head.append(paper if first is None else first)
-            why.append("original" if first is None else known[first])
-        out = pdf[[by, "paper_id"]].assign(head=head, reason=why)
-        published = pdf.assign(head=head)[pdf["paper_type"].isin(["article", "journal-article"]).to_numpy()].groupby("head", sort=False)["paper_id"].first()
-        return out.assign(representative=out["head"].map(lambda h: published.get(h, h)))[[by, "paper_id", "head", "representative", "reason"]]
-
-    kind = dict(papers.dtypes)
-    return joined.groupBy(by).applyInPandas(fold, f"{by} {kind[by]}, paper_id {kind['paper_id']}, head {kind['paper_id']}, representative {kind['paper_id']}, reason string")
+    p = papers.select(by, "paper_id", "ord", "paper_type")
+    side = lambda x: p.select(F.col(by).alias(f"by_{x}"), F.col("paper_id").alias(x), F.col("ord").alias(f"ord_{x}"))
+    inside = pairs.join(side("a"), "a").join(side("b"), "b").where("by_a = by_b and ord_a < ord_b")
+    inside = cut(inside.select(F.struct("by_a", "a").alias("a"), F.struct(F.col("by_b").alias("by_a"), F.col("b").alias("a")).alias("b"), "ord_a", "reason"))
+    first = inside.join(attached(inside), F.col("a") == F.col("id"), "left_anti").groupBy("b").agg(F.min_by(F.struct(F.col("a.a").alias("head"), "reason"), "ord_a").alias("first"))
+    first = first.select(F.col("b.by_a").alias(by), F.col("b.a").alias("paper_id"), "first.*")
+    out = p.join(first, [by, "paper_id"], "left").withColumns({"head": F.coalesce("head", "paper_id"), "reason": F.coalesce("reason", F.lit("original"))})
+    published = out.where(F.col("paper_type").isin("article", "journal-article")).groupBy(by, "head").agg(F.min_by("paper_id", "ord").alias("published"))
+    return out.join(published, [by, "head"], "left").select(by, "paper_id", "head", F.coalesce("published", "head").alias("representative"), "reason")
 
 
 def block_offsets(blocks: DataFrame, doc: str = "doc_id", order: str = "ord", least: int = 30) -> DataFrame:

@@ -59,8 +59,7 @@ def dup_pairs_by_rule(spark, sf):
 
 def greedy_paper_groups(spark, sf):
     p = td.papers(spark, sf).withColumn("seed", F.col("paper_id") % 20).withColumn("ord", F.col("paper_id"))
-    pairs = graph.duplicate_pairs(p).where("a % 20 = b % 20")
-    return graph.collapse_duplicates(p, pairs, "seed")
+    return graph.collapse_duplicates(p, graph.duplicate_pairs(p), "seed")
 
 
 def ref_match_priority(spark, sf):

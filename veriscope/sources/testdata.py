@@ -28,12 +28,11 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """paper_id, doi, title, abstract, authors, source, paper_type, year, refs, availability, hint."""
     d = read(spark, sf_dir, "documents")
     k = F.col("doc_id")
-    words = F.split(F.translate("text", "\n", " "), " ")
     return d.select(
         k.alias("paper_id"),
         F.concat(F.lit("10.1234/"), (k % 900).cast("string")).alias("doi"),
-        F.concat(F.array_join(F.slice(words, 1, 8), " "), _pick(TITLE_ENDINGS, k % 13)).alias("title"),
-        F.substring("text", 1, 400).alias("abstract"),
+        F.concat(F.split("text", "\n")[0], _pick(TITLE_ENDINGS, k % 13)).alias("title"),
+        F.col("text").alias("abstract"),
         F.array(F.concat(F.lit("A. "), "source"), F.concat(F.lit("B "), "lang")).alias("authors"),
         "source",
         F.when(k % 9 < 8, _pick(PAPER_TYPES, k % 9 % 8)).alias("paper_type"),
@@ -46,8 +45,8 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAPERS = f"""papers AS (
   SELECT doc_id AS paper_id, '10.1234/' || (doc_id % 900) AS doi,
-    array_to_string(string_split(translate(text, chr(10), ' '), ' ')[1:8], ' ') || {_sql_list(TITLE_ENDINGS)}[(doc_id % 13 + 1)::INT] AS title,
-    left(text, 400) AS abstract, ['A. ' || source, 'B ' || lang] AS authors, source,
+    string_split(text, chr(10))[1] || {_sql_list(TITLE_ENDINGS)}[(doc_id % 13 + 1)::INT] AS title,
+    text AS abstract, ['A. ' || source, 'B ' || lang] AS authors, source,
     CASE WHEN doc_id % 9 < 8 THEN {_sql_list(PAPER_TYPES)}[(doc_id % 9 + 1)::INT] END AS paper_type,
     CASE WHEN doc_id % 7 <> 6 THEN (2000 + doc_id % 25)::INT END AS year, (n_chars % 250)::INT AS refs,
     {_sql_list(AVAILABILITY)}[(doc_id % 4 + 1)::INT] AS availability,
@@ -293,18 +292,21 @@ TASKS = f"""tasks AS (
 
 
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """family_id, doi, tracked, normalized, support, status, citing_ids, n_mentions: claim families of seeds."""
+    """family_id, doi, tracked, normalized, support, status, citing_ids, n_mentions: claim families of seeds, whose number follows the table's.
+
+    Claims are the first line of a document and its first sentence, the support is its whole text.
+    """
     d = read(spark, sf_dir, "documents")
-    k = F.col("doc_id")
-    first = lambda a, b: F.array_join(F.slice(F.split(F.translate("text", "\n", " "), " "), a, b), " ")
+    d = d.crossJoin(F.broadcast(d.agg(F.greatest(F.lit(30), F.floor(F.count("*") / 33)).alias("seeds"))))
+    k, line = F.col("doc_id"), F.split("text", "\n")[0]
     return d.select(
-        F.concat(F.lit("fam-"), F.lpad(k.cast("string"), 9, "0")).alias("family_id"), (k % 30).alias("doi"), first(1, 3).alias("tracked"), F.when(k % 3 != 0, first(1, 5)).alias("normalized"), first(1, 12).alias("support"),
+        F.concat(F.lit("fam-"), F.lpad(k.cast("string"), 9, "0")).alias("family_id"), (k % F.col("seeds")).alias("doi"), line.alias("tracked"), F.when(k % 3 != 0, F.regexp_extract(line, "^[^.!?]*", 0)).alias("normalized"), F.translate("text", "\n", " ").alias("support"),
         _pick(("grounded", "ambiguous", "not_attempted", "not_found", "no_seed_fulltext"), k % 5).alias("status"), F.array((k % 40).cast("string"), (k % 31).cast("string"), (k % 7).cast("string")).alias("citing_ids"), (1 + k % 6).cast("int").alias("n_mentions"),
     )
 
 
 FAMILIES = """families AS (
-  SELECT 'fam-' || lpad(doc_id::VARCHAR, 9, '0') AS family_id, doc_id % 30 AS doi, array_to_string(w[1:3], ' ') AS tracked, CASE WHEN doc_id % 3 <> 0 THEN array_to_string(w[1:5], ' ') END AS normalized,
-    array_to_string(w[1:12], ' ') AS support, ['grounded', 'ambiguous', 'not_attempted', 'not_found', 'no_seed_fulltext'][(doc_id % 5 + 1)::INT] AS status,
+  SELECT 'fam-' || lpad(doc_id::VARCHAR, 9, '0') AS family_id, doc_id % (SELECT greatest(30, count(*) // 33) FROM documents) AS doi, line AS tracked, CASE WHEN doc_id % 3 <> 0 THEN regexp_extract(line, '^[^.!?]*') END AS normalized,
+    translate(text, chr(10), ' ') AS support, ['grounded', 'ambiguous', 'not_attempted', 'not_found', 'no_seed_fulltext'][(doc_id % 5 + 1)::INT] AS status,
     [(doc_id % 40)::VARCHAR, (doc_id % 31)::VARCHAR, (doc_id % 7)::VARCHAR] AS citing_ids, (1 + doc_id % 6)::INT AS n_mentions
-  FROM (SELECT doc_id, string_split(translate(text, chr(10), ' '), ' ') AS w FROM documents))"""
+  FROM (SELECT doc_id, text, string_split(text, chr(10))[1] AS line FROM documents))"""
