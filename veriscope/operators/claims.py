@@ -55,15 +55,11 @@ def _holders(f: DataFrame) -> DataFrame:
     )
     word = F.explode(F.array_distinct(F.split("support", " "))).alias("word")
     whole = f.select("doi", F.col("family_id").alias("y"), F.lit(3).alias("kind"), word).withColumnRenamed("word", "key")
-    short = wanted.where("kind < 3").select("doi", "kind").distinct()
-    few = f.select("doi", F.col("family_id").alias("y"), word).join(short, "doi")
-    starts = F.sequence(F.lit(1), F.length("word"))
-    parts = (
-        F.when(F.col("kind") == 2, F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.substr("word", F.greatest(F.lit(1), F.length("word") - k + 1))))
-        .when(F.col("kind") == 1, F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.transform(starts, lambda s: F.substr("word", s, k)))))
-        .otherwise(F.array(F.lit("")))
-    )
-    met = wanted.join(whole.unionByName(few.where("word <> ''").select("doi", "y", "kind", F.explode(F.array_distinct(parts)).alias("key"))), ["doi", "kind", "key"]).where("x <> y")
+    short = wanted.where("kind < 3").select("doi", "kind", F.length("key").alias("size")).distinct()
+    few = f.select("doi", F.col("family_id").alias("y"), word).join(short, "doi").where("length(word) >= size")
+    starts = F.sequence(F.lit(1), F.length("word") - F.col("size") + 1)
+    parts = F.when(F.col("kind") == 1, F.transform(starts, lambda s: F.substr("word", s, "size"))).otherwise(F.array(F.right("word", F.col("size"))))
+    met = wanted.join(whole.unionByName(few.select("doi", "y", "kind", F.explode(parts).alias("key")).distinct()), ["doi", "kind", "key"]).where("x <> y")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
