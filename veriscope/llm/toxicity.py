@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import _sample
+from .store import discard, keep
 
 # Letters of other scripts that look like Latin ones, and digits used for letters.
 HOMOGLYPHS = dict(zip("аеорсухівкмнтѕјԁɡӏαεορτυνκιχ", "aeopcyxibkmhtsjdglaeoptuvkix", strict=True))
@@ -159,16 +160,16 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 20_000, prefixes: rang
 
     def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "chars": pdf["text"].str.len(), "terms": [sorted(_terms(fold(t), prefixes) | (_terms(fold(t, "i"), prefixes) if _UNSURE.search(_latin(t)) else set())) for t in pdf["text"]]})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "terms": [sorted(_terms(fold(t), prefixes) | (_terms(fold(t, "i"), prefixes) if _UNSURE.search(_latin(t)) else set())) for t in pdf["text"]]})
 
-    spelt = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).mapInPandas(spell, "toxic int, chars long, terms array<string>").cache()
+    spelt = keep(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).mapInPandas(spell, "toxic int, terms array<string>"))
     counted = spelt.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     base = spelt.agg(F.sum("toxic"), F.count("*")).first()
     toxic, total = int(base[0] or 0), int(base[1] or 0)
     kept = counted.where((F.col("t") >= support) & (F.col("t") >= precision * F.col("n"))).orderBy(F.desc("t"), "term").collect()  # of the sample alone
     stats = {r["term"]: (r["t"], r["n"]) for r in kept}
     rows = [[t for t in r["terms"] if t in stats] for r in spelt.where("toxic = 1").select("terms").toLocalIterator()] if stats else []
-    spelt.unpersist()
+    discard(spelt)
     covers: dict[str, set[int]] = defaultdict(set)
     for k, terms in enumerate(rows):
         for t in terms:
