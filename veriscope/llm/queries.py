@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii
+from . import pii, sql
 from .decontaminate import find_leaks
 from .fingerprint import edited_likeness
 from .html import extract_main_text
@@ -72,10 +72,25 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def personal_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op4_pii."""
+    return op4_pii(spark, sf_dir).select("doc_id", *[f"n_{kind}" for kind in pii.BASE], "base_sha256")
+
+
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and fixed rule of op6_url_rules."""
+    return op6_url_rules(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and edited texts of op10_fingerprint."""
+    return op10_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_decontamination, op2_html, op3_toxicity, op4_pii, op5_line_dedup, op6_url_rules, op7_packing, op8_minhash, op9_quality, op10_fingerprint)
+    ops = (op1_decontamination, op2_html, op3_toxicity, op4_pii, op5_line_dedup, op6_url_rules, op7_packing, op8_minhash, op9_quality, op10_fingerprint, personal_base, url_parts, edited_texts)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_minhash": sql.NEAR_DUPLICATES, "personal_base": sql.PERSONAL_BASE, "url_parts": sql.URL_PARTS, "edited_texts": sql.EDITED_TEXTS}
