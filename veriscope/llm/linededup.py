@@ -250,6 +250,24 @@ class _Rows:
             ys.append(b[ok])
         return np.concatenate(xs), np.concatenate(ys)
 
+    def even(self, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Surviving pairs of keys of ``size`` rows each, by key, and how many each key has."""
+        xs, ys, many = [starts[:0]], [starts[:0]], [starts[:0]]
+        few = max(1, (1 << 19) // size**2)
+        for k in range(0, len(starts), few):
+            own = starts[k : k + few, None] + np.arange(size)
+            n, bitmap = self.n[own], self.bitmap[own]
+            table = self.apart(np.arange(2 * int(n.max()) + 1)) if n.max() < 1 << 16 else None
+            total = n[:, :, None] + n[:, None, :]
+            near = np.bitwise_count(bitmap[:, :, None] ^ bitmap[:, None, :]) <= (table[total] if table is not None else self.apart(total))
+            of, a, b = np.nonzero(near & np.triu(np.ones((size, size), bool), 1))
+            x, y = own[of, a], own[of, b]
+            ok = self.sift(x, y)
+            xs.append(x[ok])
+            ys.append(y[ok])
+            many.append(np.bincount(of[ok], minlength=len(own)))
+        return np.concatenate(xs), np.concatenate(ys), np.concatenate(many)
+
     def large(self, start: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Surviving pairs of one key, in blocks."""
         n, bitmap = self.n[start : start + size], self.bitmap[start : start + size]
@@ -266,6 +284,18 @@ class _Rows:
         return np.concatenate(xs), np.concatenate(ys)
 
 
+def _by_key(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Order by key, then id, of rows in which equal keys are adjacent."""
+    run = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+    if run[-1] < 1 << 24:
+        both = (run.astype(np.uint64) << np.uint64(40)) | ((ids.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(24))
+        order = np.argsort(both)
+        same = both[order][1:] == both[order][:-1]
+        if (ids[order][1:][same] == ids[order][:-1][same]).all():  # else the whole id decides
+            return order
+    return np.lexsort((ids, run))
+
+
 def _meet(batches: Iterator[pa.RecordBatch], threshold: int, limits: Limits) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, place_a, place_b, tokens), and as rows without b the lines of keys to be verified in blocks, with their size as place_b.
 
@@ -285,7 +315,7 @@ def _meet(batches: Iterator[pa.RecordBatch], threshold: int, limits: Limits) ->
         columns = held if columns is None else columns
         if columns is None or not len(columns[0]):
             continue
-        order = np.lexsort(columns[1::-1])
+        order = _by_key(*columns[:2])
         key, ids = columns[0][order], columns[1][order]
         r = _Rows([c[order[np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])]] for c in columns], threshold)
         held = None
@@ -300,7 +330,13 @@ def _meet(batches: Iterator[pa.RecordBatch], threshold: int, limits: Limits) ->
                 starts, sizes, blocks = starts[:-1], sizes[:-1], blocks[:-1]
         little = np.flatnonzero((sizes > 1) & (sizes <= 24) & ~blocks)
         pairs = [r.small(starts[little], sizes[little])]
-        for k in np.flatnonzero((sizes > 24) & ~blocks):
+        middle = np.flatnonzero((sizes > 24) & (sizes <= 128) & ~blocks)
+        for size in np.unique(sizes[middle]).tolist():
+            own = middle[sizes[middle] == size]
+            x, y, many = r.even(starts[own], size)
+            blocks[own] = full = many > limits.dense * size
+            pairs.append((x[~np.repeat(full, many)], y[~np.repeat(full, many)]))
+        for k in np.flatnonzero((sizes > 128) & ~blocks):
             x, y = r.large(starts[k], sizes[k])
             if len(x) > limits.dense * sizes[k]:
                 blocks[k] = True
