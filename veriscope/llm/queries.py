@@ -14,6 +14,7 @@ from .html import extract_main_text
 from .linededup import dedup_lines
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .periodic import periodic_runs, repeat_tails, run_digests
 from .quality import held_out_scores
 from .toxicity import held_out_toxicity
 from .urlrules import judge_urls
@@ -72,6 +73,10 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(repeat_tails(table(spark, sf_dir, "documents"))))
+
+
 def personal_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base spans of op4_pii."""
     return op4_pii(spark, sf_dir).select("doc_id", *[f"n_{kind}" for kind in pii.BASE], "base_sha256")
@@ -88,9 +93,9 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_decontamination, op2_html, op3_toxicity, op4_pii, op5_line_dedup, op6_url_rules, op7_packing, op8_minhash, op9_quality, op10_fingerprint, personal_base, url_parts, edited_texts)
+    ops = (op1_decontamination, op2_html, op3_toxicity, op4_pii, op5_line_dedup, op6_url_rules, op7_packing, op8_minhash, op9_quality, op10_fingerprint, op11_periodic_runs, personal_base, url_parts, edited_texts)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minhash": sql.NEAR_DUPLICATES, "personal_base": sql.PERSONAL_BASE, "url_parts": sql.URL_PARTS, "edited_texts": sql.EDITED_TEXTS}
+    return {"op8_minhash": sql.NEAR_DUPLICATES, "op11_periodic_runs": sql.PERIODIC_RUNS, "personal_base": sql.PERSONAL_BASE, "url_parts": sql.URL_PARTS, "edited_texts": sql.EDITED_TEXTS}

@@ -43,3 +43,18 @@ URL_PARTS = rf"""WITH k(rule, h, p) AS (VALUES {_RULE_ROWS}),
 EDITED_TEXTS = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
   n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS after FROM d)
   SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 4) || left(after, length(t) // 4)) AS edited_sha256 FROM n"""
+
+# crc32 of the digits of doc_id, bit by bit; runs are islands of equal words at each distance, found by a self-join on words.
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda r, c: list_reduce(list_prepend(xor(r, c), list_transform(range(8), lambda k: k)), lambda b, k: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END))"
+PERIODIC_RUNS = rf"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, xor({_CRC}, 4294967295) AS h FROM documents),
+  g AS (SELECT doc_id, ws, len(ws)::BIGINT AS n, h % 10 = 0 AND len(ws) > 0 AS hit, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a, 3 + (h // 10) % 8 AS m FROM t),
+  w AS (SELECT doc_id, n, i, ws[1 + CASE WHEN hit AND i >= a THEN a + (i - a) % (1 + (n - a) // m) ELSE i END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM g)),
+  e AS (SELECT x.doc_id, x.i, y.i - x.i AS p FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+  s AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM e),
+  r AS (SELECT doc_id, start, length, min(p) AS period FROM (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM s GROUP BY doc_id, p, island) WHERE length >= greatest(24, 3 * p) GROUP BY ALL),
+  b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) AS k FROM r),
+  d AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+  c AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS collapsed FROM w LEFT JOIN d ON d.doc_id = w.doc_id AND d.i = w.i WHERE d.i IS NULL GROUP BY 1),
+  q AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS text FROM r GROUP BY 1)
+  SELECT documents.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(q.text, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+  FROM documents LEFT JOIN q ON q.doc_id = documents.doc_id LEFT JOIN b ON b.doc_id = documents.doc_id AND k = 1 LEFT JOIN c ON c.doc_id = documents.doc_id"""
