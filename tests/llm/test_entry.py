@@ -15,7 +15,7 @@ from veriscope.llm.queries import queries, tokenizer_file
 def test_registered():
     found = __spark_entry__.queries()
     assert set(queries()) <= set(found) and "pipeline" in found
-    assert {n.split("_")[0] for n in found if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in found if n.startswith("op")} >= {f"op{k}" for k in range(1, 14)}
     assert set(__spark_entry__.oracle_sql()) <= set(found)
 
 

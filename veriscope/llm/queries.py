@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import pii, sql
 from .decontaminate import find_leaks
+from .divergence import source_divergence
 from .fingerprint import edited_likeness
 from .html import extract_main_text
 from .linededup import dedup_lines
@@ -16,6 +17,7 @@ from .minhash import near_duplicates
 from .packing import pack_documents
 from .periodic import periodic_runs, repeat_tails, run_digests
 from .quality import held_out_scores
+from .tokencount import content_digests, token_counts
 from .toxicity import held_out_toxicity
 from .urlrules import judge_urls
 
@@ -24,10 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +79,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(repeat_tails(table(spark, sf_dir, "documents"))))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, so that every distinct text is encoded."""
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def personal_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base spans of op4_pii."""
     return op4_pii(spark, sf_dir).select("doc_id", *[f"n_{kind}" for kind in pii.BASE], "base_sha256")
@@ -92,10 +103,15 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
 
 
+def text_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and digests by which op12_token_counts meets its cache."""
+    return content_digests(table(spark, sf_dir, "documents")).withColumn("digest", F.lower(F.hex("digest")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_decontamination, op2_html, op3_toxicity, op4_pii, op5_line_dedup, op6_url_rules, op7_packing, op8_minhash, op9_quality, op10_fingerprint, op11_periodic_runs, personal_base, url_parts, edited_texts)
+    ops = (op1_decontamination, op2_html, op3_toxicity, op4_pii, op5_line_dedup, op6_url_rules, op7_packing, op8_minhash, op9_quality, op10_fingerprint, op11_periodic_runs, op12_token_counts, op13_source_divergence, text_digests, personal_base, url_parts, edited_texts)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minhash": sql.NEAR_DUPLICATES, "op11_periodic_runs": sql.PERIODIC_RUNS, "personal_base": sql.PERSONAL_BASE, "url_parts": sql.URL_PARTS, "edited_texts": sql.EDITED_TEXTS}
+    return {"op8_minhash": sql.NEAR_DUPLICATES, "op11_periodic_runs": sql.PERIODIC_RUNS, "text_digests": sql.CONTENT_DIGESTS, "op13_source_divergence": sql.SOURCE_DIVERGENCE, "personal_base": sql.PERSONAL_BASE, "url_parts": sql.URL_PARTS, "edited_texts": sql.EDITED_TEXTS}

@@ -58,3 +58,20 @@ PERIODIC_RUNS = rf"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(co
   q AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS text FROM r GROUP BY 1)
   SELECT documents.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(q.text, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
   FROM documents LEFT JOIN q ON q.doc_id = documents.doc_id LEFT JOIN b ON b.doc_id = documents.doc_id AND k = 1 LEFT JOIN c ON c.doc_id = documents.doc_id"""
+
+CONTENT_DIGESTS = """SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, sha256(coalesce(text, '')) AS digest FROM documents"""
+
+SOURCE_DIVERGENCE = rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+  t AS (SELECT r, lang, source, unnest(regexp_extract_all({_lower("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+  k AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+  v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  c AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+  n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY 1, 2),
+  p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 5)) // (coalesce(n, 0) + 5 * v) AS p FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+    LEFT JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+  q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 5)) // (any_value(n.n) + 5 * any_value(v)) AS q FROM c JOIN (SELECT lang, sum(n) AS n FROM n GROUP BY 1) n USING (lang) JOIN v USING (lang) GROUP BY 1, 2),
+  s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE c > 0 AND p.p > q.q)
+  SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o) WHERE part = 'pair' OR rank <= 50"""
