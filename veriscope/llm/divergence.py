@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from .store import keep
 
 #: Counts that a task holds before it sends them on.
-HELD = 300_000
+HELD = 600_000
 #: Cells of terms by sources, and of sources by sources, that a task holds.
 CELLS = 1 << 20
 #: Tasks over which the frequent terms of a language are first spread.
@@ -136,10 +136,10 @@ def kept_terms(docs: DataFrame, least: int) -> DataFrame:
             head[starts] = 1
             yield from table.select(["lang", "term", "source", "n"]).append_column("head", pa.array(head)).filter(pa.array(good)).to_batches()
 
-    parts = docs.mapInArrow(_combined, _COUNTS)
+    parts, key = docs.mapInArrow(_combined, _COUNTS), F.xxhash64("lang", "term")  # numbers first: they sort by radix
     salt = F.when(F.col("df") >= 4, F.pmod(F.xxhash64("document"), F.lit(SPREAD))).otherwise(0)
-    once = parts.repartition("lang", "term", salt).sortWithinPartitions("lang", "term", "source", "document").mapInArrow(_run_lengths, _COUNTS)
-    again = once.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
+    once = parts.repartition("lang", "term", salt).sortWithinPartitions(key, "lang", "term", "source", "document").mapInArrow(_run_lengths, _COUNTS)
+    again = once.repartition("lang", "term").sortWithinPartitions(key, "lang", "term", "source", "document")
     return again.mapInArrow(enough, "lang string, term string, source string, n bigint, head bigint")
 
 
