@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # USD per million tokens (input, output) of a model without a price, and the multiples of the input price for cached tokens.
 DEFAULT_PRICE = (3.0, 15.0)
-CACHE_READ, CACHE_WRITE, CACHE_WRITE_HOUR = 0.1, 1.25, 2.0
+CACHE_READ, CACHE_WRITE, CACHE_WRITE_HOUR = Decimal("0.1"), Decimal("1.25"), Decimal("2.0")
 
 
 def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """``calls`` with usd, by ``prices`` (model, input_usd, output_usd per million tokens), the caller's table of a row for each model.
+    """``calls`` with usd and micro_usd, its exact value in millionths, by ``prices`` (model, input_usd, output_usd per million tokens), the caller's table of a row for each model.
 
     Cached reads and writes cost multiples of the input price, writes kept for an hour (cache_write_hour_tokens, a part of
     cache_write_tokens) more than others; reasoning counts only if there is no output.
     """
     j = calls.join(prices.select("model", F.col("input_usd").alias("_in"), F.col("output_usd").alias("_out")), "model", "left")
-    price_in, price_out = F.coalesce("_in", F.lit(DEFAULT_PRICE[0])), F.coalesce("_out", F.lit(DEFAULT_PRICE[1]))
-    zero = F.lit(0)
-    read, hour = F.coalesce("cache_read_tokens", zero), F.coalesce("cache_write_hour_tokens", zero)
-    write = F.greatest(F.coalesce("cache_write_tokens", zero), hour)
-    fresh = F.greatest(zero, F.col("input_tokens") - read - write)
-    out = F.when(F.col("output_tokens") > 0, F.col("output_tokens")).otherwise(F.coalesce("reasoning_tokens", zero))
-    weighted = fresh + read * CACHE_READ + (write - hour) * CACHE_WRITE + hour * CACHE_WRITE_HOUR
-    return j.withColumn("usd", (weighted * price_in + out * price_out) / 1_000_000).select(*calls.columns, "usd")
+    price = lambda c, default: F.coalesce(c, F.lit(default)).cast("decimal(12,6)")
+    tokens = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(15,0)")
+    read, hour = tokens("cache_read_tokens"), tokens("cache_write_hour_tokens")
+    write = F.greatest(tokens("cache_write_tokens"), hour)
+    fresh = F.greatest(F.lit(0).cast("decimal(15,0)"), F.col("input_tokens").cast("decimal(15,0)") - read - write)
+    out = F.when(F.col("output_tokens") > 0, F.col("output_tokens").cast("decimal(15,0)")).otherwise(tokens("reasoning_tokens"))
+    weighted = fresh + read * F.lit(CACHE_READ) + (write - hour) * F.lit(CACHE_WRITE) + hour * F.lit(CACHE_WRITE_HOUR)
+    micro = weighted * price("_in", DEFAULT_PRICE[0]) + out * price("_out", DEFAULT_PRICE[1])
+    return j.withColumn("micro_usd", micro).select(*calls.columns, (F.col("micro_usd").cast("double") / 1_000_000).alias("usd"), "micro_usd")
 
 
 MEASURES = ("successful", "failed", "billable", "hit")
@@ -55,11 +58,17 @@ def upsert(changes: DataFrame, key: list[str], order: str, keep_first: tuple[str
     return changes.groupBy(*key).agg(*first, *[F.max_by(c, F.col(order)).alias(c) for c in rest])
 
 
-def mark_stale(stages: DataFrame, changed: DataFrame) -> DataFrame:
-    """Stages after the changed one of their run and family (run_id, family, from_order) turn from succeeded to stale."""
+def mark_stale(stages: DataFrame, changed: DataFrame, outputs: tuple[str, ...] = (), inputs: tuple[str, ...] = ()) -> DataFrame:
+    """Stages after the changed one of their run and family (run_id, family, from_order) turn from succeeded to stale.
+
+    Of later stages the columns ``inputs`` (paths of what they read, errors, processes) are emptied, and the columns
+    ``outputs`` (paths of what they wrote, summaries, ends) of those that turn stale.
+    """
     j = stages.join(changed, ["run_id", "family"], "left")
-    hit = (F.col("stage_order") > F.col("from_order")) & (F.col("status") == "succeeded")
-    return j.withColumn("status", F.when(F.coalesce(hit, F.lit(False)), "stale").otherwise(F.col("status"))).drop("from_order")
+    later = F.coalesce(F.col("stage_order") > F.col("from_order"), F.lit(False))
+    hit = later & (F.col("status") == "succeeded")
+    value = {c: F.when(~hit, F.col(c)) for c in outputs} | {c: F.when(~later, F.col(c)) for c in inputs} | {"status": F.when(hit, "stale").otherwise(F.col("status"))}
+    return j.select(*[value[c].alias(c) if c in value else F.col(c) for c in stages.columns])
 
 
 def aggregate_status(stages: DataFrame) -> DataFrame:

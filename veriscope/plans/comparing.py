@@ -48,7 +48,7 @@ def verdict_pivot(spark, sf):
 
 
 def cost_estimate(spark, sf):
-    return ledger.priced(td.calls(spark, sf), td.prices(spark)).select("event_id", "model", F.round(F.col("usd") * 1_000_000, 3).alias("micro_usd"))
+    return ledger.priced(td.calls(spark, sf), td.prices(spark)).select("event_id", "model", F.round("micro_usd", 3).cast("double").alias("micro_usd"))
 
 
 def ledger_by_purpose(spark, sf):
@@ -109,9 +109,11 @@ _DIFF = f"""WITH {_PAIR}, d AS (SELECT coalesce(b.task_id, c.task_id) AS task_id
   b.excluded IS DISTINCT FROM c.excluded OR b.exclude_reason IS DISTINCT FROM c.exclude_reason AS exclusion_changed, b.task_id IS NULL AS missing_in_base, c.task_id IS NULL AS missing_in_candidate
   FROM base b FULL JOIN cand c ON b.task_id = c.task_id, LATERAL (SELECT coalesce(b.excluded, false) OR coalesce(c.excluded, false) AS ig))"""
 _ADJ = "({0} = {1} OR ({0} IN ('supported', 'partially_supported') AND {1} IN ('supported', 'partially_supported')))"
-_USD = """((greatest(0, input_tokens - cache_read_tokens - greatest(cache_write_tokens, cache_write_hour_tokens)) + cache_read_tokens * 0.1 + (greatest(cache_write_tokens, cache_write_hour_tokens) - cache_write_hour_tokens) * 1.25 + cache_write_hour_tokens * 2.0)::DOUBLE * pi
-  + CASE WHEN output_tokens > 0 THEN output_tokens ELSE reasoning_tokens END * po) / 1000000"""
-_COSTED = f"{td.CALLS}, {td.PRICES}, priced AS (SELECT calls.*, coalesce(input_usd, {ledger.DEFAULT_PRICE[0]})::DOUBLE AS pi, coalesce(output_usd, {ledger.DEFAULT_PRICE[1]})::DOUBLE AS po FROM calls LEFT JOIN prices USING (model)), costed AS (SELECT *, {_USD} AS usd FROM priced)"
+_HELD_HOUR, _READ = "cache_write_hour_tokens::DECIMAL(15, 0)", "cache_read_tokens::DECIMAL(15, 0)"
+_WRITE = "greatest(cache_write_tokens, cache_write_hour_tokens)::DECIMAL(15, 0)"
+_MICRO = f"""((greatest(0::DECIMAL(15, 0), input_tokens::DECIMAL(15, 0) - {_READ} - {_WRITE}) + {_READ} * 0.1 + ({_WRITE} - {_HELD_HOUR}) * 1.25 + {_HELD_HOUR} * 2.0) * pi
+  + (CASE WHEN output_tokens > 0 THEN output_tokens ELSE reasoning_tokens END)::DECIMAL(15, 0) * po)"""
+_COSTED = f"{td.CALLS}, {td.PRICES}, priced AS (SELECT calls.*, coalesce(input_usd, {ledger.DEFAULT_PRICE[0]})::DECIMAL(12, 6) AS pi, coalesce(output_usd, {ledger.DEFAULT_PRICE[1]})::DECIMAL(12, 6) AS po FROM calls LEFT JOIN prices USING (model)), costed AS (SELECT *, {_MICRO} AS micro, micro::DOUBLE / 1000000 AS usd FROM priced)"
 _SUMS = "count(*) AS attempted, count(*) FILTER (WHERE successful) AS successful, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE billable) AS billable, count(*) FILTER (WHERE hit) AS hit, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(reasoning_tokens)::BIGINT AS reasoning_tokens, round(sum(usd), 6) AS usd"
 _STAGES = f"{td.STAGE_EVENTS}, stages AS (SELECT run_id, stage_key, stage_order, family, min(seq) AS started, max(seq) AS last, arg_max(status, seq) AS status FROM stage_events GROUP BY ALL)"
 _BAD = "status IN ('failed', 'cancelled', 'interrupted')"
@@ -139,7 +141,7 @@ QUERIES = {
         SELECT coalesce(mode, 'all') AS mode, count(*) AS n, count(*) FILTER (WHERE h = m) AS exact, count(*) FILTER (WHERE {_ADJ.format('h', 'm')}) AS adjacent, round(count(*) FILTER (WHERE h = m) / count(*), 6) AS exact_rate FROM j GROUP BY ROLLUP (mode)""",
     ),
     "verdict_pivot": (verdict_pivot, f"WITH {td.AUDIT_BASE} SELECT mode, " + ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in rules.VERDICTS) + " FROM base WHERE NOT excluded AND verdict IS NOT NULL GROUP BY mode"),
-    "cost_estimate": (cost_estimate, f"WITH {_COSTED} SELECT event_id, model, round(usd * 1000000, 3) AS micro_usd FROM costed"),
+    "cost_estimate": (cost_estimate, f"WITH {_COSTED} SELECT event_id, model, round(micro, 3)::DOUBLE AS micro_usd FROM costed"),
     "ledger_by_purpose": (ledger_by_purpose, f"WITH {_COSTED} SELECT coalesce(purpose, 'total') AS purpose, {_SUMS} FROM costed GROUP BY ROLLUP (purpose)"),
     "ledger_by_stage": (ledger_by_stage, f"WITH {_COSTED} SELECT coalesce(stage, 'unknown') AS stage, coalesce(family, 0) AS family, {_SUMS} FROM costed GROUP BY 1, 2"),
     "stage_upsert": (stage_upsert, f"WITH {_STAGES} SELECT run_id, stage_key, family, started, last, status FROM stages"),

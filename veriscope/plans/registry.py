@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import chains, comparing, judging, reading, running, screening
+from . import chains, comparing, judging, reading, resuming, running, screening
 
 
 def queries() -> dict:
-    return {name: f for part in (reading, screening, judging, comparing, chains, running) for name, (f, _) in part.QUERIES.items()}
+    return {name: f for part in (reading, screening, judging, comparing, chains, running, resuming) for name, (f, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for part in (reading, screening, judging, comparing, chains, running) for name, (_, sql) in part.QUERIES.items() if sql}
+    return {name: sql for part in (reading, screening, judging, comparing, chains, running, resuming) for name, (_, sql) in part.QUERIES.items() if sql}
