@@ -9,6 +9,7 @@ from ..sources import commits
 from ..sources import testdata as td
 from . import orchestrate, stages
 from .comparing import _STAGES, _stages
+from .judging import _AGG, _ESCALATION, _NEAR
 from .screening import QUERIES as _SCREENING
 
 # ---- relations in SQL that both engines read; {documents} is the table
@@ -257,6 +258,22 @@ def vector_first(spark, sf):
     return out.withColumn("adaptive", F.array_join("adaptive", ",")).withColumn("escalation", F.array_join("escalation", ","))
 
 
+def _prefixes(sizes, where="true"):
+    """Aggregates of the first samples of each record, for each size; the record's number is then 10 * record_id + size."""
+    return _AGG.replace("FROM samples GROUP BY record_id", f"FROM (SELECT s.* REPLACE (10 * s.record_id + p.p AS record_id) FROM samples s JOIN (SELECT unnest({list(sizes)}) AS p) p ON s.sample < p.p WHERE {where}) GROUP BY record_id") + f""",
+  told AS (SELECT record_id // 10 AS record_id, record_id % 10 AS p, axis_verdict, array_to_string({_ESCALATION}, ',') AS escalation,
+    concat_ws(',', CASE WHEN axis_verdict = 'cannot_determine' THEN 'axis_verdict_cannot_determine' END, CASE WHEN unsure >= 0.55 THEN 'uncertainty_borderline' END, CASE WHEN {_NEAR} THEN 'core_axis_borderline' END,
+    CASE WHEN modal_verdict <> axis_verdict THEN 'sampled_verdict_disagrees_with_axis' END, CASE WHEN bundled AND (modal_verdict <> axis_verdict OR overall_uncertainty >= 0.55) THEN 'bundled_citation_scope_ambiguous' END) AS reasons FROM agg),
+  ends AS (SELECT record_id, coalesce(min(p) FILTER (WHERE reasons = ''), {max(sizes)}) AS n, arg_min(reasons, p) AS first_reasons FROM told GROUP BY 1)"""
+
+
+_DRAWS = f"""WITH {_prefixes((2, 4, 6))} SELECT e.record_id, n::BIGINT AS n, (n // 2)::INT AS rounds, CASE WHEN reasons = '' THEN 'decided' ELSE 'exhausted' END AS state, first_reasons, reasons FROM ends e JOIN told t ON t.record_id = e.record_id AND t.p = e.n"""
+_VECTOR_FIRST = f"""WITH {_prefixes((3, 8), "s.record_id % 13 <> 4")}, j AS (SELECT v.vec_id AS record_id, coalesce(n, 0)::BIGINT AS n, CASE WHEN coalesce(n, 3) = 3 THEN 1 ELSE 2 END AS rounds, coalesce(first_reasons, '') AS adaptive, coalesce(t.escalation, '{adaptive.NO_VECTOR}') AS escalation, axis_verdict
+    FROM embeddings v LEFT JOIN ends e ON e.record_id = v.vec_id LEFT JOIN told t ON t.record_id = e.record_id AND t.p = e.n),
+  k AS (SELECT *, CASE WHEN escalation <> '' AND record_id % 7 <> 2 AND record_id % 5 <> 1 THEN {td._sql_list(td.VERDICTS)}[(record_id % 5 + 1)::INT] END AS judged FROM j)
+  SELECT record_id, coalesce(judged, axis_verdict, 'cannot_determine') AS verdict, CASE WHEN judged IS NOT NULL THEN 'categorical' WHEN axis_verdict IS NOT NULL THEN 'axis' ELSE 'none' END AS source, n, rounds, adaptive, escalation,
+    CASE WHEN escalation <> '' AND judged IS NULL THEN CASE WHEN record_id % 7 <> 2 THEN 'HTTP 529' ELSE 'the judge gave no answer' END END AS error FROM k"""
+
 QUERIES = {
     "resumed_run": (resumed_run, _RESUMED),
     "fetch_attempts": (fetch_attempts, f"WITH {_TRIED} SELECT * FROM log"),
@@ -271,6 +288,6 @@ QUERIES = {
         f"""WITH {_STAGES}, ch AS (SELECT run_id, family, min(stage_order) FILTER (WHERE status = 'failed') AS f FROM stages GROUP BY ALL), j AS (SELECT *, coalesce(stage_order > f, false) AS later FROM stages JOIN ch USING (run_id, family))
         SELECT run_id, stage_key, family, CASE WHEN later AND status = 'succeeded' THEN 'stale' ELSE status END AS status, CASE WHEN NOT (later AND status = 'succeeded') THEN 'out/' || stage_key END AS output_path, CASE WHEN NOT later THEN 'in/' || stage_key END AS input_path FROM j""",
     ),
-    "adaptive_draws": (adaptive_draws, None),
-    "vector_first": (vector_first, None),
+    "adaptive_draws": (adaptive_draws, _DRAWS),
+    "vector_first": (vector_first, _VECTOR_FIRST),
 }
