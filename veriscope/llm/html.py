@@ -158,21 +158,26 @@ def surges(weights: list[int], window: int, least: int) -> list[tuple[int, int]]
     return found
 
 
-def main_text(page: str | None, window: int = 3, least: int = 40, share: float = 0.3) -> str:
+def main_text(page: str | None, window: int = 3, least: int = 40, share: float = 0.3, enough: int = 200) -> str:
     """The article of a page: its blocks joined by newlines, without page furniture.
 
-    A line weighs its length, without links and furniture; in a page with an article element only the
-    lines inside weigh. Stretches between a surge and a dive are kept: all of them inside an article,
-    elsewhere those with at least ``share`` of the heaviest's weight.
+    A line weighs its characters outside links; furniture weighs nothing, nor does what stands outside the article
+    elements of a page that has some. What stays are the lines between surges and dives of the sums over ``window``
+    lines, those of no weight between them too: short or linked lines amid text stay, runs of linked lines at its edges
+    or of a window's length within it go. In an article element any weight is a surge and all
+    stretches stay; elsewhere a surge takes ``least`` characters, and stretches of ``share`` of the heaviest's weight or
+    of ``enough`` characters stay.
     """
     if not page:
         return ""
     found = lines(page)
     article = any(x.inside and x.text for x in found)
-    weights = [len(x.text) if article and x.inside else 0 if article or 2 * x.linked > len(x.text) else len(x.text) for x in found]
+    weights = [0 if article and not x.inside else max(0, len(x.text) - x.linked) for x in found]
+    if not any(weights):  # all that there is are links
+        weights = [0 if article and not x.inside else len(x.text) for x in found]
     stretches = surges(weights, window, 1 if article else least)
     heaviest = max((sum(weights[a:b]) for a, b in stretches), default=0)
-    kept = [(a, b) for a, b in stretches if article or sum(weights[a:b]) >= share * heaviest]
+    kept = [(a, b) for a, b in stretches if article or sum(weights[a:b]) >= min(share * heaviest, enough)]
     return "\n".join(x.text for a, b in kept for x in found[a:b] if x.text and (x.inside or not article))
 
 
