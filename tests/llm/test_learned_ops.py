@@ -142,8 +142,9 @@ def test_url_rules_mined(spark):
     pages, told = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     for r in urlrules.judge_urls(pages, told).collect():
         assert r["verdict"] == ("block" if r["page_id"] % 4 == 0 else "allow")
-    mined = urlrules.mine_rules(pages.join(told, pages["page_id"] == told["doc_id"]).select(urlrules.url_tokens(F.col("url"), urlrules.host_of(F.col("url")), urlrules.path_of(F.col("url"))).alias("tokens"), (F.col("quality") == 0).alias("bad")))
-    assert mined.where("confidence < 0.6").count() == 0 and mined.where("size(tokens) > 1").count() == 0
+    labelled = pages.join(told, pages["page_id"] == told["doc_id"]).select(urlrules.url_tokens(F.col("url"), urlrules.host_of(F.col("url")), urlrules.path_of(F.col("url"))).alias("tokens"), (F.col("quality") == 0).alias("bad"))
+    mined = urlrules.mine_rules(labelled, urlrules.token_classes(labelled, 4))
+    assert mined.where("confidence < 0.6").count() == 0 and mined.where("size(classes) > 1").count() == 0
 
 
 def held(doc_id, modulus, rest):

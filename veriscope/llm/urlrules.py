@@ -59,23 +59,44 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(single, named("part", parts), named("word", words), named("key", keys)))))
 
 
-def mine_rules(labelled: DataFrame, least: int = 4, confidence: float = 0.6) -> DataFrame:
-    """(rule_id, tokens, support, confidence) from ``labelled`` (tokens, bad): token sets after which ``bad`` is likely.
+def token_classes(labelled: DataFrame, least: int) -> DataFrame:
+    """(token, class): tokens of at least ``least`` bad rows of ``labelled`` (tokens, bad); those that stand in the same rows share a class.
+
+    Which rows hold a token is told by their number and two sums of hashes, so no list of rows is gathered.
+    """
+    sets = labelled.groupBy("tokens").agg(F.count_if("bad").alias("bad"))
+    one, two = F.xxhash64(F.lit(1), "tokens").cast("decimal(20,0)"), F.xxhash64(F.lit(2), "tokens")
+    held = sets.select(F.explode("tokens").alias("token"), "bad", one.alias("one"), two.alias("two"))
+    told = held.groupBy("token").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"), F.sum("one").alias("one"), F.bit_xor("two").alias("two")).where(F.col("bad") >= least)
+    same = told.groupBy("n", "one", "two").agg(F.min("token").alias("class"))
+    return told.join(same, ["n", "one", "two"]).select("token", "class")
+
+
+def mine_rules(labelled: DataFrame, classes: DataFrame, least: int = 4, confidence: float = 0.6) -> DataFrame:
+    """(rule_id, classes, support, confidence) from ``labelled`` (tokens, bad): sets of token classes after which ``bad`` is likely.
 
     FP-growth finds the sets of at least ``least`` rows, at every size of the table; a rule needs ``least`` bad rows,
-    ``confidence``, and more confidence than each rule that lacks one of its tokens.
+    ``confidence``, and more confidence than each rule that lacks one of its classes. Tokens that always stand together
+    (a url's many query keys, a host and its words) enter as one class, as any choice of them has the same rows: their
+    number does not multiply the sets. Classes that overlap in irregular ways still do.
     """
-    support = least / max(least, labelled.count())
-    rows = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(_BAD))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(rows)
-    sets = keep(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
-    plain = sets.where(~F.array_contains("items", _BAD)).select(F.col("items").alias("tokens"), F.col("freq").alias("seen"))
-    bad = sets.where(F.array_contains("items", _BAD) & (F.size("items") > 1)).select(F.array_remove("items", _BAD).alias("tokens"), F.col("freq").alias("support"))
-    rules = bad.join(plain, "tokens").withColumn("confidence", F.col("support") / F.col("seen")).where((F.col("support") >= least) & (F.col("confidence") >= confidence))
-    rules = keep(rules.select("tokens", "support", "confidence"))
-    shorter = rules.select("tokens", "confidence", F.explode("tokens").alias("out")).select("tokens", "confidence", F.array_remove(F.col("tokens"), F.col("out")).alias("less"))
-    beaten = shorter.join(rules.select(F.col("tokens").alias("less"), F.col("confidence").alias("base")), "less").where("base >= confidence").select("tokens").distinct()
-    return rules.join(beaten, "tokens", "left_anti").withColumn("rule_id", F.xxhash64("tokens"))
+    sets = labelled.groupBy("tokens").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).withColumn("set_id", F.struct(F.xxhash64(F.lit(1), "tokens"), F.xxhash64(F.lit(2), "tokens")))
+    spread = sets.select("set_id", "n", "bad", F.explode("tokens").alias("token")).join(classes, "token")
+    rows = spread.groupBy("set_id", "n", "bad").agg(F.array_sort(F.collect_set("class")).alias("items"))
+    copies = rows.select(F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("k"), "bad", "items").select(F.when(F.col("k") <= F.col("bad"), F.array_append("items", F.lit(_BAD))).otherwise(F.col("items")).alias("items"))
+    copies = keep(copies)
+    kept = copies.count()
+    if not kept:
+        return copies.sparkSession.createDataFrame([], "rule_id long, classes array<string>, support long, confidence double")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / kept), numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(copies)
+    found = keep(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
+    plain = found.where(~F.array_contains("items", _BAD)).select(F.col("items").alias("classes"), F.col("freq").alias("seen"))
+    bad = found.where(F.array_contains("items", _BAD) & (F.size("items") > 1)).select(F.array_remove("items", _BAD).alias("classes"), F.col("freq").alias("support"))
+    rules = bad.join(plain, "classes").withColumn("confidence", F.col("support") / F.col("seen")).where((F.col("support") >= least) & (F.col("confidence") >= confidence))
+    rules = keep(rules.select("classes", "support", "confidence"))
+    shorter = rules.select("classes", "confidence", F.explode("classes").alias("out")).select("classes", "confidence", F.array_remove(F.col("classes"), F.col("out")).alias("less"))
+    beaten = shorter.join(rules.select(F.col("classes").alias("less"), F.col("confidence").alias("base")), "less").where("base >= confidence").select("classes").distinct()
+    return rules.join(beaten, "classes", "left_anti").select(F.xxhash64("classes").alias("rule_id"), "classes", "support", "confidence")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, **mining) -> DataFrame:
@@ -84,8 +105,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     The longest fixed rule that fits decides; elsewhere a URL is blocked if an association rule
     matches. Those are mined from the pages whose last number in the path is the doc_id of a
     row of ``labels``; a page counts as bad if that document is toxic or of quality 0. Matching goes
-    through an inverted index: tokens of the distinct token sets join the rules' tokens, and a rule
-    matches a set in which all of its tokens were met. mined_rules counts the matches.
+    through an inverted index: tokens of the distinct token sets join the tokens of the rules' classes, and a rule
+    matches a set in which a token of each of its classes was met. mined_rules counts the matches.
 
     Defined cases: a null url, or one without ``://``, has an empty host and path and no tokens and
     is allowed; without labels nothing is mined; repeated rows are each judged; other columns are
@@ -103,10 +124,13 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     if labelled.isEmpty():
         found = judged.withColumn("mined_rules", F.lit(0).cast("long"))
     else:
-        mined = mine_rules(labelled, **mining)
-        index = mined.select("rule_id", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
-        sets = rows.where(F.size("tokens") > 0).select("set_id", "tokens").distinct().select("set_id", F.explode("tokens").alias("token"))
-        met = sets.join(index, "token").groupBy("set_id", "rule_id", "need").agg(F.count("*").alias("n")).where("n = need")
+        classes = keep(token_classes(labelled, mining.get("least", 4)))
+        mined = mine_rules(labelled, classes, **mining)
+        each = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+        index = mined.select("rule_id", F.size("classes").alias("need"), F.explode("classes").alias("class")).join(classes, "class").withColumn("part", each)
+        sets = rows.where(F.size("tokens") > 0).select("set_id", "tokens").distinct().select("set_id", F.explode("tokens").alias("token"), F.pmod("set_id", F.lit(_SALTS)).cast("int").alias("part"))
+        # a token of a rule that millions of sets hold is dealt over _SALTS tasks; one token of each class is enough
+        met = sets.join(index, ["token", "part"]).select("set_id", "rule_id", "need", "class").distinct().groupBy("set_id", "rule_id", "need").agg(F.count("*").alias("n")).where("n = need")
         # a set that many pages share is dealt over _SALTS tasks; pages without tokens need no join
         hit = met.groupBy("set_id").agg(F.count("*").alias("mined_rules")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         some = judged.where(F.size("tokens") > 0).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int"))
