@@ -52,6 +52,12 @@ def test_spans_of_a_text_of_many_matches(spark):
     assert sorted(map(tuple, pii.redact(df, pii.find_personal(df)).collect())) == [(1, "to [email] now", 5), (2, None, 6)]
 
 
+def test_redaction_keeps_to_rows(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co"), (1, "no mail here at all"), (None, "to c@d.ef"), (None, "and x@y.zz, c@d.ef"), (1, "mail a@b.co"), (2, None)], "doc_id long, text string")
+    got = sorted(repr(tuple(r)) for r in pii.redact(df, pii.find_personal(df)).collect())
+    assert got == sorted(map(repr, [(1, "mail [email]"), (1, "no mail here at all"), (None, "to [email]"), (None, "and [email], [email]"), (1, "mail [email]"), (2, None)]))
+
+
 def test_tables_without_rows_and_a_hot_url(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([(k, "https://hot.net/a/b.html") for k in range(50)] + [(50, None), (51, "no url"), (50, None)], "page_id long, url string")
@@ -69,7 +75,7 @@ def test_stages_on_nulls_ties_and_no_rows(spark, sf):
     text = " ".join(f"w{rng.randrange(900)}" for _ in range(60))
     rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (None, text, None, None, None), (3, None, "en", "a", 0), (4, "", "en", "a", 0), (5, text + "\n" + text, "en", "b", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[1:4]:
+    for _, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.where("doc_id is null").count() == 1
         assert stage(spark, docs.where(F.lit(False)), sf).count() == 0

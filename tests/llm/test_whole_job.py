@@ -41,10 +41,3 @@ def test_signs_are_read_as_i_and_as_l(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
     got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()}
     assert got[100] > 0.5 > got[101]
-
-
-def test_pipeline_against_brute_force_with_short_lines(spark, sf, monkeypatch):
-    from tests.llm import test_entry
-
-    monkeypatch.setattr(test_entry, "line_classes", lambda texts: line_classes(texts, least=1))
-    test_entry.test_pipeline_against_brute_force(spark, sf)

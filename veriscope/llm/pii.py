@@ -206,7 +206,7 @@ def find_personal(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     model = train(texts)
-    found = texts.select("doc_id", *[base_spans(F.col("text"), kind).alias(kind) for kind in BASE], *([] if model is None else [F.filter(candidates(F.col("text")), model.accept).alias(SECRET)]))
+    found = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), *[base_spans(F.col("text"), kind).alias(kind) for kind in BASE], *([] if model is None else [F.filter(candidates(F.col("text")), model.accept).alias(SECRET)]))
     if model is None:
         found = found.withColumn(SECRET, F.array().cast(_SPANS))
 
@@ -214,13 +214,15 @@ def find_personal(docs: DataFrame) -> DataFrame:
         return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
     base = F.concat(*[named(kind) for kind in BASE])
-    return found.select("doc_id", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in (*BASE, SECRET)], base.alias("base"), F.concat(base, named(SECRET)).alias("spans"))
+    return found.select("doc_id", "text_hash", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in (*BASE, SECRET)], base.alias("base"), F.concat(base, named(SECRET)).alias("spans"))
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with each span of ``found`` replaced by its kind in square brackets; where spans overlap, the first stays.
 
-    Rows without spans, also those with a null text or doc_id, stay as they are; columns of any name pass unchanged.
+    found: what :func:`find_personal` gives for these rows. A row meets its spans by doc_id, null too, and the hash of its
+    text, so rows that share a doc_id keep to their own spans. Rows without spans, also those with a null text, stay as
+    they are; columns of any name pass unchanged.
     """
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -232,7 +234,8 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
         ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
         return F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
     of = "_" * (1 + max(len(c) for c in docs.columns))  # begins no column of the input
-    joined = docs.join(found.select("doc_id", F.col("spans").alias(of)).dropDuplicates(["doc_id"]), "doc_id", "left")
+    spans = found.where(F.size("spans") > 0).groupBy(F.col("doc_id").alias(f"{of}d"), F.col("text_hash").alias(f"{of}h")).agg(F.first("spans").alias(of))
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(f"{of}d")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(f"{of}h")), "left")
     return joined.select(*[F.when(F.size(of) > 0, redacted(F.col(of))).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
