@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import adaptive, frontier, graph, incremental, ledger, lineage, papercache, resolve
 from ..sources import commits
 from ..sources import testdata as td
+from ..streaming import telemetry
 from . import orchestrate, stages
-from .comparing import _STAGES, _stages
+from .comparing import _COSTED, _STAGES, _stages
 from .judging import _AGG, _ESCALATION, _NEAR
 from .screening import QUERIES as _SCREENING
 
@@ -274,7 +275,40 @@ _VECTOR_FIRST = f"""WITH {_prefixes((3, 8), "s.record_id % 13 <> 4")}, j AS (SEL
   SELECT record_id, coalesce(judged, axis_verdict, 'cannot_determine') AS verdict, CASE WHEN judged IS NOT NULL THEN 'categorical' WHEN axis_verdict IS NOT NULL THEN 'axis' ELSE 'none' END AS source, n, rounds, adaptive, escalation,
     CASE WHEN escalation <> '' AND judged IS NULL THEN CASE WHEN record_id % 7 <> 2 THEN 'HTTP 529' ELSE 'the judge gave no answer' END END AS error FROM k"""
 
+# ---- telemetry
+
+
+def _calls(spark, sf):
+    """Model calls at the events' times, some told twice."""
+    c = ledger.priced(td.calls(spark, sf), td.prices(spark))
+    e = td.read(spark, sf, "events").select("event_id", F.col("ts").alias("at"), F.col("user_id").alias("run_id"))
+    c = c.join(e, "event_id").select("event_id", "run_id", "stage", "purpose", "model", "at", "successful", "input_tokens", "output_tokens", ((F.col("event_id") * 37) % 1000).alias("latency_ms"), "micro_usd")
+    return c.unionByName(c.where("event_id % 7 = 0"))
+
+
+def call_windows(spark, sf):
+    w = telemetry.windows(_calls(spark, sf), "6 hours")
+    return w.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm")).withColumn("stage", F.coalesce("stage", F.lit("unknown"))).withColumn("micro_usd", F.round("micro_usd", 3).cast("double"))
+
+
+def call_telemetry(spark, sf):
+    return telemetry.telemetry(_calls(spark, sf), ("model", "purpose")).withColumn("micro_usd", F.round("micro_usd", 3).cast("double"))
+
+
+_CALLED = f"""{_COSTED}, c AS (SELECT costed.*, ts, (event_id * 37) % 1000 AS latency_ms FROM costed JOIN (SELECT event_id, ts FROM events) USING (event_id))"""
+_WON = ", ".join(f"coalesce(sum({c}) FILTER (WHERE successful), 0)::BIGINT AS {{0}}{c}" for c in ("input_tokens", "output_tokens", "latency_ms"))
+
 QUERIES = {
+    "call_windows": (
+        call_windows,
+        f"""WITH {_CALLED} SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2000-01-01'), '%Y-%m-%d %H:%M') AS start, coalesce(stage, 'unknown') AS stage, purpose, count(*) AS calls, count(*) FILTER (WHERE successful) AS successful, {_WON.format('')},
+        round(sum(micro), 3)::DOUBLE AS micro_usd FROM c GROUP BY time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2000-01-01'), stage, purpose""",
+    ),
+    "call_telemetry": (
+        call_telemetry,
+        f"""WITH {_CALLED}, t AS (SELECT model, purpose, count(*) AS calls, count(*) FILTER (WHERE successful) AS successful, count(*) FILTER (WHERE NOT successful) AS failed, count(*) FILTER (WHERE purpose = 'fidelity-vector') AS vector_calls, {_WON.format('total_')}, round(sum(micro), 3)::DOUBLE AS micro_usd FROM c GROUP BY 1, 2)
+        SELECT *, CASE WHEN successful > 0 THEN floor(total_latency_ms / successful + 0.5)::BIGINT ELSE 0 END AS mean_latency_ms FROM t""",
+    ),
     "resumed_run": (resumed_run, _RESUMED),
     "fetch_attempts": (fetch_attempts, f"WITH {_TRIED} SELECT * FROM log"),
     "fetch_winners": (fetch_winners, _WINNERS),

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from . import logsource
+
 EVENT = "stage string, step string, status string, detail string, current int, total int, summary string"
 PREFIX = "CF_PROGRESS "
 STEPS = {
@@ -89,7 +91,9 @@ def stream(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id", "stage").applyInPandasWithState(update, OUT, "names array<string>, statuses array<string>, details array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
-def from_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of events from log files; the file's name is the run."""
-    lines = spark.readStream.text(folder).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.log$", 1).alias("run_id"), F.monotonically_increasing_id().alias("seq"), "value")
-    return parse_log(lines)
+def from_logs(spark: SparkSession, folder: str, streaming: bool = True) -> DataFrame:
+    """Events of the log files of a folder, as a stream or a batch; the file's name is the run, the byte where a line begins its order."""
+    logsource.register(spark)
+    reader = spark.readStream if streaming else spark.read
+    lines = reader.format("run_logs").load(folder)
+    return parse_log(lines.select(F.regexp_extract("file", r"^(.+)\.log$", 1).alias("run_id"), "seq", "value"))
