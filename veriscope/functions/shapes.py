@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Shape:
-    """Kind of a value (string, boolean, number, array, object), what it holds and its bounds; fields beyond those named may be there."""
+    """Kind of a value (string, boolean, number, int, array, object), what it holds and its bounds; fields beyond those named may be there."""
 
     kind: str
     fields: dict[str, Shape] = field(default_factory=dict)
@@ -18,11 +18,12 @@ class Shape:
     options: tuple[str, ...] = ()
     least: int = 0
     nullable: bool = False
+    optional: bool = False
 
 
-def string(least: int = 0, nullable: bool = False) -> Shape:
-    """A string of at least ``least`` characters."""
-    return Shape("string", least=least, nullable=nullable)
+def string(least: int = 0, nullable: bool = False, optional: bool = False) -> Shape:
+    """A string of at least ``least`` characters; an optional one may be left out, but not be null."""
+    return Shape("string", least=least, nullable=nullable, optional=optional)
 
 
 def one_of(*options: str, nullable: bool = False) -> Shape:
@@ -38,6 +39,11 @@ def number(nullable: bool = False) -> Shape:
     return Shape("number", nullable=nullable)
 
 
+def whole(nullable: bool = False) -> Shape:
+    """A number without fraction."""
+    return Shape("int", nullable=nullable)
+
+
 def many(item: Shape, least: int = 0, nullable: bool = False) -> Shape:
     """An array of at least ``least`` items."""
     return Shape("array", item=item, least=least, nullable=nullable)
@@ -70,6 +76,10 @@ def first_error(value: Column, shape: Shape, path: Column | None = None) -> Colu
         listed = "|".join(f'"{o}"' for o in shape.options)
         known = F.coalesce((got == "string") & F.try_variant_get(value, "$", "string").isin(*shape.options), F.lit(False))
         wrong = F.when(~known, _say(here, F.lit(f"Invalid option: expected one of {listed}")))
+    elif shape.kind == "int":
+        exact = F.try_variant_get(value, "$", "decimal(38,10)")
+        broken = F.when(got != "number", F.lit("Invalid input: expected number, received ")).when(F.coalesce(exact != F.floor(exact), F.lit(True)), "Invalid input: expected int, received ")
+        wrong = _say(here, F.concat(broken, got))
     else:
         wrong = F.when(got != shape.kind, _say(here, F.concat(F.lit(f"Invalid input: expected {shape.kind}, received "), got)))
     for name, part in shape.fields.items():
@@ -83,7 +93,8 @@ def first_error(value: Column, shape: Shape, path: Column | None = None) -> Colu
         unit = "items" if shape.kind == "array" else "characters"
         inner.append(F.when(size < shape.least, _say(here, F.lit(f"Too small: expected {shape.kind} to have >={shape.least} {unit}"))))
     error = F.when(wrong.isNotNull(), wrong).otherwise(F.coalesce(*inner)) if inner else wrong
-    return F.when(got == "null", F.lit(None).cast("string")).otherwise(error) if shape.nullable else error
+    fine = [name for name, may in (("null", shape.nullable), ("undefined", shape.optional)) if may]
+    return F.when(~got.isin(*fine), error) if fine else error
 
 
 def _step(path: Column | None, name: Column) -> Column:

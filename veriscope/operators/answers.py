@@ -29,23 +29,26 @@ DISCOVERY = shapes.fields(
         )
     )
 )
+GROUNDING = shapes.fields(
+    status=shapes.one_of("grounded", "ambiguous", "not_found"), normalizedClaim=shapes.string(1),
+    supportSpans=shapes.many(shapes.fields(verbatimQuote=shapes.string(1), sectionHint=shapes.string(optional=True))), detailReason=shapes.string(1),
+)
+CLUSTERS = shapes.fields(clusters=shapes.many(shapes.fields(cluster=shapes.number(), memberIndices=shapes.many(shapes.number()), representativeIndex=shapes.number(), reasoning=shapes.string())))
+#: Grounding states with which nothing downstream can go on.
+BLOCKING = ("not_attempted", "no_seed_fulltext", "materialize_failed")
 VERDICT = shapes.fields(comparison=shapes.string(), verdict=shapes.one_of(*VERDICTS), rationale=shapes.string(), retrievalQuality=shapes.one_of(*_LEVELS), judgeConfidence=shapes.one_of(*_LEVELS))
 
 
-class BrokenAnswer(ValueError):
-    """An answer breaks its shape in a stage that cannot go on without it."""
-
-
-def validated(calls: DataFrame, shape: Shape, text: str = "response_text", failure: str = "failure") -> DataFrame:
+def validated(calls: DataFrame, shape: Shape, text: str = "response_text", failure: str = "failure", invalid: str = "LLM returned invalid JSON: ", failed: str = "") -> DataFrame:
     """``calls`` with ``answer`` (VARIANT, null unless it fits ``shape``) and ``problem`` (null if it fits), without ``text`` and ``failure``.
 
-    A call's own failure comes before what is wrong with its text; a null text is an empty one.
+    A call's own failure (after ``failed``) comes before what is wrong with its text (after ``invalid``); a null text is an empty one.
     """
     said = F.coalesce(F.col(text), F.lit(""))
     nothing = F.concat(F.lit("No valid JSON found in LLM response ("), F.length(said).cast("string"), F.lit(" chars). First 200 chars: "), F.substring(said, 1, 200))
     parsed = calls.withColumn("answer", F.when(F.col(failure).isNull(), F.try_parse_json(json_from_answer(said))))
     wrong = F.when(F.col("answer").isNull(), nothing).otherwise(shapes.first_error(F.col("answer"), shape))
-    problem = F.coalesce(F.col(failure), F.concat(F.lit("LLM returned invalid JSON: "), wrong))
+    problem = F.coalesce(F.concat(F.lit(failed), F.col(failure)), F.concat(F.lit(invalid), wrong))
     out = parsed.withColumn("problem", problem).withColumn("answer", F.when(F.col("problem").isNull(), F.col("answer")))
     return out.drop(text, failure)
 
@@ -108,6 +111,60 @@ def discovered_claims(papers: DataFrame, calls: DataFrame) -> DataFrame:
     return j.withColumn("detail", detail).drop("answer", "problem", "called", "manuscript")
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _short(text: Column, most: int, mark: str) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, 797 if most == 800 else 197), F.lit(mark))).otherwise(text)
+
+
+def ground_claims(families: DataFrame, calls: DataFrame, most: int = 8) -> DataFrame:
+    """Families with ``status`` of their claim in the seed's text, ``normalized``, ``spans`` (text, section), ``failures`` (quotes not found), ``blocks`` and ``detail``.
+
+    families (family_id, tracked, manuscript); calls (family_id, response_text, failure). Only the first ``most`` spans of an answer count. A
+    quote that the manuscript does not hold word for word stays a span, but turns grounded into ambiguous. No text: no_seed_fulltext;
+    a failed, missing or broken answer: not_attempted; both block what follows, not_found does not.
+    """
+    checked = validated(calls, GROUNDING, invalid="LLM returned invalid grounding JSON: ", failed="LLM claim grounding failed: ").select("family_id", "answer", "problem", F.lit(True).alias("called"))
+    claim, empty = _stripped(F.col("tracked")), F.coalesce(F.length("manuscript"), F.lit(0)) == 0
+    kind = "array<struct<verbatimQuote:string,sectionHint:string>>"
+    get = lambda name: F.try_variant_get("answer", f"$.{name}", "string")
+    j = families.join(checked, "family_id", "left")
+    ok = ~empty & F.col("answer").isNotNull()
+    given = F.when(ok, F.slice(F.try_variant_get("answer", "$.supportSpans", kind), 1, most)).otherwise(F.array().cast(kind))
+    lost = F.filter(F.transform("_given", lambda x: _stripped(x["verbatimQuote"])), lambda q: (F.length(q) > 0) & ~F.contains(F.col("manuscript"), q))
+    j = j.withColumn("_given", given).withColumn("_lost", lost)
+    bad = F.size("_lost") > 0
+    status = F.when(empty, "no_seed_fulltext").when(~ok, "not_attempted").when(bad & (get("status") == "grounded"), "ambiguous").otherwise(get("status"))
+    note = F.lit(" (verification: a quoted passage was not found verbatim in the manuscript — possible paraphrase or model error; first issue: Not found as a contiguous substring of the manuscript text.)")
+    detail = (
+        F.when(empty, "No manuscript text to send to the LLM (empty parsed document).")
+        .when(~ok, F.coalesce("problem", F.lit("LLM claim grounding failed: No call covers this family")))
+        .otherwise(F.concat(get("detailReason"), F.when(bad, note).otherwise("")))
+    )
+    spans = F.transform("_given", lambda x: F.struct(_short(x["verbatimQuote"], 800, "...").alias("text"), F.nullif(_stripped(x["sectionHint"]), F.lit("")).alias("section")))
+    out = j.withColumns({"status": status, "normalized": F.coalesce(F.when(ok, F.nullif(_stripped(get("normalizedClaim")), F.lit(""))), claim), "spans": spans, "failures": F.transform("_lost", lambda q: _short(q, 200, "…")), "detail": detail})
+    return out.withColumn("blocks", F.col("status").isin(*BLOCKING)).drop("_given", "_lost", "answer", "problem", "called", "manuscript")
+
+
+def claim_clusters(families: DataFrame, calls: DataFrame) -> DataFrame:
+    """(seed, cluster, index, representative, reasoning): which families of a seed say the same, by an answer for each seed.
+
+    families (seed, index); calls (seed, response_text, failure). A seed of one family needs no call; for another one a failed,
+    missing or broken answer stops the job. Clusters can leave families out and name ones that are not there.
+    """
+    sizes = families.groupBy("seed").agg(F.count("*").alias("n"), F.min("index").alias("only"))
+    j = sizes.where("n > 1").join(validated(calls, CLUSTERS), "seed", "left")
+    j = j.withColumn("problem", F.when(F.col("answer").isNull(), F.coalesce("problem", F.lit("No call covers this seed"))))
+    kind = "array<struct<cluster:bigint,memberIndices:array<bigint>,representativeIndex:bigint,reasoning:string>>"
+    told = required(j, "Family consolidation").select("seed", F.inline(F.try_variant_get("answer", "$.clusters", kind)))
+    members = told.select("seed", "cluster", F.explode("memberIndices").alias("index"), "representativeIndex", "reasoning")
+    members = members.select("seed", "cluster", "index", (F.col("index") == F.col("representativeIndex")).alias("representative"), "reasoning")
+    alone = sizes.where("n = 1").select("seed", F.lit(1).cast("long").alias("cluster"), F.col("only").cast("long").alias("index"), F.lit(True).alias("representative"), F.lit("Single family — no consolidation needed.").alias("reasoning"))
+    return members.unionByName(alone)
+
+
 def _verdicts(calls: DataFrame, label: str, name: str) -> DataFrame:
     """(task_id, ``name``): the verdict of each call as a struct, ``cannot_determine`` with the problem if it has none."""
     get = lambda field: F.try_variant_get("answer", f"$.{field}", "string")

@@ -95,6 +95,36 @@ def adjudication_two_looks(spark, sf):
     return answers.adjudicate(*_looks(spark, sf)).select("task_id", "verdict", "rationale", "quality", "confidence", "adjudicator", "successful", "passes")
 
 
+def _grounded(spark, sf):
+    """Families with an answer for each document: up to nine quotes, of some documents one that the text does not hold."""
+    k = F.col("family_id")
+    d = td.read(spark, sf, "documents").select(F.col("doc_id").alias("family_id"), F.coalesce("text", F.lit("")).alias("text"))
+    families = d.select("family_id", F.concat(F.lit("  claim "), k.cast("string"), F.lit(" ")).alias("tracked"), F.when(k % 10 != 0, F.col("text")).otherwise("").alias("manuscript"))
+    lines = d.withColumn("lines", F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0), 1, 9))
+    hint = lambda i: F.when(i % 3 == 0, " Results ").when(i % 3 == 1, " ")
+    quotes = F.transform("lines", lambda x, i: F.struct(F.when((k % 4 == 1) & (i == 1), F.lit("§ never there")).otherwise(x).alias("verbatimQuote"), hint(i).alias("sectionHint")))
+    status = F.when(k % 10 == 3, "maybe").otherwise(td._pick(("grounded", "ambiguous", "not_found"), k % 3))
+    # null hints are left out, as optional fields are
+    said = F.to_json(F.struct(status.alias("status"), F.when(k % 6 == 1, " ").otherwise("as claimed").alias("normalizedClaim"), quotes.alias("supportSpans"), F.lit("seen").alias("detailReason")))
+    calls = lines.where(k % 10 != 1).select("family_id", said.alias("response_text"), F.when(k % 10 == 2, "HTTP 529").alias("failure"))
+    return families, calls
+
+
+def grounded_claims(spark, sf):
+    out = answers.ground_claims(*_grounded(spark, sf))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["text"], F.lit("@"), F.coalesce(s["section"], F.lit("")))), "\n")
+    return out.select("family_id", "status", "normalized", F.md5(spans).alias("spans"), F.size("failures").alias("n_failures"), "blocks", "detail")
+
+
+def claim_clusters(spark, sf):
+    f = td.mentions(spark, sf).where("ord < 4").select(F.col("citing").alias("seed"), F.col("ord").cast("long").alias("index"))
+    n = F.count("*")
+    listed = F.when(F.col("n") > 2, F.concat(F.lit('{"cluster": 1, "memberIndices": [0, 2], "representativeIndex": 2, "reasoning": "same"}, {"cluster": 2, "memberIndices": ['), F.when(F.col("n") > 3, "1, 3").otherwise("1"), F.lit('], "representativeIndex": 1, "reasoning": "rest"}')))
+    listed = listed.otherwise('{"cluster": 1, "memberIndices": [0, 1], "representativeIndex": 0, "reasoning": "both"}')
+    calls = f.groupBy("seed").agg(n.alias("n")).where("n > 1").select("seed", F.concat(F.lit('Well: {"clusters": ['), listed, F.lit("]}")).alias("response_text"), F.lit(None).cast("string").alias("failure"))
+    return answers.claim_clusters(f, calls)
+
+
 _BAD = "LLM returned invalid JSON: "
 _OPTIONS = 'Invalid option: expected one of "high"|"medium"|"low"'
 _ATTRIBUTED = f"""{td.MENTIONS}, a AS (SELECT *, max(ord) OVER (PARTITION BY citing, cited) AS top, ord % 4 <> 3 AS inside FROM mentions),
@@ -133,6 +163,25 @@ QUERIES = {
             WHEN paper_id % 10 = 1 THEN 'No call covers this paper' WHEN paper_id % 10 = 2 THEN 'HTTP 529' WHEN paper_id % 10 = 3 THEN '{_BAD}claims.0.claimType: Invalid option: expected one of "finding"|"interpretation"|"methodological"'
             ELSE '{_BAD}claims.' || (len(lines) - 1) || '.sourceSpans: Too small: expected array to have >=1 items' END AS detail FROM g""",
     ),
+    "grounded_claims": (
+        grounded_claims,
+        """WITH d AS (SELECT doc_id AS family_id, coalesce(text, '') AS text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '')[1:9] AS lines FROM documents),
+          e AS (SELECT *, family_id % 10 = 0 OR text = '' AS empty, family_id % 10 NOT IN (1, 2, 3) AS valid FROM d),
+          f AS (SELECT *, NOT empty AND valid AS ok, NOT empty AND valid AND family_id % 4 = 1 AND len(lines) > 1 AS lost FROM e),
+          g AS (SELECT *, CASE WHEN empty THEN 'no_seed_fulltext' WHEN NOT ok THEN 'not_attempted' WHEN family_id % 3 = 0 THEN CASE WHEN lost THEN 'ambiguous' ELSE 'grounded' END WHEN family_id % 3 = 1 THEN 'ambiguous' ELSE 'not_found' END AS status FROM f)
+          SELECT family_id, status, CASE WHEN ok AND family_id % 6 <> 1 THEN 'as claimed' ELSE 'claim ' || family_id END AS normalized,
+            md5(array_to_string(CASE WHEN ok THEN list_transform(range(least(len(lines), 8)), lambda i: CASE WHEN family_id % 4 = 1 AND i = 1 THEN '§ never there' WHEN length(lines[i + 1]) > 800 THEN lines[i + 1][1:797] || '...' ELSE lines[i + 1] END || '@' || CASE WHEN i % 3 = 0 THEN 'Results' ELSE '' END) ELSE [] END, chr(10))) AS spans,
+            lost::INT AS n_failures, status IN ('no_seed_fulltext', 'not_attempted') AS blocks,
+            CASE WHEN empty THEN 'No manuscript text to send to the LLM (empty parsed document).' WHEN ok THEN 'seen' || CASE WHEN lost THEN ' (verification: a quoted passage was not found verbatim in the manuscript — possible paraphrase or model error; first issue: Not found as a contiguous substring of the manuscript text.)' ELSE '' END
+              WHEN family_id % 10 = 1 THEN 'LLM claim grounding failed: No call covers this family' WHEN family_id % 10 = 2 THEN 'LLM claim grounding failed: HTTP 529'
+              ELSE 'LLM returned invalid grounding JSON: status: Invalid option: expected one of "grounded"|"ambiguous"|"not_found"' END AS detail FROM g""",
+    ),
+    "claim_clusters": (
+        claim_clusters,
+        f"""WITH {td.MENTIONS}, m AS (SELECT citing AS seed, ord::BIGINT AS index, count(*) OVER (PARTITION BY citing) AS n FROM mentions WHERE ord < 4)
+          SELECT seed, index, CASE WHEN n > 2 AND index % 2 = 1 THEN 2 ELSE 1 END::BIGINT AS cluster, CASE WHEN n > 2 THEN index IN (1, 2) ELSE index = 0 END AS representative,
+            CASE WHEN n = 1 THEN 'Single family — no consolidation needed.' WHEN n = 2 THEN 'both' WHEN index % 2 = 0 THEN 'same' ELSE 'rest' END AS reasoning FROM m""",
+    ),
     "adjudication_one_look": (
         adjudication_one_look,
         f"WITH {_FIRST} SELECT k AS task_id, CASE WHEN NOT excluded THEN v1 END AS verdict, CASE WHEN NOT excluded THEN r1 END AS rationale, CASE WHEN NOT excluded THEN c1 END AS confidence, CASE WHEN NOT excluded THEN {_WHO.format('')} END AS adjudicator, (NOT excluded)::INT AS passes FROM f",

@@ -7,15 +7,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.shapes import Shape, first_error
+
 
 class ArtifactError(ValueError):
     """An artifact is missing, empty, no JSON, or breaks a rule; the message says which."""
 
 
-def load_json(spark: SparkSession, path: str, schema: StructType | str, label: str, rules: dict[str, Column] | None = None) -> DataFrame:
+def load_json(spark: SparkSession, path: str, schema: StructType | str, label: str, rules: dict[str, Column] | None = None, shape: Shape | None = None) -> DataFrame:
     """Rows of JSON documents under ``path``; fields beyond the schema are dropped.
 
-    rules: conditions that every row must meet, by name.
+    rules: conditions that every row must meet, by name. shape: what each file must look like; the error names the first
+    place where one does not.
     """
     try:
         some = spark.read.format("binaryFile").load(path).select("path").head(1)  # Spark reads no rows from files of no bytes
@@ -25,6 +28,12 @@ def load_json(spark: SparkSession, path: str, schema: StructType | str, label: s
         raise ArtifactError(f"{label}: empty file {path}")
     if spark.read.text(path, wholetext=True).where(F.try_parse_json("value").isNull()).head(1):
         raise ArtifactError(f"{label}: no valid JSON at {path}")
+    if shape is not None:
+        whole = spark.read.text(path, wholetext=True).select(first_error(F.try_parse_json("value"), shape).alias("error"))
+        broken = whole.where(F.col("error").isNotNull()).head(1)
+        if broken:
+            where, _, message = broken[0]["error"].partition(": ")
+            raise ArtifactError(f"Invalid {label} artifact at {path}: {where or '<root>'} {message}")
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     for name, rule in (rules or {}).items():
         if rows.where(~F.coalesce(rule, F.lit(False))).head(1):
