@@ -5,6 +5,7 @@ import random
 import duckdb
 import pytest
 
+from veriscope.operators import retrieval
 from veriscope.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -137,4 +138,8 @@ def test_deltas_are_checked(spark, sf):
 def test_bm25_plan_prunes_before_the_join(spark, sf):
     plan = registry.queries()["bm25_topk"](spark, sf)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    docs, asked = spark.read.parquet(f"{sf}/documents.parquet"), spark.createDataFrame([("cell",)], "term string")
+    read = retrieval.asked_postings(docs, asked, "doc_id", "text", [])._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in read and "LeftSemi" in read
+    assert read.count("Scan parquet") == 2  # in the tree and in the details: the texts are read once
+    assert read.index("BroadcastHashJoin LeftSemi") > read.index("HashAggregate")  # the tree lists parents first: terms go before they are counted

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from veriscope.operators import retrieval
 from veriscope.plans import stages
 from veriscope.sources import testdata as td
 
@@ -32,3 +33,18 @@ def test_categorical_verdicts_override_only_escalated(spark, sf):
     categorical = judged.select("record_id", F.lit("overridden").alias("verdict"))
     merged = stages.merge_judged(judged, categorical)
     assert merged.where("source = 'categorical'").count() == judged.where(F.size("escalation") > 0).count()
+
+
+def test_bm25_within_groups_is_bm25_of_each_group(spark):
+    words = "cell growth factor receptor kinase signal pathway tumor mouse brain".split()
+    docs = [(g, 10 * g + k, " ".join(words[(k * 3 + j * (g + 1)) % 10] for j in range(k % 5))) for g in range(3) for k in range(8)] + [(None, 99, "cell growth"), (2, 98, None)]
+    asked = [(g, 10 * g + k, f"{words[k]} {words[(k + g) % 10]} {words[k]}") for g in range(3) for k in range(3)] + [(None, 97, "cell"), (7, 96, "cell"), (1, 95, None)]
+    docs = spark.createDataFrame(docs, "g int, doc int, text string")
+    asked = spark.createDataFrame(asked, "g int, query int, text string")
+    rows = lambda df: {(r["query"], r["doc"]): (round(r["score"], 9), r["rank"]) for r in df.collect()}
+    got = rows(retrieval.bm25(asked, docs, "query", "doc", 3, within="g"))
+    wanted = {}
+    for g in range(3):
+        wanted |= rows(retrieval.bm25(asked.where(f"g = {g}"), docs.where(f"g = {g}"), "query", "doc", 3))
+    assert got == wanted and len(got) > 10
+    assert retrieval.bm25(asked, docs.limit(0), "query", "doc").count() == 0 == retrieval.bm25(asked.limit(0), docs, "query", "doc", within="g").count()

@@ -7,37 +7,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from .rounds import cut
 
 K1, B = 1.2, 0.75
 
 
+#: The term under which a document's own row stands among its postings; no token is empty.
+_OWN = ""
+
+
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term, tf, length) of every document; length counts tokens without stop words."""
     split = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).withColumn("length", F.size("t"))
     return split.select(key, "length", F.explode("t").alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
 
 
-def index_stats(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """One row: number of documents, tokens, and their mean length."""
-    split = docs.select(key, F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("length"))
-    return split.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_tokens"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean_length"))
+def asked_postings(docs: DataFrame, asked: DataFrame, key: str, text: str, by: list[str]) -> DataFrame:
+    """(by, key, term, length, tf) of the terms of ``asked`` (by, term), and under ``_OWN`` one row for every document.
+
+    The only reading of the texts: counts, lengths, document frequencies and scores all come from what is returned. Other terms go in
+    the semi-join, before anything is shuffled, while the terms asked for are few enough to be broadcast.
+    """
+    split = docs.select(*by, key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    each = split.select(*by, key, F.size("t").alias("length"), F.explode(F.concat(F.array(F.lit(_OWN)), "t")).alias("term"))
+    own = docs.select(*by).distinct().withColumn("term", F.lit(_OWN)) if by else docs.sparkSession.createDataFrame([(_OWN,)], "term string")
+    wanted = asked.select(*by, "term").distinct().unionByName(own)
+    return each.join(wanted, [*by, "term"], "left_semi").groupBy(*by, key, "term", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, limit: int | None = 5, query_text: str = "text", doc_text: str = "text") -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, limit: int | None = 5, query_text: str = "text", doc_text: str = "text", within: str | None = None) -> DataFrame:
     """(query_key, doc_key, score, rank): documents by BM25 for each query, those of score 0 left out.
 
-    Document frequencies and lengths are aggregates, the rest one equi-join on terms: only terms of
-    the queries leave the documents' side (a semi-join that Spark broadcasts while the terms are few).
-    A query term that occurs twice counts twice. Ties go to the lower key.
+    Texts are tokenised once into a kept table of the terms asked for; document frequencies and lengths are its aggregates, the
+    rest is one equi-join on terms. A query term that occurs twice counts twice. Ties go to the lower key. With
+    ``within``, a column of both sides, documents of each of its values are a collection with statistics of its
+    own, and a query meets those of its value alone; rows without a value meet nothing.
     """
-    asked = queries.select(query_key, F.explode(tokens(F.coalesce(F.col(query_text), F.lit("")))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    stats = index_stats(docs, doc_key, doc_text)
-    held = postings(docs, doc_key, doc_text).join(asked.select("term").distinct(), "term", "left_semi")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    by = [within] if within else []
+    asked = queries.select(*by, query_key, F.explode(tokens(F.coalesce(F.col(query_text), F.lit("")))).alias("term")).groupBy(*by, query_key, "term").agg(F.count("*").alias("qtf"))
+    kept = cut(asked_postings(docs, asked, doc_key, doc_text, by))
+    held = kept.where(F.col("term") != _OWN)
+    stats = kept.where(F.col("term") == _OWN).groupBy(*by).agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean_length"))
+    df = held.groupBy(*by, "term").agg(F.sum(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).select(query_key, "term", "qtf", idf.alias("idf"), F.when(F.col("mean_length") == 0, 1.0).otherwise(F.col("mean_length")).alias("mean_length"))
+    known = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # without ``by`` one row
+    weighted = known.select(*by, "term", idf.alias("idf"), F.when(F.col("mean_length") == 0, 1.0).otherwise(F.col("mean_length")).alias("mean_length"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = held.join(weighted, "term").groupBy(query_key, doc_key).agg(F.sum(part).alias("score")).where("score > 0")
+    scored = held.join(asked.join(weighted, [*by, "term"]), [*by, "term"]).groupBy(*by, query_key, doc_key).agg(F.sum(part).alias("score")).where("score > 0")
+    scored = scored.drop(*[c for c in by if c not in (query_key, doc_key)])
     if limit is None:
         return scored
     order = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), doc_key)

@@ -42,6 +42,14 @@ def claim_relevance_filter(spark, sf):
     return scored.join(best, "item_id").groupBy("item_id").agg(F.count("*").alias("n_scored"), F.count_if(F.col("score") >= 0.22 * F.col("best")).alias("n_in_family"))
 
 
+def claim_family_papers(spark, sf):
+    bench = td.read(spark, sf, "benchmark").withColumn("seed", F.col("item_id") % 20)
+    docs = td.read(spark, sf, "documents").withColumn("seed", F.col("doc_id") % 20)
+    scored = retrieval.bm25(bench, docs, "item_id", "doc_id", None, within="seed")
+    pairs = bench.select("seed", "item_id").join(docs.select("seed", "doc_id"), "seed")
+    return retrieval.in_claim_family(scored, pairs, "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "in_family")
+
+
 def title_normalize(spark, sf):
     return td.papers(spark, sf).select("paper_id", text.normalize_title(F.col("title")).alias("title"), text.surname(F.col("authors")[0]).alias("surname"))
 
@@ -182,6 +190,17 @@ QUERIES = {
     "bm25_index_stats": (bm25_index_stats, f"WITH {_INDEX} SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM tf GROUP BY term"),
     "query_tokens": (query_tokens, f"WITH {_INDEX} SELECT item_id, term, qtf AS n FROM qtf"),
     "claim_relevance_filter": (claim_relevance_filter, f"WITH {_INDEX} SELECT item_id, count(*) AS n_scored, count(*) FILTER (WHERE score >= 0.22 * best) AS n_in_family FROM (SELECT *, max(score) OVER (PARTITION BY item_id) AS best FROM scored WHERE score > 0) GROUP BY item_id"),
+    "claim_family_papers": (
+        claim_family_papers,
+        f"""WITH d AS (SELECT doc_id, doc_id % 20 AS seed, {_TOKENS} AS t FROM documents), q AS (SELECT item_id, item_id % 20 AS seed, {_TOKENS} AS t FROM benchmark),
+          stats AS (SELECT seed, count(*) AS n_docs, avg(len(t)) AS mean_length FROM d GROUP BY seed),
+          tf AS (SELECT seed, doc_id, term, length, count(*) AS tf FROM (SELECT seed, doc_id, len(t) AS length, unnest(t) AS term FROM d) GROUP BY ALL),
+          qtf AS (SELECT seed, item_id, term, count(*) AS qtf FROM (SELECT seed, item_id, unnest(t) AS term FROM q) GROUP BY ALL), df AS (SELECT seed, term, count(*) AS df FROM tf GROUP BY ALL),
+          scored AS (SELECT item_id, doc_id, sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))) AS score
+            FROM qtf JOIN tf USING (seed, term) JOIN df USING (seed, term) JOIN stats USING (seed) GROUP BY ALL),
+          e AS (SELECT item_id, doc_id, coalesce(score, 0) AS score FROM q JOIN d USING (seed) LEFT JOIN scored USING (item_id, doc_id))
+          SELECT item_id, doc_id, round(score, 6) AS score, max(score) OVER w > 0 AND score >= 0.22 * max(score) OVER w AS in_family FROM e WINDOW w AS (PARTITION BY item_id)""",
+    ),
     "title_normalize": (title_normalize, rf"WITH {td.PAPERS} SELECT paper_id, trim(regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+', ' ', 'g')) AS title, lower(regexp_extract(trim(authors[1]), '(\S+)$', 1)) AS surname FROM papers"),
     "content_hash": (content_hash, "SELECT doc_id, left(sha256(text), 16) AS hash, sha256('purpose' || chr(0) || lang || chr(0) || source) AS cache_key FROM documents"),
     "sentence_split": (sentence_split, f"SELECT doc_id, len(s)::INT AS n, coalesce(list_sum(list_transform(s, lambda x: length(x))), 0)::INT AS chars FROM {_SENTENCES}"),

@@ -67,22 +67,9 @@ def evidence(tasks: DataFrame, blocks: DataFrame, config: Config, scores: DataFr
     BM25's statistics are those of one cited paper, so the ranking is grouped by it. Rerank scores
     (task_id, block_id, score), where given, reorder the candidates.
     """
-    q = tasks.select("task_id", "cited", retrieval.tokens(F.col("query")).alias("t"))
-    asked = q.select("task_id", "cited", F.explode("t").alias("term")).groupBy("task_id", "cited", "term").agg(F.count("*").alias("qtf"))
-    held = blocks.select("cited", "block_id", retrieval.tokens(F.col("text")).alias("t")).withColumn("length", F.size("t"))
-    stats = held.groupBy("cited").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    tf = held.select("cited", "block_id", "length", F.explode("t").alias("term")).groupBy("cited", "block_id", "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("cited", "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    mean = F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean"))
-    part = F.col("qtf") * idf * F.col("tf") * (retrieval.K1 + 1) / (F.col("tf") + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("length") / mean))
-    scored = asked.join(tf, ["cited", "term"]).join(df, ["cited", "term"]).join(stats, "cited").groupBy("task_id", "block_id").agg(F.sum(part).alias("bm25")).where("bm25 > 0")
+    first = retrieval.bm25(tasks, blocks, "task_id", "block_id", config.evidence_candidates, "query", "text", within="cited").select("task_id", "block_id", F.col("score").alias("bm25"))
     if scores is None:
-        scores = scored.select("task_id", "block_id", F.col("bm25").alias("score"))
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("task_id").orderBy(F.desc(F.round("bm25", 9)), "block_id")
-    first = scored.withColumn("k", F.row_number().over(order)).where(F.col("k") <= config.evidence_candidates).drop("k")
+        scores = first.select("task_id", "block_id", F.col("bm25").alias("score"))
     return retrieval.rerank(first, scores, "task_id", "block_id", config.evidence_spans)
 
 
