@@ -143,3 +143,5 @@ def test_bm25_plan_prunes_before_the_join(spark, sf):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in read and "LeftSemi" in read
     assert read.count("Scan parquet") == 2  # in the tree and in the details: the texts are read once
     assert read.index("BroadcastHashJoin LeftSemi") > read.index("HashAggregate")  # the tree lists parents first: terms go before they are counted
+    many = retrieval.asked_postings(docs, asked, "doc_id", "text", [], most=0)
+    assert sorted(map(str, many.collect())) == sorted(map(str, retrieval.asked_postings(docs, asked, "doc_id", "text", []).collect()))

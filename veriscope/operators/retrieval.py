@@ -22,17 +22,20 @@ def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return split.select(key, "length", F.explode("t").alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
 
 
-def asked_postings(docs: DataFrame, asked: DataFrame, key: str, text: str, by: list[str]) -> DataFrame:
-    """(by, key, term, length, tf) of the terms of ``asked`` (by, term), and under ``_OWN`` one row for every document.
+def asked_postings(docs: DataFrame, asked: DataFrame, key: str, text: str, by: list[str], most: int = 500_000) -> DataFrame:
+    """(by, key, term, length, tf) of the terms of ``asked`` (by, term), and under ``_OWN`` one row for each document of its groups.
 
-    The only reading of the texts: counts, lengths, document frequencies and scores all come from what is returned. Other terms go in
-    the semi-join, before anything is shuffled, while the terms asked for are few enough to be broadcast.
+    The only reading of the texts: counts, lengths, document frequencies and scores all come from what is returned. Up to ``most``
+    different terms are broadcast (they are counted first), so that other terms go before anything is shuffled; beyond that
+    postings are counted first and then joined.
     """
     split = docs.select(*by, key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     each = split.select(*by, key, F.size("t").alias("length"), F.explode(F.concat(F.array(F.lit(_OWN)), "t")).alias("term"))
-    own = docs.select(*by).distinct().withColumn("term", F.lit(_OWN)) if by else docs.sparkSession.createDataFrame([(_OWN,)], "term string")
-    wanted = asked.select(*by, "term").distinct().unionByName(own)
-    return each.join(wanted, [*by, "term"], "left_semi").groupBy(*by, key, "term", "length").agg(F.count("*").alias("tf"))
+    groups = asked.select(*by).distinct() if by else docs.sparkSession.range(1).select()
+    wanted = asked.select(*by, "term").distinct().unionByName(groups.withColumn("term", F.lit(_OWN)))
+    few = wanted.count() <= most
+    counted = each.groupBy(*by, key, "term", "length").agg(F.count("*").alias("tf"))
+    return counted.join(F.broadcast(wanted) if few else wanted, [*by, "term"], "left_semi")
 
 
 def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, limit: int | None = 5, query_text: str = "text", doc_text: str = "text", within: str | None = None) -> DataFrame:
@@ -44,7 +47,7 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, limi
     own, and a query meets those of its value alone; rows without a value meet nothing.
     """
     by = [within] if within else []
-    asked = queries.select(*by, query_key, F.explode(tokens(F.coalesce(F.col(query_text), F.lit("")))).alias("term")).groupBy(*by, query_key, "term").agg(F.count("*").alias("qtf"))
+    asked = cut(queries.select(*by, query_key, F.explode(tokens(F.coalesce(F.col(query_text), F.lit("")))).alias("term")).groupBy(*by, query_key, "term").agg(F.count("*").alias("qtf")))
     kept = cut(asked_postings(docs, asked, doc_key, doc_text, by))
     held = kept.where(F.col("term") != _OWN)
     stats = kept.where(F.col("term") == _OWN).groupBy(*by).agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean_length"))
