@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import answering, chains, comparing, judging, reading, resuming, running, screening, screening_chain
+from . import answering, chains, comparing, judging, reading, resuming, running, screening, screening_chain, summarizing
 
 
 def queries() -> dict:
-    return {name: f for part in (reading, screening, judging, comparing, chains, running, resuming, screening_chain, answering) for name, (f, _) in part.QUERIES.items()}
+    return {name: f for part in (reading, screening, judging, comparing, chains, running, resuming, screening_chain, answering, summarizing) for name, (f, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for part in (reading, screening, judging, comparing, chains, running, resuming, screening_chain, answering) for name, (_, sql) in part.QUERIES.items() if sql}
+    return {name: sql for part in (reading, screening, judging, comparing, chains, running, resuming, screening_chain, answering, summarizing) for name, (_, sql) in part.QUERIES.items() if sql}
