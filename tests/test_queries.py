@@ -39,6 +39,14 @@ def test_matches_sql(spark, sf, duck, name):
         assert len(set(rows(got))) > 1
 
 
+def test_papers_without_titles_do_not_meet(spark):
+    from veriscope.operators import graph
+
+    rows = [(k, None if k % 2 else "", [f"A {k}"] if k % 3 else [], None, "" if k % 5 else None) for k in range(3000)] + [(9001, "", ["B Same"], 2000, "!"), (9002, "", ["C Other", "D same"], 2001, "")]
+    papers = spark.createDataFrame(rows, "paper_id long, doi string, authors array<string>, year int, title string")
+    assert [tuple(r) for r in graph.duplicate_pairs(papers).collect()] == [(9001, 9002, "title")]
+
+
 def test_greedy_paper_groups_follow_heads(spark, sf):
     from veriscope.operators import graph
     from veriscope.sources import testdata as td
@@ -133,6 +141,22 @@ def test_deltas_are_checked(spark, sf):
         with pytest.raises(ValueError, match=message):
             apply_deltas(base, make(*ids))
     assert apply_deltas(base, make(active)).where("touched").count() == 1
+    with pytest.raises(ValueError, match="exclusion not allowed"):
+        apply_deltas(base, spark.createDataFrame([(active, "supported", None, None, True, None, None)], schema))
+
+
+def test_deltas_and_blinding_reach_every_field(spark):
+    from veriscope.operators.compare import JUDGED, apply_deltas, blind
+
+    told = "verdict string, rationale string, quality string, confidence string, adjudicator string, adjudicated_at string, telemetry string, vector_trace string, routing string"
+    base = spark.createDataFrame([(k, k == 2, "why" if k == 2 else None, *"abcdefghi") for k in (1, 2, 3)], f"task_id long, excluded boolean, exclude_reason string, {told}")
+    seen = {r["task_id"]: [r[c] for c in JUDGED] for r in blind(base).collect()}
+    assert seen == {1: [None] * 9, 2: list("abcdefghi"), 3: [None] * 9}
+    deltas = spark.createDataFrame([(1, "x", None, "y", "z", None, None, None), (2, "x", None, None, None, False, None, True)], "task_id long, final_verdict string, rationale string, quality string, confidence string, excluded boolean, exclude_reason string, allow_excluded boolean")
+    got = {r["task_id"]: [r[c] for c in (*JUDGED, "excluded", "exclude_reason", "touched")] for r in apply_deltas(base, deltas).collect()}
+    assert got[1] == ["x", "b", "y", "z", "e", "f", "g", None, None, False, None, True]
+    assert got[2] == ["x", "b", "c", "d", "e", "f", "g", None, None, False, "why", True]
+    assert got[3] == [*"abcdefghi", False, None, False]
 
 
 def test_bm25_plan_prunes_before_the_join(spark, sf):

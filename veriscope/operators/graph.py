@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rules import decision, edge_flags, family_profile, metric_priority
-from ..functions.text import authors_overlap, bigrams, jaccard, normalize_title, years_close
+from ..functions.text import authors_overlap, bigrams, jaccard, normalize_title, surname, years_close
 from .rounds import attached, cut
 
 FLAGS = ("is_primary_like", "is_review", "is_commentary", "is_letter", "is_book_chapter", "is_journal_article", "is_preprint")
@@ -94,10 +94,13 @@ def similar_grams(papers: DataFrame, threshold: float, key: str = "paper_id", gr
 def duplicate_pairs(papers: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Pairs (a, b, reason) of papers that collapse, a before b: equal DOI, equal title, or similar title with near years; titles need an author in common.
 
-    Candidates meet on a DOI, a title or a rare title bigram: a pair without any of these cannot collapse.
+    Candidates meet on a DOI, on a title with a first or last author's surname, or on a rare title bigram: a pair without any of these cannot
+    collapse. An empty DOI is none; papers without a title meet only if they share a surname.
     """
-    p = papers.select("paper_id", "doi", "authors", "year", normalize_title(F.col("title")).alias("t")).withColumn("grams", bigrams(F.col("t")))
-    spread = p.select("paper_id", F.explode(F.array_compact(F.array(F.concat(F.lit("doi:"), "doi"), F.concat(F.lit("title:"), "t")))).alias("key"))
+    p = papers.select("paper_id", F.nullif("doi", F.lit("")).alias("doi"), "authors", "year", normalize_title(F.col("title")).alias("t")).withColumn("grams", bigrams(F.col("t")))
+    ends = F.when(F.size("authors") > 0, F.array(surname(F.element_at("authors", 1)), surname(F.element_at("authors", -1))))
+    titled = F.transform(F.coalesce(ends, F.array().cast("array<string>")), lambda name: F.concat(F.lit("title:"), name, F.lit("|"), F.col("t")))
+    spread = p.select("paper_id", F.explode(F.array_distinct(F.array_compact(F.concat(F.array(F.concat(F.lit("doi:"), "doi")), titled)))).alias("key"))
     a, b = spread.alias("a"), spread.alias("b")
     met = a.join(b, "key").where(F.col("a.paper_id") < F.col("b.paper_id")).select(F.col("a.paper_id").alias("a"), F.col("b.paper_id").alias("b"))
     pairs = met.unionByName(similar_grams(p, threshold).select("a", "b")).distinct()

@@ -33,7 +33,7 @@ def candidate_rank(spark, sf):
 
 def apply_deltas(spark, sf):
     base = td.audit_base(spark, sf)
-    deltas = base.where("task_id % 6 = 1 and not excluded").select("task_id", F.lit("not_supported").alias("final_verdict"), F.when(F.col("task_id") % 4 == 1, "checked").alias("rationale"), F.lit(None).cast("string").alias("quality"), F.when(F.col("task_id") % 10 == 1, True).alias("excluded"), F.when(F.col("task_id") % 10 == 1, "off topic").alias("exclude_reason"), F.lit(False).alias("allow_excluded"))
+    deltas = base.where("task_id % 6 = 1 and not excluded").select("task_id", F.lit("not_supported").alias("final_verdict"), F.when(F.col("task_id") % 4 == 1, "checked").alias("rationale"), F.lit(None).cast("string").alias("quality"), F.when(F.col("task_id") % 10 == 1, True).alias("excluded"), F.when(F.col("task_id") % 10 == 1, "off topic").alias("exclude_reason"), (F.col("task_id") % 10 == 1).alias("allow_excluded"))
     return compare.apply_deltas(base, deltas).select("task_id", "verdict", "rationale", "quality", "excluded", "exclude_reason", "touched")
 
 
