@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from veriscope.llm import html, pii, urlrules
 from veriscope.llm.decontaminate import drop_leaks, find_leaks
+from veriscope.llm.quality import drop_low_quality
 from veriscope.llm.toxicity import score_toxicity
 
 
@@ -39,7 +40,85 @@ def test_leaks_in_other_capitals_and_of_numbers(spark):
     got = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs, items).collect()}
     assert got == {(0, 1), (1, 1), (2, 1), (3, 2), (5, 3)}
     left = drop_leaks(docs, items)
-    assert left.columns == docs.columns and left.count() == 5
+    # the row without doc_id leaks item 1 too, and goes
+    assert left.columns == docs.columns and sorted((r["doc_id"], r["text"] or "") for r in left.collect()) == sorted([(4, f"{filler} {texts[4]} {filler}"), (6, f"{filler} {texts[6]} {filler}"), (90, ""), (91, "")])
+
+
+def test_reparameterised_copies_in_other_capitals(spark):
+    question = "{} has {} red apples and gives {} of them to {} near the old town hall before {} walks home with {} apples"
+    trade = "A car costs {} {} and {} buys it with {} {} from {} at the market in {}"
+    items = spark.createDataFrame([(1, question.format("Alice", 3, 2, "Bob", "Bob", 1)), (2, trade.format(500, "dollars", "Henry", 450, "dollars", "Anna", "Boston"))], "item_id long, text string")
+    other = question.format("Maria", 5, 4, "Tom", "Tom", 9), trade.format(700, "euros", "Peter", 600, "euros", "Clara", "Turin")
+    # Bob stands for two values in most windows' diagonal; a text that shares too little
+    clean = question.format("Maria", 5, 4, "Tom", "Eve", 9).replace("red apples", "green pears").replace("old town", "new city").replace("walks home", "runs off"), "He has 5 red cars and gives 4 of them to me near the sea"
+    docs = [f(t) for t in other for f in (str, str.lower, str.upper, str.title)] + list(clean)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in find_leaks(df, items).collect()}
+    assert set(got) == {(k, 1 + k // 4) for k in range(8)}
+    assert all(r["changed"] > 0 for r in got.values())
+
+
+def windows_by_hand(items, docs, size=6, literals=4, coverage=0.5, conflicts=0.2):
+    """Leaks by comparing every window with every window, for texts of lower-case words w*, names N* and numbers."""
+    kind = lambda t, named: "#" if t[0].isdigit() else "@" if named and t[0] == "N" else t.lower()
+    found = set()
+    for item, text in items.items():
+        a = text.split()
+        for doc, other in docs.items():
+            b, best = other.split(), 0.0
+            for named in (True, False):
+                inner = [named and k > 0 for k in range(len(a))]
+                shape = [kind(t, n) for t, n in zip(a, inner, strict=True)]
+                starts = [i for i in range(len(a) - size + 1) if sum(s not in "#@" for s in shape[i : i + size]) >= literals]
+                places, meanings = {}, {}
+                for i in starts:
+                    for j in range(len(b) - size + 1):
+                        if all(s == "@" or s == kind(t, False) for s, t in zip(shape[i : i + size], b[j : j + size], strict=True)) and sum(not t[0].isdigit() for t in b[j : j + size]) >= literals:
+                            places.setdefault(j - i, set()).add(i)
+                            for k in range(size):
+                                if shape[i + k] in "#@":
+                                    meanings.setdefault(j - i, {}).setdefault(a[i + k].lower(), set()).add(b[j + k].lower())
+                sound = set()
+                for d, at in places.items():
+                    told = meanings.get(d, {})
+                    if sum(len(v) > 1 for v in told.values()) <= conflicts * len(told):
+                        sound |= at
+                best = max(best, len(sound) / len(starts) if starts else 0)
+            if best >= coverage:
+                found.add((doc, item))
+    return found
+
+
+def test_leaks_against_all_windows(spark):
+    rng = random.Random(21)
+    names = [f"N{c}x" for c in "abcdefghij"]
+    word = lambda: rng.choice(names) if (x := rng.random()) < 0.12 else str(rng.randrange(90)) if x < 0.22 else f"w{rng.randrange(40)}"
+    items = {k: " ".join(["w0", *[word() for _ in range(rng.randint(9, 24))]]) for k in range(12)}
+    docs = {}
+    for k in range(60):
+        new, tokens = {}, []
+        for t in items[rng.randrange(12)].split():
+            swap = t[0] != "w" and rng.random() < 0.9
+            tokens.append(new.setdefault(t, word() if rng.random() < 0.05 else rng.choice(names) if t[0] == "N" else str(rng.randrange(90))) if swap else t)
+            if rng.random() < 0.06:
+                tokens.append(word())
+        text = " ".join([word() for _ in range(15)] + tokens + [word() for _ in range(15)])
+        docs[k] = rng.choice([str, str.lower, str.upper])(text)
+    wanted = windows_by_hand(items, docs)
+    got = find_leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == wanted and 10 < len(wanted) < 60
+
+
+def test_quality_goes_by_rows(spark):
+    rng = random.Random(4)
+    good = [" ".join(f"w{rng.randrange(300)}" for _ in range(60)) + "." for _ in range(300)]
+    junk = ["## %% " * 40 + str(k) for k in range(100)]
+    rows = [(k, t) for k, t in enumerate(good + junk)]
+    told = spark.createDataFrame([(k, int(k < 300), 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    more = [(5, junk[0]), (None, good[7]), (None, junk[1]), (None, junk[1]), (399, good[8])]
+    left = drop_low_quality(spark.createDataFrame(rows + more, "doc_id long, text string").withColumn("low", F.lit(1)).withColumn("place", F.lit(2)), told)
+    assert left.columns == ["doc_id", "text", "low", "place"]
+    assert sorted((r["text"], r["doc_id"] or -1) for r in left.collect()) == sorted([(t, k or -1) for k, t in enumerate(good)] + [(good[7], -1), (good[8], 399)])
 
 
 def test_spans_of_a_text_of_many_matches(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import list_column, mix, pieces, shingles, text_buffers, words
+from .hashing import STEP, list_column, mix, pieces, text_buffers, words
 from .idfilter import cells, id_filter
 from .store import keep
 
@@ -41,10 +40,10 @@ _NUMBER_HASHES, _UNIT_HASHES = _word_hashes(NUMBER_WORDS), _word_hashes(UNITS)
 def templates(column: pa.Array) -> Iterator[tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]]:
     """Pieces as (readings, bounds by row); a reading has the template hash of each token and its slot or 0.
 
-    The first reading has placeholders for numbers, units and names; the second, for texts in other capitals, for numbers and units
+    The first reading has placeholders for numbers, units and names; the second for numbers and units
     alone; the third, for items that are mostly such things, has none. Letters are folded in all. A token is a run of letters and digits; a point or comma between digits belongs to the number. A
     token that begins with a digit and a number word are numbers; a unit after a number is a unit; a capitalised
-    token inside a sentence is a name. The slot of such a placeholder is the hash of what it replaced.
+    token inside a sentence is a name, and where it begins another sentence of the row too. The slot of such a placeholder is the hash of what it replaced.
     """
     data, at = text_buffers(column)
     for i, j in pieces(data, at):
@@ -71,50 +70,104 @@ def templates(column: pa.Array) -> Iterator[tuple[list[tuple[np.ndarray, np.ndar
         opens[bounds[:-1][bounds[:-1] < len(hashes)]] = True
         second = raw[np.minimum(starts + 1, len(raw) - 1)]
         capital = _UPPER[raw[starts]] | ((raw[starts] == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-        name = capital & ~opens & ~number & ~unit
+        capital &= ~number & ~unit
+        name = capital & ~opens
+        own = mix(hashes + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.uint64))
+        name |= capital & np.isin(own, own[name])
         slot = hashes | np.uint64(1)
         folded = np.select([number, unit], [_NUMBER, _UNIT], hashes), np.where(number | unit, slot, np.uint64(0))
         named = np.where(name, _NAME, folded[0]), np.where(name, slot, folded[1])
         yield [named, folded, (hashes, np.zeros(len(hashes), np.uint64))], bounds
 
 
-def _windows(texts: DataFrame, key: str, sizes: list[int], literals: int, allowed=None) -> DataFrame:
-    """(key, reading, pos, window, slots, total): template windows with at least ``literals`` plain tokens; total is how many the row has in that reading.
+def _inside(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first token) of each window of ``size`` tokens that lies inside one row."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    first = np.flatnonzero(row[: max(0, len(row) - size + 1)] == row[size - 1 :])
+    return row[first], first
 
-    A row of fewer tokens than the largest size is itself one window, of its own size.
+
+def _sums(hashes: np.ndarray, first: np.ndarray, size: int, reading: int) -> np.ndarray:
+    """Sums of the windows at ``first``; what :func:`mix` makes of one is the window's hash."""
+    out = np.full(max(0, len(hashes) - size + 1), size + 1000 * reading, np.uint64)
+    for j in range(size):
+        out += hashes[j : j + len(out)] * STEP[j]
+    return out[first]
+
+
+def _plain(slot: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    upto = np.concatenate([[0], np.cumsum(slot == 0)])
+    return upto[first + size] - upto[first]
+
+
+def _texts(df: DataFrame, key: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).where(f"{key} is not null")
+
+
+def _item_windows(items: DataFrame, size: int, literals: int) -> DataFrame:
+    """(item_id, reading, size, mask, pos, window, slots, total): windows with at least ``literals`` plain tokens.
+
+    mask has a bit for each place where a name stands (first reading only); total is how many windows the item has in
+    that reading. An item of fewer tokens than ``size`` is itself one window, of its own size.
     """
-    largest = max(sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row0 = 0
             for readings, bounds in templates(batch.column(1)):
-                for reading, size in itertools.product(range(len(readings)), sizes):
-                    hashes, slot = readings[reading]
-                    made, at = shingles(hashes, bounds, size)
-                    made = mix(made + np.uint64(size + 1000 * reading)).view(np.int64)
-                    n = np.diff(bounds)
-                    width = np.where(n >= size, size, n)
-                    row = np.repeat(np.arange(len(n)), np.diff(at))
-                    pos = np.arange(len(made)) - at[:-1][row]
-                    start = bounds[:-1][row] + pos
-                    plain = np.concatenate([[0], np.cumsum(slot == 0)])
-                    ok = plain[np.minimum(start + width[row], len(slot))] - plain[start] >= literals
-                    ok &= (n[row] >= size) if allowed is not None or size < largest else np.ones(len(row), bool)
-                    if allowed is None:
-                        ok &= (n[row] >= largest) if size == largest else (n[row] == size)
-                    total = np.bincount(row[ok], minlength=len(n))[row]
-                    if allowed is not None:
-                        ok &= allowed.value[cells(made, _BITS)] > 0
-                    hit = np.flatnonzero(ok)
-                    if len(hit):
-                        slots = [slot[start[k] : start[k] + width[row[k]]].view(np.int64) for k in hit]
-                        columns = [batch.column(0).take(pa.array(row[hit] + row0)), pa.array(np.full(len(hit), reading), pa.int32()), pa.array(pos[hit], pa.int64()), pa.array(made[hit]), list_column(slots, pa.int64()), pa.array(total[hit], pa.int64())]
-                        yield pa.RecordBatch.from_arrays(columns, [key, "reading", "pos", "window", "slots", "total"])
+                n = np.diff(bounds)
+                for width in range(literals, size + 1):
+                    row, first = _inside(bounds, width)
+                    fits = n[row] >= size if width == size else n[row] == width
+                    for reading, (hashes, slot) in enumerate(readings):
+                        ok = fits & (_plain(slot, first, width) >= literals)
+                        at, of = first[ok], row[ok]
+                        if not len(at):
+                            continue
+                        mask = sum((hashes[at + j] == _NAME).astype(np.int32) << j for j in range(width))
+                        made = mix(_sums(hashes, at, width, reading)).view(np.int64)
+                        slots = list(slot[at[:, None] + np.arange(width)].view(np.int64))
+                        flat = [np.full(len(at), reading, np.int32), np.full(len(at), width, np.int32), mask, at - bounds[of], made]
+                        columns = [batch.column(0).take(pa.array(of + row0)), *[pa.array(c) for c in flat], list_column(slots, pa.int64()), pa.array(np.bincount(of)[of])]
+                        yield pa.RecordBatch.from_arrays(columns, ["item_id", "reading", "size", "mask", "pos", "window", "slots", "total"])
+                row0 += len(bounds) - 1
+
+    return _texts(items, "item_id").mapInArrow(run, "item_id long, reading int, size int, mask int, pos long, window long, slots array<long>, total long")
+
+
+def _doc_windows(docs: DataFrame, looks: list[tuple[int, int, int]], literals: int, allowed) -> DataFrame:
+    """(doc_id, window, doc_pos, doc_slots): windows that may be an item's, for each look (reading, size, mask).
+
+    In the first reading the places of names come from the item: a window is taken once for each mask of that size, with
+    the placeholder at its bits, whatever stands there. So names are found in any capitals.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row0 = 0
+            for (_, folded, literal), bounds in templates(batch.column(1)):
+                for reading, size in sorted({look[:2] for look in looks}):
+                    hashes, slot = literal if reading == 2 else folded
+                    row, first = _inside(bounds, size)
+                    ok = _plain(slot, first, size) >= literals
+                    row, first = row[ok], first[ok]
+                    sums = _sums(hashes, first, size, reading)
+                    masks = [m for r, s, m in looks if (r, s) == (reading, size)]
+                    change = {j: (_NAME - hashes[first + j]) * STEP[j] for j in range(size) if any(m >> j & 1 for m in masks)}
+                    for mask in masks:
+                        hidden = [j for j in range(size) if mask >> j & 1]
+                        made = mix(sum((change[j] for j in hidden), sums))
+                        hit = np.flatnonzero(allowed.value[cells(made, _BITS)])
+                        if not len(hit):
+                            continue
+                        at = first[hit][:, None] + np.arange(size)
+                        slots = slot[at]
+                        slots[:, hidden] = literal[0][at[:, hidden]] | np.uint64(1)
+                        columns = [batch.column(0).take(pa.array(row[hit] + row0)), pa.array(made[hit].view(np.int64)), pa.array(at[:, 0] - bounds[row[hit]]), list_column(list(slots.view(np.int64)), pa.int64())]
+                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "window", "doc_pos", "doc_slots"])
                 row0 += len(bounds) - 1
 
-    rows = texts.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
-    return rows.where(f"{key} is not null").mapInArrow(run, f"{key} long, reading int, pos long, window long, slots array<long>, total long")
+    return _texts(docs, "doc_id").mapInArrow(run, "doc_id long, window long, doc_pos long, doc_slots array<long>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, coverage: float = 0.5, literals: int = 4, conflicts: float = 0.2) -> DataFrame:
@@ -125,18 +178,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, coverage: f
     minus item position) each slot value of the item must stand for one value of the document, but for
     a share of ``conflicts``; windows on diagonals that fail do not count. A pair is a leak if
     ``coverage`` of the item's windows occur. slots counts the item's different slot values
-    found, changed those for which the document has another value: over 0 marks a re-parameterised copy. The same is done with windows in
-    which names, and in which all tokens, stand as they are, in any capitals; a pair counts by the reading that covers most of the item.
+    found, changed those for which the document has another value: over 0 marks a re-parameterised copy. Where names stand is
+    read from the item alone, so the document's may be in any capitals. The same is done with windows in
+    which names, and in which all tokens, stand as they are; a pair counts by the reading that covers most of the item.
 
     Defined cases: null ids and null or empty texts match nothing; an item shorter than ``size`` tokens is one window of its own length,
     and one of fewer than ``literals`` tokens is never matched; a very long text is one like any other; repeated rows count once; other
     columns are ignored; an empty table gives no pairs.
     """
-    lengths = list(range(literals, size + 1))
-    items = keep(_windows(benchmark, "item_id", lengths, literals))
-    used = sorted({size} | {r["n"] for r in items.select(F.size("slots").alias("n")).distinct().toLocalIterator()})
-    hits = _windows(docs, "doc_id", used, literals, id_filter(items.select("window").distinct(), "window", _BITS))
-    left = hits.select("doc_id", "window", F.col("pos").alias("doc_pos"), F.col("slots").alias("doc_slots"))
+    items = keep(_item_windows(benchmark, size, literals))
+    looks = sorted(map(tuple, items.select("reading", "size", "mask").distinct().toLocalIterator()))  # at most some 60: places of names in a window
+    left = _doc_windows(docs, looks, literals, id_filter(items.select("window").distinct(), "window", _BITS))
     met = keep(left.join(items, "window").select("doc_id", "item_id", "reading", "pos", (F.col("doc_pos") - F.col("pos")).alias("diagonal"), "slots", "doc_slots", "total"))
     pairs = met.select("doc_id", "item_id", "reading", "diagonal", F.explode(F.filter(F.arrays_zip("slots", "doc_slots"), lambda x: x["slots"] != 0)).alias("p"))
     values = pairs.select("doc_id", "item_id", "reading", "diagonal", "p.slots", "p.doc_slots").distinct().groupBy("doc_id", "item_id", "reading", "diagonal", "slots").agg(F.count("*").alias("meanings"), F.min((F.col("slots") == F.col("doc_slots")).cast("int")).alias("same"))
@@ -151,6 +203,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 6, coverage: f
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that leak an item; all columns as they were."""
-    leaks = keep(find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("leaked")).distinct())  # a table of known size, so that a short list spares the texts a shuffle
-    return docs.join(leaks, docs["doc_id"].cast("long") == leaks["leaked"], "left_anti")
+    """``docs`` without the rows whose text leaks an item; all columns as they were.
+
+    Each row is judged by its own text, also where rows share a doc_id or have none; rows with null or empty texts stay, an
+    empty table stays empty. Rows are named by a 64-bit hash of doc_id and text.
+    """
+    place = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    told = docs.select(place.alias("doc_id"), docs["text"])
+    leaks = keep(find_leaks(told, benchmark, **options).select(F.col("doc_id").alias("leaked")).distinct())  # a table of known size, so that a short list spares the texts a shuffle
+    return docs.join(leaks, place == leaks["leaked"], "left_anti")

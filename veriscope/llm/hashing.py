@@ -21,7 +21,7 @@ for _b in range(ord("A"), ord("Z") + 1):
     _CODE[_b] = _CODE[_b + 32]
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-_STEP = _RNG.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+STEP = _RNG.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -122,16 +122,16 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndar
     total = np.concatenate([[0], np.cumsum(n_out)])
     m = len(hashes)
     out = np.empty(int(total[-1]), np.uint64)
-    rolled = hashes[: max(0, m - size + 1)] * _STEP[0]
+    rolled = hashes[: max(0, m - size + 1)] * STEP[0]
     for j in range(1, size):
-        rolled += hashes[j : m - size + 1 + j] * _STEP[j]
+        rolled += hashes[j : m - size + 1 + j] * STEP[j]
     long = count >= size
     index = np.arange(int(total[-1])) - np.repeat(total[:-1], n_out) + np.repeat(bounds[:-1], n_out)
     of_long = np.repeat(long, n_out)
     out[of_long] = rolled[index[of_long]]
     for row in np.flatnonzero((count > 0) & ~long):
         seq = hashes[bounds[row] : bounds[row + 1]]
-        out[total[row]] = (seq * _STEP[: len(seq)]).sum(dtype=np.uint64) ^ _STEP[5 + len(seq) % 3]
+        out[total[row]] = (seq * STEP[: len(seq)]).sum(dtype=np.uint64) ^ STEP[5 + len(seq) % 3]
     return mix(out), total
 
 

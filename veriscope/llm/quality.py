@@ -91,17 +91,23 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
         yield table
 
 
+def _place(docs: DataFrame) -> Column:
+    """Names a row by its doc_id and text."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
 def feature_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, one column for each of FEATURES)."""
+    """(doc_id, place, one column for each of FEATURES)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = list(features(batch.column(1)))
+            parts = list(features(batch.column(2)))
             table = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in table.T]], ["doc_id", *FEATURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c) for c in table.T]], ["doc_id", "place", *FEATURES])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in FEATURES))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _place(docs).alias("place"), text.alias("text"))
+    return docs.mapInArrow(run, "doc_id long, place long, " + ", ".join(f"{c} double" for c in FEATURES))
 
 
 @dataclass
@@ -190,7 +196,7 @@ def held_out(modulus: int, rest: int) -> Column:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, trusted: Column | None = None, most: int = 20_000) -> DataFrame:
-    """(doc_id, score): how likely the whole text of each row of ``docs`` is of quality 1.
+    """(doc_id, place, score): how likely the whole text of each row of ``docs`` is of quality 1; place is a hash of doc_id and text.
 
     ``labels`` (doc_id, quality): only rows of quality 1 (and for which ``trusted`` holds) are used,
     as trusted positives; the unlabelled sample comes from ``docs`` and the class prior is
@@ -208,8 +214,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, trusted: Column | None = N
     positive = get(table.join(_sample(good, most), "doc_id", "left_semi"))
     unlabelled = get(_sample(table.where("doc_id is not null"), most))
     if not len(positive) or not len(unlabelled):
-        return table.select("doc_id", F.lit(0.5).alias("score"))
-    return table.select("doc_id", train(positive, unlabelled).score().alias("score"))
+        return table.select("doc_id", "place", F.lit(0.5).alias("score"))
+    return table.select("doc_id", "place", train(positive, unlabelled).score().alias("score"))
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -219,6 +225,10 @@ def held_out_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose text scores under ``threshold``; all columns as they were."""
-    low = keep(score_quality(docs, labels, ~held_out(3, 1)).where(F.col("score") < threshold).select(F.col("doc_id").alias("low")).distinct())  # a table of known size, so that a short list spares the texts a shuffle
-    return docs.join(low, docs["doc_id"].cast("long") == low["low"], "left_anti")
+    """``docs`` without the rows whose text scores under ``threshold``; all columns as they were.
+
+    Each row is judged by its own text, also where rows share a doc_id or have none; null and empty texts are scored as in
+    :func:`score_quality`; an empty table stays empty. Rows are named by a 64-bit hash of doc_id and text.
+    """
+    low = keep(score_quality(docs, labels, ~held_out(3, 1)).where(F.col("score") < threshold).select(F.col("place").alias("low")).distinct())  # a table of known size, so that a short list spares the texts a shuffle
+    return docs.join(low, _place(docs) == low["low"], "left_anti")
