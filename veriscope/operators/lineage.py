@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rounds import cut
+from .rounds import cut, gathered
 
 
 def stale_artifacts(manifests: DataFrame, current: DataFrame) -> DataFrame:
@@ -16,19 +18,17 @@ def stale_artifacts(manifests: DataFrame, current: DataFrame) -> DataFrame:
     both are null for artifacts that hold. One round for each step; a round joins only what it newly found, and an artifact
     is found once, so cycles end.
     """
+    made = cut(manifests.select("artifact", "source", "sha256").distinct())
     now = current.select(F.col("artifact").alias("source"), F.col("sha256").alias("_now"))
-    broken = manifests.join(now, "source", "left").where(F.col("_now").isNull() | (F.col("_now") != F.col("sha256")))
+    broken = made.join(now, "source", "left").where(F.col("_now").isNull() | (F.col("_now") != F.col("sha256")))
     found = cut(broken.groupBy("artifact").agg(F.lit(1).alias("depth"), F.min("source").alias("cause")))
-    parts, edges, depth = [found], manifests.select("artifact", "source").distinct(), 1
+    parts, edges, depth = [found], made.select("artifact", "source").distinct(), 1
     while not found.isEmpty():
         depth += 1
         next_ = edges.join(found.select(F.col("artifact").alias("source"), "cause"), "source").groupBy("artifact").agg(F.lit(depth).alias("depth"), F.min("cause").alias("cause"))
-        for part in parts:
-            next_ = next_.join(part.select("artifact"), "artifact", "left_anti")
-        found = cut(next_)
-        parts.append(found)
-    stale = parts[0]
-    for part in parts[1:]:
-        stale = stale.unionByName(part)
-    j = manifests.select("artifact").distinct().join(stale, "artifact", "left")
+        known = reduce(DataFrame.unionByName, parts).select("artifact")
+        found = cut(next_.join(known, "artifact", "left_anti"))
+        parts = gathered([*parts, found])
+    stale = reduce(DataFrame.unionByName, parts)
+    j = made.select("artifact").distinct().join(stale, "artifact", "left")
     return j.select("artifact", F.when(F.col("depth").isNull(), "holds").otherwise("stale").alias("state"), "depth", "cause")
