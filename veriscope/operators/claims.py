@@ -71,7 +71,7 @@ def near_duplicate_pairs(families: DataFrame, threshold: float = 0.6) -> DataFra
     """
     text = F.coalesce("normalized", "tracked")
     f = families.where(F.col("status").isin("grounded", "ambiguous")).select("doi", "family_id", normalize_claim(text).alias("claim"), claim_tokens(text).alias("words"), normalize_claim(F.coalesce("support", F.lit(""))).alias("support"))
-    f = f.withColumn("support_words", claim_tokens(F.col("support")))
+    f = cut(f.withColumn("support_words", claim_tokens(F.col("support"))))  # each text is split once
     told = f.where("support <> ''")
     keys = f.select("doi", F.col("family_id").alias("x"), F.explode(F.array_compact(F.array(F.concat(F.lit("claim:"), "claim"), F.when((F.col("support") != "") & (F.size("support_words") == 0), F.lit("wordless"))))).alias("key"))
     same = keys.join(keys.withColumnRenamed("x", "y"), ["doi", "key"]).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
