@@ -142,6 +142,14 @@ def _bisect(cuts: list[int]) -> Column:
     return tree(0, len(cuts))
 
 
+def edited(docs: DataFrame, rows_a_bucket: int = 2000, most_buckets: int = 4096) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, text, edited, next_text) of each of ``docs``, without Python."""
+    rows = _with_next(docs, rows_a_bucket, most_buckets).withColumn("n_chars", F.length("text").cast("long"))
+    cut = F.floor(F.col("n_chars") / 4).cast("int")
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut)))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text")
+
+
 def edited_likeness(docs: DataFrame, size: int = SIZE, shingle: int = 5, rows_a_bucket: int = 2000, most_buckets: int = 4096) -> DataFrame:
     """Fingerprints of each text, of its edited text and their likeness to it and to the next document.
 
@@ -157,23 +165,20 @@ def edited_likeness(docs: DataFrame, size: int = SIZE, shingle: int = 5, rows_a_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, edited, after = ([s[:size] for s in shingle_sets(batch.column(k), shingle)] for k in (3, 4, 5))
+        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):  # sketches of few texts at once
+            own, changed, after = ([s[:size] for s in shingle_sets(batch.column(k), shingle)] for k in (3, 4, 5))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:3],
                     pa.array([encode(s) for s in own], pa.string()),
-                    pa.array([encode(s) for s in edited], pa.string()),
-                    pa.array([resemblance(a, b, size) for a, b in zip(own, edited, strict=True)], pa.float64()),
+                    pa.array([encode(s) for s in changed], pa.string()),
+                    pa.array([resemblance(a, b, size) for a, b in zip(own, changed, strict=True)], pa.float64()),
                     pa.array([resemblance(a, b, size) for a, b in zip(own, after, strict=True)], pa.float64()),
-                    pa.array([containment(a, b, size) for a, b in zip(own, edited, strict=True)], pa.float64()),
+                    pa.array([containment(a, b, size) for a, b in zip(own, changed, strict=True)], pa.float64()),
                     pa.array([distinct(a, size) for a in own], pa.float64()),
                 ],
                 ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited", "distinct_shingles"],
             )
 
-    rows = _with_next(docs, rows_a_bucket, most_buckets).withColumn("n_chars", F.length("text").cast("long"))
-    cut = F.floor(F.col("n_chars") / 4).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut)))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text")
+    rows = edited(docs, rows_a_bucket, most_buckets)
     return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, distinct_shingles double")
