@@ -84,9 +84,8 @@ def html_links(spark, sf):
 
 def inverted_index_text(spark, sf):
     words = F.split(F.translate("text", "\n", " "), " ")
-    w = td.read(spark, sf, "documents").select("doc_id", F.posexplode(words).alias("at", "word")).where("word <> ''")
-    index = w.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("at")).alias("p")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "p"))).alias("m"))
-    return index.select("doc_id", text.abstract_text(F.col("m")).alias("abstract"))
+    index = td.read(spark, sf, "documents").select("doc_id", text.inverted_index(words).alias("m"))
+    return index.select("doc_id", text.abstract_text(F.col("m")).alias("abstract")).where("abstract is not null")
 
 
 def marker_style(spark, sf):
