@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from veriscope.functions import rules, text
+from veriscope.operators import rounds, sampling
 
 
 def plan(df):
@@ -56,3 +57,45 @@ def test_patterns_are_looked_for_only_where_they_may_occur(spark):
 def test_roles_ask_for_texts_before_patterns(spark, sf):
     shown = plan(queries()["citation_role"](spark, sf))
     assert shown.count("Contains(") > 40
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") % 100)
+    parts = rounds.dealt(df, "k", rows=50)
+    assert parts.rdd.getNumPartitions() == 20 and rounds.dealt(df, "k").rdd.getNumPartitions() == 4
+    assert plan(queries()["rubric_options"](spark, "/root/testdata/sf0.001")).count("RepartitionByExpression") == 1
+    keys = parts.select("k", F.spark_partition_id().alias("p")).distinct()
+    assert keys.count() == 100 and parts.count() == 1000
+
+
+def plain_sample(tasks, total):
+    """The two passes over one group, row by row."""
+    quota = dict(sampling.targets(total, any(t[1] == sampling.AMBIGUOUS for t in tasks)))
+    ranked, most, out = sorted(tasks, key=lambda t: (-t[2], t[0])), total // 4, {}
+    for t in ranked:
+        room = min(quota.get(t[1], 0), most if t[1] == sampling.AMBIGUOUS else total)
+        if sum(m == t[1] for m, _ in out.values()) < room:
+            out[t[0]] = (t[1], 1)
+    for t in ranked:
+        full = t[1] == sampling.AMBIGUOUS and sum(m == t[1] for m, _ in out.values()) >= most
+        if t[0] not in out and not full and len(out) < total:
+            out[t[0]] = (t[1], 2)
+    return out
+
+
+def test_samples_need_only_the_first_tasks_of_a_mode(spark, sf):
+    random.seed(11)
+    modes = [m for m, _ in sampling.SHARES] + [sampling.AMBIGUOUS, "skip_low_information"]
+    rows = []
+    for seed in range(12):
+        some = random.sample(modes, random.randrange(1, 8))
+        rows += [(seed, f"{seed}-{k:03d}", random.choice(some), random.random() < 0.4, random.random() < 0.3, random.choice(["background_context", "substantive_attribution"]), "retrieved", random.choice([5, 50]), "high") for k in range(random.choice([3, 15, 90]))]
+    df = spark.createDataFrame(rows, "seed int, task_id string, mode string, bundled boolean, review boolean, role string, status string, relevance int, confidence string")
+    score = {r["task_id"]: r["p"] for r in df.select("task_id", sampling.priority()[0].alias("p")).collect()}
+    for total in (0, 4, 9, 20):
+        got = {r["task_id"]: (r["mode"], r["pass"]) for r in sampling.stratified_sample(df, "seed", total).collect()}
+        wanted = {}
+        for seed in range(12):
+            wanted |= plain_sample([(r[1], r[2], score[r[1]]) for r in rows if r[0] == seed], total)
+        assert got == wanted
+    assert "WindowGroupLimit" in plan(queries()["stratified_sample"](spark, sf))

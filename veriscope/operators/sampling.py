@@ -39,10 +39,13 @@ def stratified_sample(tasks: DataFrame, by: str, total: int = 20) -> DataFrame:
     """(by, task_id, mode, priority, pass): for each group of ``by`` at most ``total`` tasks.
 
     Pass 1 fills the modes' quotas by priority, pass 2 the rest by priority alone; ambiguous ones take
-    at most a quarter. All of it is windows over the group.
+    at most a quarter. Both take the first tasks of a mode by priority, so never one beyond the first ``total`` of its mode:
+    the others go before anything is shuffled, and the windows over a group hold a bounded number of rows.
     """
     score, tags = priority()
+    best = Window.partitionBy(by, "mode").orderBy(F.desc("priority"), "task_id")
     t = tasks.where("status <> 'not_attempted'").withColumn("priority", score).withColumn("tags", tags)
+    t = t.withColumn("_best", F.row_number().over(best)).where(F.col("_best") <= total)
     group = Window.partitionBy(by)
     t = t.withColumn("some_ambiguous", F.bool_or(F.col("mode") == AMBIGUOUS).over(group))
 
@@ -52,10 +55,9 @@ def stratified_sample(tasks: DataFrame, by: str, total: int = 20) -> DataFrame:
             out = F.when(F.col("mode") == mode, n).otherwise(out)
         return out
 
-    best = Window.partitionBy(by, "mode").orderBy(F.desc("priority"), "task_id")
     most = total // 4
     t = t.withColumn("quota", F.when(F.col("some_ambiguous"), quota(True)).otherwise(quota(False)))
-    t = t.withColumn("first", F.row_number().over(best) <= F.when(F.col("mode") == AMBIGUOUS, F.least(F.col("quota"), F.lit(most))).otherwise(F.col("quota")))
+    t = t.withColumn("first", F.col("_best") <= F.when(F.col("mode") == AMBIGUOUS, F.least(F.col("quota"), F.lit(most))).otherwise(F.col("quota")))
     taken = F.count_if(F.col("first")).over(group)
     taken_ambiguous = F.count_if(F.col("first") & (F.col("mode") == AMBIGUOUS)).over(group)
     t = t.withColumn("left", F.lit(total) - taken).withColumn("left_ambiguous", F.lit(most) - taken_ambiguous)
