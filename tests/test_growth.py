@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from veriscope.functions import rules, text
-from veriscope.operators import rounds, sampling
+from veriscope.operators import frontier, rounds, sampling
 
 
 def plan(df):
@@ -99,3 +99,23 @@ def test_samples_need_only_the_first_tasks_of_a_mode(spark, sf):
             wanted |= plain_sample([(r[1], r[2], score[r[1]]) for r in rows if r[0] == seed], total)
         assert got == wanted
     assert "WindowGroupLimit" in plan(queries()["stratified_sample"](spark, sf))
+
+
+def test_answers_of_places_are_looked_up_once(spark):
+    places = spark.createDataFrame([(1, 0, k, k, "pdf", f"u{k}") for k in range(4)] + [(2, 0, 1, 1, "page", "page"), (2, 0, 90, 2, "pdf", "none")], frontier.PLACE)
+    reads = spark.sparkContext.accumulator(0)
+    rows = [("u3", 200, "pdf", None), ("u1", 500, "pdf", "gone"), ("page", 200, "html", None), ("x", 404, "xml", None)]
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    answers = spark.createDataFrame(rows, "url string, status int, body string, error string").coalesce(1).mapInArrow(counted, "url string, status int, body string, error string")
+    links = spark.createDataFrame([("page", 0, "xml", "x"), ("page", 1, "pdf", "x")], "url string, pos bigint, kind string, link string")
+    log = {(r["paper_id"], r["attempt"]): (r["kind"], r["url"], r["outcome"], r["failure"]) for r in frontier.search(places, answers, links).collect()}
+    assert log == {
+        (1, 0): ("pdf", "u0", "network_error", "network_error u0"), (1, 1): ("pdf", "u1", "http_error", "gone"), (1, 2): ("pdf", "u2", "network_error", "network_error u2"), (1, 3): ("pdf", "u3", "selected", None),
+        (2, 0): ("page", "page", "links", None), (2, 1): ("page_xml", "x", "http_error", "http_error x"), (2, 2): ("page_pdf", "x", "http_error", "http_error x"), (2, 3): ("pdf", "none", "network_error", "network_error none"),
+    }
+    assert reads.value <= 2 * len(rows)

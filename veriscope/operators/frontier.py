@@ -41,20 +41,29 @@ def search(places: DataFrame, answers: DataFrame, links: DataFrame) -> DataFrame
     kind and url of a paper once. A paper is done at its first ``selected``. There are as many rounds as the longest list
     of attempts; each keeps only papers that are still open, and only their places.
     """
-    queue = cut(places.groupBy("paper_id", "kind", "url").agg(F.min(F.struct("phase", "priority", "ord")).alias("p")).select("paper_id", "p.*", "kind", "url"))
-    seen, logs, round_ = [queue.select("paper_id", "kind", "url")], [], 0
     linked = links.groupBy("url").agg(F.lit(True).alias("has_links"))
-    while not queue.isEmpty():
-        best = queue.groupBy("paper_id").agg(F.min(F.struct(*_PLACE)).alias("b")).select("paper_id", "b.*")
-        asked = best.join(answers, "url", "left").join(linked, "url", "left").withColumn("outcome", _outcome(F.coalesce("has_links", F.lit(False))))
+
+    def answered(asked: DataFrame) -> DataFrame:
+        """``asked`` (kind, url, ...) with outcome and failure: what each place will answer is looked up once, not in each round."""
+        out = asked.join(answers.select("url", "status", "body", "error"), "url", "left").join(linked, "url", "left").withColumn("outcome", _outcome(F.coalesce("has_links", F.lit(False))))
         why = F.when(F.col("outcome").isin("selected", "links"), None).otherwise(F.coalesce("error", F.concat_ws(" ", "outcome", "url")))
-        tried = cut(asked.withColumn("failure", why).withColumn("attempt", F.lit(round_)).select(*_ATTEMPT, "priority", "ord"))
+        return out.select(*asked.columns, "outcome", why.alias("failure"))
+
+    def once(found: DataFrame, *more: str) -> DataFrame:
+        return found.groupBy("paper_id", "kind", "url").agg(F.min(F.struct("phase", "priority", "ord", *more)).alias("p")).select("paper_id", "p.phase", "p.priority", "p.ord", "kind", "url", *[f"p.{c}" for c in more])
+
+    queue = cut(answered(once(places)))
+    target = lambda k: F.when(F.col("kind") == "xml", F.lit(LINKED["xml"][k])).otherwise(F.lit(LINKED["pdf"][k]))
+    told = cut(answered(links.select(F.col("url").alias("page"), "pos", target(1).alias("priority"), target(0).alias("kind"), F.col("link").alias("url"))))
+    seen, logs, round_ = [queue.select("paper_id", "kind", "url")], [], 0
+    while not queue.isEmpty():
+        # kind and url of a paper stand once in its queue, so that what comes after them in the order decides nothing
+        best = queue.groupBy("paper_id").agg(F.min(F.struct(*_PLACE, "outcome", "failure")).alias("b")).select("paper_id", "b.*")
+        tried = cut(best.withColumn("attempt", F.lit(round_)).select(*_ATTEMPT, "priority", "ord"))
         logs.append(tried.select(*_ATTEMPT))
         open_ = queue.join(tried.select("paper_id", "kind", "url"), ["paper_id", "kind", "url"], "left_anti").join(tried.where("outcome = 'selected'").select("paper_id"), "paper_id", "left_anti")
-        new = tried.where("outcome = 'links'").drop("kind", "ord", "priority").join(links.withColumnRenamed("kind", "target"), "url")
-        target = lambda k: F.when(F.col("target") == "xml", F.lit(LINKED["xml"][k])).otherwise(F.lit(LINKED["pdf"][k]))  # noqa: B023, E731
-        new = new.select("paper_id", "phase", target(1).alias("priority"), (F.lit((round_ + 1) * 1_000_000) + F.col("pos")).cast("bigint").alias("ord"), target(0).alias("kind"), F.col("link").alias("url"))
-        new = cut(new.groupBy("paper_id", "kind", "url").agg(F.min(F.struct("phase", "priority", "ord")).alias("p")).select("paper_id", "p.*", "kind", "url"))
+        new = tried.where("outcome = 'links'").select("paper_id", "phase", F.col("url").alias("page")).join(told, "page")
+        new = cut(once(new.withColumn("ord", (F.lit((round_ + 1) * 1_000_000) + F.col("pos")).cast("bigint")), "outcome", "failure"))
         if not new.isEmpty():
             for known in seen:
                 new = new.join(known, ["paper_id", "kind", "url"], "left_anti")
