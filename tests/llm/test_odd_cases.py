@@ -160,3 +160,11 @@ def test_stages_on_nulls_ties_and_no_rows(spark, sf):
         assert stage(spark, docs.where(F.lit(False)), sf).count() == 0
     packed = corpus_pipeline.packing(spark, docs, sf)
     assert packed.count() == len(rows) and corpus_pipeline.packing(spark, docs.where(F.lit(False)), sf).count() == 0
+
+
+def test_quality_shuffles_no_texts(spark):
+    docs = spark.createDataFrame([(k, f"some words about thing {k} and its uses. " * (1 + k % 3) if k % 4 else "## %% " * 40) for k in range(200)], "doc_id long, text string")
+    left = drop_low_quality(docs, spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(200)], "doc_id long, quality int, toxic int"))
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") == 1
+    assert 0 < left.count() < 200

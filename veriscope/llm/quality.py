@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import pieces, shingles, text_buffers, words
-from .store import keep
+from .store import keep, small_batches
 
 FEATURES = ("log_words", "mark_share", "upper_share", "digit_share", "wide_share", "space_share", "distinct_share", "twin_share", "double_mark_share", "bare_mark_share", "stop_share", "top_share", "fresh_share", "word_length", "line_share")
 
@@ -110,6 +110,13 @@ def feature_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, place long, " + ", ".join(f"{c} double" for c in FEATURES))
 
 
+def _feature_struct(text: pa.Array) -> pa.Array:
+    """The features of each text as a struct, for rows that are to keep their other columns."""
+    parts = list(features(text))
+    table = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+    return pa.StructArray.from_arrays([pa.array(c) for c in table.T], list(FEATURES))
+
+
 @dataclass
 class Model:
     """score = sigmoid(bias + weights . [z, z * z]) of features standardised and cut at +-4."""
@@ -124,12 +131,12 @@ class Model:
         z = np.clip((x - self.mean) / self.scale, -4, 4)
         return np.concatenate([z, z * z], axis=1)
 
-    def score(self) -> Column:
-        """The score as a Spark expression on the feature columns."""
+    def score(self, of: Callable[[str], Column] = F.col) -> Column:
+        """The score as a Spark expression on the feature columns, which ``of`` gives by name."""
         total = F.lit(float(self.bias))
         k = len(FEATURES)
         for c, m, s, a, b in zip(FEATURES, self.mean, self.scale, self.weights[:k], self.weights[k:], strict=True):
-            z = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), (F.col(c) - float(m)) / float(s)))
+            z = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), (of(c) - float(m)) / float(s)))
             total = total + z * float(a) + z * z * float(b)
         return 1 / (1 + F.exp(-total))
 
@@ -208,14 +215,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, trusted: Column | None = N
     rows are each scored; other columns are ignored; an empty table gives an empty table.
     """
     table = keep(feature_table(docs))
+    good = trusted_ids(labels, trusted)
+    model = fit(table.join(_sample(good, most), "doc_id", "left_semi"), _sample(table.where("doc_id is not null"), most))
+    return table.select("doc_id", "place", (F.lit(0.5) if model is None else model.score()).alias("score"))
+
+
+def trusted_ids(labels: DataFrame, trusted: Column | None = None) -> DataFrame:
+    """(doc_id) of the rows of ``labels`` of quality 1 for which ``trusted`` holds."""
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality = 1 and doc_id is not null")
-    good = (good.where(trusted) if trusted is not None else good).select("doc_id").distinct()
-    get = lambda df: df.select(*FEATURES).toPandas().to_numpy(np.float64)
-    positive = get(table.join(_sample(good, most), "doc_id", "left_semi"))
-    unlabelled = get(_sample(table.where("doc_id is not null"), most))
-    if not len(positive) or not len(unlabelled):
-        return table.select("doc_id", "place", F.lit(0.5).alias("score"))
-    return table.select("doc_id", "place", train(positive, unlabelled).score().alias("score"))
+    return (good.where(trusted) if trusted is not None else good).select("doc_id").distinct()
+
+
+def fit(positive: DataFrame, unlabelled: DataFrame) -> Model | None:
+    """The model of two samples of feature rows; none if one of them is empty."""
+    p, u = (df.select(*FEATURES).toPandas().to_numpy(np.float64) for df in (positive, unlabelled))
+    return train(p, u) if len(p) and len(u) else None
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -228,7 +242,16 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
     """``docs`` without the rows whose text scores under ``threshold``; all columns as they were.
 
     Each row is judged by its own text, also where rows share a doc_id or have none; null and empty texts are scored as in
-    :func:`score_quality`; an empty table stays empty. Rows are named by a 64-bit hash of doc_id and text.
+    :func:`score_quality`; an empty table stays empty. Rows are scored where they are, so texts are never shuffled: only the
+    samples of the fit are read before.
     """
-    low = keep(score_quality(docs, labels, ~held_out(3, 1)).where(F.col("score") < threshold).select(F.col("place").alias("low")).distinct())  # a table of known size, so that a short list spares the texts a shuffle
-    return docs.join(low, _place(docs) == low["low"], "left_anti")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    most = 20_000
+    good = F.broadcast(_sample(trusted_ids(labels, ~held_out(3, 1)), most))  # bounded by ``most``
+    with small_batches(docs.sparkSession):
+        model = fit(feature_table(rows.join(good, "doc_id", "left_semi")), feature_table(_sample(rows.where("doc_id is not null"), most)))
+    if model is None:
+        return docs.where(F.lit(0.5 >= threshold))
+    struct = F.arrow_udf(_feature_struct, "struct<" + ",".join(f"{c}:double" for c in FEATURES) + ">")
+    found = struct(F.col("text").cast("string"))
+    return docs.where(model.score(lambda c: found[c]) >= threshold)
