@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from veriscope.functions import rules, text
-from veriscope.operators import frontier, rounds, sampling
+from veriscope.operators import frontier, retrieval, rounds, sampling
 
 
 def plan(df):
@@ -119,3 +119,20 @@ def test_answers_of_places_are_looked_up_once(spark):
         (2, 0): ("page", "page", "links", None), (2, 1): ("page_xml", "x", "http_error", "http_error x"), (2, 2): ("page_pdf", "x", "http_error", "http_error x"), (2, 3): ("pdf", "none", "network_error", "network_error none"),
     }
     assert reads.value <= 2 * len(rows)
+
+
+def test_postings_are_dealt_by_document(spark, sf):
+    docs = spark.createDataFrame([(k % 90, "alpha beta alpha-x " * (k % 4) + "beta") for k in range(100)] + [(91, None)], "doc_id int, text string")
+    want = {}
+    for r in docs.collect():
+        words = (r["text"] or "").split()
+        for w in ["", *words]:
+            key = (r["doc_id"], w, len(words))
+            want[key] = want.get(key, 0) + 1
+    got = retrieval.asked_postings(docs, docs.select(F.explode(F.split("text", " ")).alias("term")), "doc_id", "text", [])
+    assert {(r["doc_id"], r["term"], r["length"]): r["tf"] for r in got.collect()} == want
+    # counted inside rows, then dealt by document alone: no aggregation of exploded terms before the exchange
+    shown = got._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum(tf" in shown and shown.index("partial_sum(tf") < shown.index("hashpartitioning(doc_id")
+    shown = plan(retrieval.bm25(docs.withColumnRenamed("doc_id", "q").limit(2), docs, "q", "doc_id", 2))
+    assert "RepartitionByExpression [doc_id" in shown

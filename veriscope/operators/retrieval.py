@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import tokens
-from .rounds import cut
+from ..functions.text import counts, tokens
+from .rounds import cut, dealt
 
 K1, B = 1.2, 0.75
 
@@ -25,26 +25,28 @@ def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def asked_postings(docs: DataFrame, asked: DataFrame, key: str, text: str, by: list[str], most: int = 500_000) -> DataFrame:
     """(by, key, term, length, tf) of the terms of ``asked`` (by, term), and under ``_OWN`` one row for each document of its groups.
 
-    The only reading of the texts: counts, lengths, document frequencies and scores all come from what is returned. Up to ``most``
-    different terms are broadcast (they are counted first), so that other terms go before anything is shuffled; beyond that
-    postings are counted first and then joined.
+    The only reading of the texts: counts, lengths, document frequencies and scores all come from what is returned. A text's terms
+    are counted inside its row and dealt by document, so that no task holds the counts of its whole split. Up to ``most`` different
+    terms are broadcast (they are counted first), so that other terms go before anything is shuffled.
     """
     split = docs.select(*by, key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    each = split.select(*by, key, F.size("t").alias("length"), F.explode(F.concat(F.array(F.lit(_OWN)), "t")).alias("term"))
+    own = F.struct(F.lit(_OWN).alias("term"), F.lit(1).cast("long").alias("tf"))
+    each = split.select(*by, key, F.size("t").alias("length"), F.inline(F.array_insert(counts(F.col("t")), 1, own)))
     groups = asked.select(*by).distinct() if by else docs.sparkSession.range(1).select()
     wanted = asked.select(*by, "term").distinct().unionByName(groups.withColumn("term", F.lit(_OWN)))
     few = wanted.count() <= most
-    counted = each.groupBy(*by, key, "term", "length").agg(F.count("*").alias("tf"))
-    return counted.join(F.broadcast(wanted) if few else wanted, [*by, "term"], "left_semi")
+    each = each.join(F.broadcast(wanted) if few else wanted, [*by, "term"], "left_semi")
+    # rows of one key and length are one document
+    return dealt(each, key, rows=5_000, n=docs.count()).groupBy(*by, key, "term", "length").agg(F.sum("tf").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, limit: int | None = 5, query_text: str = "text", doc_text: str = "text", within: str | None = None) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, limit: int | None = 5, query_text: str = "text", doc_text: str = "text", within: str | None = None, most: int = 500_000) -> DataFrame:
     """(query_key, doc_key, score, rank): documents by BM25 for each query, those of score 0 left out.
 
     Texts are tokenised once into a kept table of the terms asked for; document frequencies and lengths are its aggregates, the
     rest is one equi-join on terms. A query term that occurs twice counts twice. Ties go to the lower key. With
     ``within``, a column of both sides, documents of each of its values are a collection with statistics of its
-    own, and a query meets those of its value alone; rows without a value meet nothing.
+    own, and a query meets those of its value alone; rows without a value meet nothing. Up to ``most`` rows (query, term) are broadcast.
     """
     by = [within] if within else []
     asked = cut(queries.select(*by, query_key, F.explode(tokens(F.coalesce(F.col(query_text), F.lit("")))).alias("term")).groupBy(*by, query_key, "term").agg(F.count("*").alias("qtf")))
@@ -56,7 +58,10 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, limi
     known = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # without ``by`` one row
     weighted = known.select(*by, "term", idf.alias("idf"), F.when(F.col("mean_length") == 0, 1.0).otherwise(F.col("mean_length")).alias("mean_length"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = held.join(asked.join(weighted, [*by, "term"]), [*by, "term"]).groupBy(*by, query_key, doc_key).agg(F.sum(part).alias("score")).where("score > 0")
+    known = asked.join(weighted, [*by, "term"])
+    if asked.count() <= most:  # then a document's terms meet them where its scores are added up, and no task adds up those of its whole split
+        held, known = dealt(held, doc_key, rows=200_000), F.broadcast(known)
+    scored = held.join(known, [*by, "term"]).groupBy(*by, query_key, doc_key).agg(F.sum(part).alias("score")).where("score > 0")
     scored = scored.drop(*[c for c in by if c not in (query_key, doc_key)])
     if limit is None:
         return scored
