@@ -169,3 +169,31 @@ def test_progress_from_log_files(spark, tmp_path):
     q.awaitTermination(120)
     assert {(r["run_id"], r["step"]): r["status"] for r in spark.table("from_logs").collect()} == states
     assert spark.read.format("run_logs").load(str(tmp_path / "none")).count() == 0
+
+
+def test_texts_that_edges_share_are_looked_at_once(spark):
+    families = spark.createDataFrame([(s, False) for s in (1, 2)], "seed bigint, blocked boolean")
+    edges = spark.createDataFrame([(s, c, "auditable_pdf", c != 12) for s in (1, 2) for c in range(10, 17)], "seed bigint, citing bigint, status string, in_family boolean")
+    harvested = spark.createDataFrame([(c, "success", "jats_xml") for c in range(10, 16)], "citing bigint, outcome string, source string")
+    long = "It was shown and demonstrated in detail that growth rose in all of the samples (Smith et al. 2010)."
+    text = [(t, k, long if k < 2 else f"{long} {k}", "(Smith et al. 2010)", "Results", "r1", 5, False, 1, False) for t in (7, 8) for k in range(2 + t % 2)]
+    texts = spark.createDataFrame(text, "text bigint, ord int, context string, marker string, section string, ref_id string, at bigint, bundled boolean, bundle_size int, review boolean")
+    named = spark.createDataFrame([(s, c, 7 + c % 2) for s in (1, 2) for c in (10, 11, 12, 13, 14)], "cited bigint, citing bigint, text bigint")
+    held = spark.createDataFrame([(1, 13, 7), (None, 14, None), (2, 16, 8)], "cited bigint, citing bigint, text bigint")
+    whole = lambda df: df.join(texts, "text", "left").drop("text")
+    plain = prescreen.extract_edges(families, edges, harvested, whole(named), whole(held))
+    once = prescreen.extract_edges(families, edges, harvested, named, held, texts)
+    assert rows(once[0]) == rows(plain[0]) and rows(once[1].select(plain[1].columns)) == rows(plain[1]) and once[1].count() > 0
+    bare = [prescreen.extract_edges(families, edges, harvested, *x)[0] for x in ((whole(named),), (named, None, texts))]
+    assert rows(bare[0]) == rows(bare[1])
+
+
+def test_edges_scores_and_answers_meet_in_one_exchange(spark):
+    edges = spark.createDataFrame([(s, c, "x" if c % 2 else None) for s in range(5) for c in range(6)], "seed bigint, citing bigint, title string")
+    scores = spark.createDataFrame([(s, c, float(c + s)) for s in range(1, 6) for c in range(1, 9)] + [(1, 1, 2.0)], "seed bigint, citing bigint, score double")
+    answers = spark.createDataFrame([(s, 3, s % 2 == 0) for s in range(6)], "seed bigint, citing bigint, relevant boolean")
+    out = prescreen.claim_family(edges, scores, answers)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r["seed"], r["citing"]): (r["title"], r["score"], r["in_family"]) for r in out.collect()}
+    score = lambda s, c: float(c + s) if s and c else 0.0
+    assert out.count() == 30 and got == {(s, c): ("x" if c % 2 else None, score(s, c), s > 0 and score(s, c) >= 0.22 * (5 + s) and not (c == 3 and s % 2)) for s in range(5) for c in range(6)}
