@@ -52,3 +52,10 @@ def test_what_all_answers_run_is_compiled(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert sizes and max(sizes) <= 8000
+
+
+def test_answers_are_held_against_their_shape_in_as_many_tasks_as_shuffles_have(spark):
+    calls = spark.range(100).select(F.col("id").alias("task_id"), F.lit("a").alias("model"), F.lit("{}").alias("response_text"), F.lit(None).cast("string").alias("failure"))
+    records = spark.range(0, 100, 1, 1).select(F.col("id").alias("task_id"), F.lit(False).alias("bundled"), F.lit(False).alias("excluded"))
+    out = answers.adjudicate(records, calls, calls)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import shapes
 from ..functions.shapes import Shape
 from ..functions.text import variant_from_answer
+from .rounds import dealt
 
 _LEVELS = ("high", "medium", "low")
 #: Field names and values are fixed: they are what the models are asked for.
@@ -192,6 +193,7 @@ def adjudicate(records: DataFrame, first: DataFrame, second: DataFrame | None =
     Answers are held against their shape after the join, only those that count.
     """
     told = ("model", "response_text", "failure")
+    records = dealt(records, "task_id")  # answers cost more than their bytes tell, by which adaptive execution would gather them in a few tasks
 
     def looked(calls: DataFrame, label: str, name: str, base: DataFrame, asked: Column) -> DataFrame:
         of = calls.select("task_id", F.struct(*told).alias("_call"))
